@@ -1,0 +1,112 @@
+"""Sequential folds over ordered rows, run per range partition.
+
+Some results depend on all earlier rows of a key through a small state (packing into batches,
+opening chapters, keeping frames). The rows are range-partitioned by key and order, so a hot key
+spreads over many partitions, and each task streams its rows once. A partition whose first key
+began earlier needs the state its predecessor ends with: it starts from a guess, and partitions
+are run again only while a guess proves wrong. Such states forget quickly, so one repair round is
+usual. Only one small state per partition reaches the driver.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.session import cut_lineage
+
+
+def ordered_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    inputs: Sequence[str],
+    step: Callable,
+    start,
+    out: str,
+    out_type: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add column `out`: `step(state, *inputs) -> (state, label)` over each key's rows in order.
+
+    `start` is the state of a new key; states are tuples or values that JSON can hold, and
+    `order` must be a total order within a key.
+    """
+    if partitions:
+        ranged = df.repartitionByRange(partitions, *keys, *order)
+    else:
+        ranged = df.repartitionByRange(*keys, *order)
+    parts = cut_lineage(ranged.sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    key_cols, in_cols = list(keys), list(inputs)
+
+    def labels(pdf: pd.DataFrame, entries: dict, memo: dict) -> list:
+        result = []
+        key_rows = zip(*[pdf[c] for c in key_cols]) if key_cols else ((),) * len(pdf)
+        for part, key, values in zip(pdf["_part"], key_rows, zip(*[pdf[c] for c in in_cols])):
+            if memo.get("key", memo) != key:
+                first = "key" not in memo
+                memo["state"] = _revive(entries[part]) if first and part in entries else start
+                if first:
+                    memo["first"] = key
+                memo["key"], memo["part"] = key, part
+            memo["state"], label = step(memo["state"], *values)
+            result.append(label)
+        return result
+
+    def summarise(entries):
+        def run(batches):
+            memo: dict = {}
+            for pdf in batches:
+                labels(pdf, entries, memo)
+            if memo:
+                yield pd.DataFrame(
+                    {
+                        "part": [memo["part"]],
+                        "first": [repr(memo["first"])],
+                        "last": [repr(memo["key"])],
+                        "state": [json.dumps(memo["state"])],
+                    }
+                )
+
+        return run
+
+    def emit(entries):
+        def run(batches):
+            memo: dict = {}
+            for pdf in batches:
+                pdf[out] = pd.Series(labels(pdf, entries, memo), index=pdf.index, dtype="object")
+                yield pdf.drop(columns="_part")
+
+        return run
+
+    entries = _entry_states(parts, summarise) if parts.rdd.getNumPartitions() > 1 else {}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "_part")
+    return parts.mapInPandas(emit(entries), f"{schema}, `{out}` {out_type}")
+
+
+def _entry_states(parts: DataFrame, summarise) -> dict:
+    """Entry state of every partition that continues a key of the one before it."""
+    schema = "part int, first string, last string, state string"
+    known = {r["part"]: r for r in parts.mapInPandas(summarise({}), schema).collect()}
+    entries: dict = {}
+    while True:
+        wrong = {}
+        order = sorted(known)
+        for before, part in zip(order, order[1:]):
+            if known[before]["last"] == known[part]["first"]:
+                state = json.loads(known[before]["state"])
+                if part not in entries or entries[part] != state:
+                    wrong[part] = state
+        if not wrong:
+            return entries
+        entries.update(wrong)
+        again = parts.where(F.col("_part").isin(list(wrong)))
+        known.update({r["part"]: r for r in again.mapInPandas(summarise(entries), schema).collect()})
+
+
+def _revive(state):
+    return tuple(state) if isinstance(state, list) else state
