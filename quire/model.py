@@ -59,3 +59,66 @@ chunks as (
 
 SQL_QUERIES = rf"""queries as (
   select item_id as query_id, array_to_string(list_slice({SQL_WORDS.format('text')}, 1, 4), ' ') as query from benchmark)"""
+
+
+def embedded_chunks(t) -> DataFrame:
+    """Chunk vectors: kb = label, five chunks per document."""
+    return t.embeddings.select(
+        F.col("vec_id").cast("string").alias("chunk_id"),
+        F.col("label").alias("kb_id"),
+        F.floor(F.col("vec_id") / 5).alias("document_id"),
+        (F.col("vec_id") % 5).cast("int").alias("position"),
+        F.col("embedding").alias("vector"),
+    )
+
+
+def gazetteer(t) -> DataFrame:
+    """Names to look for: the longer words of the benchmark, each with a type and a score."""
+    word = F.regexp_replace(F.lower(F.col("w")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    listed = t.benchmark.select(F.explode(words(F.col("text"))).alias("w")).select(word.alias("word"))
+    kinds = ["CONCEPT", "TECHNIQUE", "TERM", "PERSON", "ORGANIZATION", "TOOL", "WORK"]
+    return listed.where(F.length("word") >= 6).distinct().select(
+        "word",
+        F.element_at(F.array(*map(F.lit, kinds)), F.length("word") % 7 + 1).alias("type"),
+        (F.length("word") % 10 / 10).alias("score"),
+    )
+
+
+SQL_GAZETTEER = rf"""gaz as (
+  select distinct word, ['CONCEPT','TECHNIQUE','TERM','PERSON','ORGANIZATION','TOOL','WORK'][length(word) % 7 + 1] as type,
+         (length(word) % 10) / 10.0::double as score from (
+    select regexp_replace(lower(unnest({SQL_WORDS.format('text')})), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') as word from benchmark)
+  where length(word) >= 6)"""
+
+
+def document_mentions(t) -> DataFrame:
+    """Mentions (kb_id, document_id, entity_id, name, type) of gazetteer names scored at least 0.5."""
+    from quire.operators.entities import gazetteer_hits
+
+    docs = t.documents.select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("document_id"), "text")
+    hits = gazetteer_hits(docs, ["kb_id", "document_id"], gazetteer(t)).where("score >= 0.5")
+    return hits.select("kb_id", "document_id", F.concat_ws(":", "kb_id", "name").alias("entity_id"), "name", "type", "hits")
+
+
+SQL_MENTIONS = SQL_GAZETTEER + rf""",
+doc_words as (
+  select kb_id, document_id, word, count(*) as hits, min(pos) as pos from (
+    select lang as kb_id, doc_id as document_id, regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') as word, pos from (
+      select lang, doc_id, unnest({SQL_WORDS.format('text')}) as w, generate_subscripts({SQL_WORDS.format('text')}, 1) - 1 as pos from documents))
+  where length(word) >= 2 group by all),
+mentions as (
+  select kb_id, document_id, kb_id || ':' || word as entity_id, word as name, type, hits from doc_words join gaz using (word) where score >= 0.5)"""
+
+
+def sql_bm25(out: str, corpus: str, key: str, text: str, queries: str) -> str:
+    """CTE `out`(query_id, key columns, score) of BM25 over a corpus CTE."""
+    split = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return rf"""{out}_d as (select {key}, {split.format(text)} as w from {corpus}),
+{out}_s as (select count(*) filter (len(w) > 0) as n, sum(len(w)) / count(*) filter (len(w) > 0) as avgdl from {out}_d),
+{out}_q as (select query_id, term, count(*) as qtf from (select query_id, unnest({split.format('query')}) as term from {queries}) group by all),
+{out}_p as (select {key}, term, any_value(dl) as dl, count(*) as tf from (select {key}, len(w) as dl, unnest(w) as term from {out}_d)
+  where term in (select term from {out}_q) group by {key}, term),
+{out}_f as (select term, count(*) as df from {out}_p group by term),
+{out} as (
+  select query_id, {key}, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
+  from {out}_p join {out}_f using (term) join {out}_q using (term) cross join {out}_s group by query_id, {key})"""
