@@ -122,3 +122,59 @@ def sql_bm25(out: str, corpus: str, key: str, text: str, queries: str) -> str:
 {out} as (
   select query_id, {key}, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
   from {out}_p join {out}_f using (term) join {out}_q using (term) cross join {out}_s group by query_id, {key})"""
+
+
+# The mention graph of orders and parts: document = order, entity = part, KB = order priority.
+def order_mentions(t) -> DataFrame:
+    kb = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kb_id"))
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id"),
+        F.concat_ws(":", "l_orderkey", "l_returnflag").alias("chapter_id"), "l_linenumber", "l_returnflag", "l_quantity", "l_tax",
+    )
+    return lines.join(kb, "document_id")
+
+
+def part_entities(t) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
+
+
+SQL_ORDER_MENTIONS = """lines as (
+  select o_orderpriority as kb_id, l_orderkey as document_id, l_partkey as entity_id, l_orderkey || ':' || l_returnflag as chapter_id,
+         l_linenumber, l_returnflag, l_quantity, l_tax from lineitem join orders on l_orderkey = o_orderkey),
+edges as (select distinct kb_id, document_id, entity_id from lines)"""
+
+
+# Courses: course = region, module = nation, topic = (nation, segment), concept = customer.
+def modules(t) -> DataFrame:
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("kb_id"), F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("course_id"),
+        F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("module_id"), F.col("n_name").alias("title"),
+        F.floor(F.col("n_nationkey") / 5).cast("int").alias("order"),
+    )
+
+
+def topics(t) -> DataFrame:
+    segs = t.customer.select("c_nationkey", "c_mktsegment").distinct()
+    order = F.ascii("c_mktsegment")
+    return segs.select(
+        F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("module_id"),
+        F.concat_ws(":", F.lit("t"), "c_nationkey", "c_mktsegment").alias("topic_id"),
+        F.col("c_mktsegment").alias("title"), order.alias("order"),
+    )
+
+
+def concepts(t) -> DataFrame:
+    return t.customer.select(
+        F.concat_ws(":", F.lit("t"), "c_nationkey", "c_mktsegment").alias("topic_id"),
+        F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("concept_id"),
+        F.col("c_name").alias("title"), F.col("c_custkey").alias("order"),
+    )
+
+
+SQL_COURSES = """modules as (
+  select r_name as kb_id, 'c' || r_regionkey as course_id, 'm' || n_nationkey as module_id, n_name as title, n_nationkey // 5 as ord
+  from nation join region on n_regionkey = r_regionkey),
+topics as (
+  select distinct 'm' || c_nationkey as module_id, 't:' || c_nationkey || ':' || c_mktsegment as topic_id, c_mktsegment as title, ascii(c_mktsegment) as ord from customer),
+concepts as (
+  select 't:' || c_nationkey || ':' || c_mktsegment as topic_id, 'k' || c_custkey as concept_id, c_name as title, c_custkey as ord from customer)"""

@@ -83,20 +83,21 @@ def _grams(text: Column, sizes=(1, 2, 3)) -> Column:
     return F.array_distinct(F.concat(*[grams(n) for n in sizes]))
 
 
-def _head_gram(text: Column) -> Column:
-    return F.substring(text, 1, 3)
-
-
 def containment_matches(left: DataFrame, right: DataFrame, keys: list[str], inner: str, outer: str) -> DataFrame:
     """Pairs of the same keys where `outer` (right) contains `inner` (left).
 
-    The first three characters of the inner name must occur in the outer one, so the join has an
-    equality on them and never pairs a whole group.
+    Every three-character piece of the inner text occurs in the outer one, so the join has an
+    equality on one of them: the piece the fewest outer texts have. Groups are never paired whole.
     """
-    heads = left.withColumn("_g", _head_gram(F.col(inner)))
-    wanted_heads = heads.select(*keys, "_g").distinct()
-    grams = right.withColumn("_g", F.explode(_grams(F.col(outer)))).join(wanted_heads, [*keys, "_g"], "left_semi")
-    return heads.join(grams, [*keys, "_g"]).where(F.col(outer).contains(F.col(inner))).drop("_g")
+    size = F.least(F.lit(3), F.length(inner))
+    own = left.select(*keys, inner).distinct().select(*keys, inner, F.explode(_grams(F.col(inner))).alias("_g"))
+    own = own.where(F.length("_g") == size)
+    grams = right.withColumn("_g", F.explode(_grams(F.col(outer))))
+    grams = grams.join(own.select(*keys, "_g").distinct(), [*keys, "_g"], "left_semi")
+    counts = grams.groupBy(*keys, "_g").agg(F.count("*").alias("_n"))
+    rarest = own.join(counts, [*keys, "_g"]).groupBy(*keys, inner).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    chosen = left.join(rarest, [*keys, inner])
+    return chosen.join(grams, [*keys, "_g"]).where(F.col(outer).contains(F.col(inner))).drop("_g")
 
 
 def reorder_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
