@@ -178,3 +178,72 @@ topics as (
   select distinct 'm' || c_nationkey as module_id, 't:' || c_nationkey || ':' || c_mktsegment as topic_id, c_mktsegment as title, ascii(c_mktsegment) as ord from customer),
 concepts as (
   select 't:' || c_nationkey || ':' || c_mktsegment as topic_id, 'k' || c_custkey as concept_id, c_name as title, c_custkey as ord from customer)"""
+
+
+# Web pages as a document tree: document = host, level 1 = first path segment, level 2 = page.
+def page_rows(t) -> DataFrame:
+    """Pages with document, segment, 1-based page number inside the host, title and plain text."""
+    from quire.operators.common import running_sum
+
+    rows = t.pages.select(
+        "page_id",
+        F.regexp_extract("url", "://([^/?#]+)", 1).alias("document_id"),
+        F.regexp_extract("url", "://[^/?#]+/([^/?#]+)", 1).alias("segment"),
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"),
+        F.regexp_replace("html", "<[^>]*>", "\n").alias("text"),
+        F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)).alias("blocks"),
+    )
+    numbered = running_sum(rows, ["document_id"], ["segment", "page_id"], {"page": F.lit(1)})
+    return numbered.withColumn("page", (F.col("page") + 1).cast("int"))
+
+
+def page_sections(t) -> DataFrame:
+    """Section tree rows with sibling order and end page."""
+    from quire.operators.hierarchy import sections_from_tree
+
+    pages = page_rows(t).select("document_id", "segment", "page_id", "title", "page")
+    segment = F.concat_ws("/", "document_id", "segment")
+    none = F.lit(None).cast("string")
+    top = pages.groupBy("document_id").agg(F.min("page").alias("start_page")).select(
+        "document_id", F.col("document_id").alias("section_id"), none.alias("parent_id"), F.lit(0).alias("level"), F.col("document_id").alias("title"), "start_page"
+    )
+    middle = pages.groupBy("document_id", "segment").agg(F.min("page").alias("start_page")).select(
+        "document_id", segment.alias("section_id"), F.col("document_id").alias("parent_id"), F.lit(1).alias("level"), F.col("segment").alias("title"), "start_page"
+    )
+    leaves = pages.select(
+        "document_id", F.concat_ws("/", "document_id", "segment", "page_id").alias("section_id"), segment.alias("parent_id"), F.lit(2).alias("level"),
+        "title", F.col("page").alias("start_page"),
+    )
+    return sections_from_tree(top.unionByName(middle).unionByName(leaves), 3)
+
+
+def page_chunks(t) -> DataFrame:
+    rows = page_rows(t).select("document_id", F.col("page").alias("page_number"), "page_id", F.posexplode("blocks").alias("position", "text"))
+    return rows.withColumn("chunk_id", F.concat_ws(":", "page_id", "position"))
+
+
+SQL_PAGES = r"""page_rows as (
+  select page_id, regexp_extract(url, '://([^/?#]+)', 1) as document_id, regexp_extract(url, '://[^/?#]+/([^/?#]+)', 1) as segment,
+    regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title, regexp_replace(html, '<[^>]*>', chr(10), 'g') as text,
+    regexp_extract_all(html, '<p>([^<]*)</p>', 1) as blocks,
+    row_number() over (partition by regexp_extract(url, '://([^/?#]+)', 1) order by regexp_extract(url, '://[^/?#]+/([^/?#]+)', 1), page_id)::int as page from pages)"""
+
+SQL_PAGE_SECTIONS = SQL_PAGES + """,
+nodes as (
+  select document_id, document_id as section_id, null::varchar as parent_id, 0 as level, document_id as title, min(page) as start_page from page_rows group by document_id
+  union all select document_id, document_id || '/' || segment, document_id, 1, segment, min(page) from page_rows group by document_id, segment
+  union all select document_id, document_id || '/' || segment || '/' || page_id, document_id || '/' || segment, 2, title, page from page_rows),
+sibs as (
+  select *, (row_number() over w - 1)::int as ord, lead(start_page) over w as nxt from nodes
+  window w as (partition by document_id, coalesce(parent_id, '') order by start_page, section_id)),
+sections as (
+  select a.document_id, a.section_id, a.parent_id, a.level, a.ord, a.title, a.start_page, coalesce(a.nxt, b.nxt, c.nxt) as end_page
+  from sibs a left join sibs b on b.section_id = a.parent_id left join sibs c on c.section_id = b.parent_id),
+page_chunks as (
+  select document_id, page as page_number, page_id, generate_subscripts(blocks, 1) - 1 as position, unnest(blocks) as text,
+    page_id || ':' || (generate_subscripts(blocks, 1) - 1) as chunk_id from page_rows)"""
+
+SQL_LINKS = """links as (
+  select chunk_id, section_id from page_chunks k join sections s on s.document_id = k.document_id and s.start_page > 0 and s.start_page <= k.page_number
+    and (s.end_page is null or k.page_number <= s.end_page)
+  qualify row_number() over (partition by chunk_id order by start_page desc, level desc) = 1)"""

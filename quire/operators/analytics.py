@@ -17,3 +17,11 @@ def graph_stats(nodes: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
     wide = union_all(counted).groupBy("kb_id").pivot("kind", [*NODE_KINDS, "relationships"]).agg(F.sum("n"))
     filled = wide.na.fill(0)
     return filled.withColumn("exists", (F.col("documents") > 0) | (F.col("courses") > 0))
+
+
+def kb_overview(docs: DataFrame, chapters: DataFrame, tree: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per document its chapters, sections and depth, with the chunk and document totals of its KB."""
+    per_doc = docs.join(chapters.groupBy("document_id").agg(F.count("*").alias("chapters")), "document_id", "left").join(tree, "document_id", "left")
+    chunk_docs = docs.join(chunks.groupBy("document_id").agg(F.count("*").alias("chunks")), "document_id", "left")
+    totals = chunk_docs.groupBy("kb_id").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("kb_chunks"), F.count("*").alias("kb_documents"))
+    return per_doc.join(totals, "kb_id").select("kb_id", "document_id", "chapters", "sections", "depth", "kb_chunks", "kb_documents")

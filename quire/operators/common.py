@@ -96,22 +96,49 @@ def running_sum(
     )
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, block_rows: int = BLOCK_ROWS
+def neighbour_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, ahead: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """`value` of the previous row within each key, null for the first row; hot keys in blocks."""
+    """`value` of the row before (or after, when `ahead`) within each key; hot keys in blocks."""
     blocked, split = ordered_blocks(df, keys, order, block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.withColumn(out, F.lag(value).over(inside)).withColumn("_i", F.row_number().over(inside))
+    shift = F.lead if ahead else F.lag
+    local = blocked.withColumn(out, shift(value).over(inside))
     if not split:
-        return local.drop("_block", "_i")
-    lasts = blocked.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carried = lasts.select(
-        *keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry")
-    )
+        return local.drop("_block")
+    edge = F.min_by if ahead else F.max_by
+    ends = blocked.groupBy(*keys, "_block").agg(edge(F.col(value), F.struct(*order)).alias("_end"))
+    carried = ends.select(*keys, "_block", shift("_end").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry"))
+    # the row at the border of a block takes the value from the neighbouring block
+    border = shift(F.lit(1)).over(inside).isNull()
     return (
-        local.join(carried, [*keys, "_block"])
-        .withColumn(out, F.when(F.col("_i") == 1, F.col("_carry")).otherwise(F.col(out)))
-        .drop("_block", "_i", "_carry")
+        local.withColumn("_border", border).join(carried, [*keys, "_block"])
+        .withColumn(out, F.when(F.col("_border"), F.col("_carry")).otherwise(F.col(out)))
+        .drop("_block", "_border", "_carry")
     )
 
+
+def as_of(
+    points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add to each point the `value` of the last mark at or before it within its key.
+
+    Marks and points are merged into one ordered stream, so no key pairs its points with all its
+    marks; hot keys are walked in blocks, each starting from the last mark of the blocks before.
+    `tie` (a column of both sides) makes the order total.
+    """
+    kinds = points.select(*keys, at, tie, F.struct(*points.columns).alias("_point"))
+    stream = marks.select(*keys, at, tie, F.lit(0).alias("_side"), F.col(value).alias("_mark")).unionByName(
+        kinds.withColumn("_side", F.lit(1)), allowMissingColumns=True
+    )
+    order = [at, "_side", tie]
+    blocked, split = ordered_blocks(stream, keys, order, block_rows)
+    upto = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = blocked.withColumn(value, F.last("_mark", ignorenulls=True).over(upto))
+    if split:
+        lasts = blocked.where("_side = 0").groupBy(*keys, "_block").agg(F.max_by("_mark", F.struct(*order)).alias("_last"))
+        blocks = blocked.select(*keys, "_block").distinct().join(lasts, [*keys, "_block"], "left")
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+        local = local.join(carried, [*keys, "_block"]).withColumn(value, F.coalesce(value, "_carry"))
+    return local.where("_side = 1").select("_point.*", value)

@@ -67,27 +67,27 @@ def extract_entities_batch(t):
     return en.first_text_only(chunk_entities(t), ["kb_id", "document_id"], "position")
 
 
-# List one: names of the first chunk; list two: upper-case names of the other chunks.
+# List one: names of the first chunk; list two: the names of the other chunks in another case.
 @query("merge_entity_lists", f"""
 with {SQL_CHUNK_ENTITIES}
 select document_id, name, type, 1 as list_no from chunk_entities where position = 0
 union all
-select document_id, upper(name), any_value(type), 2 from chunk_entities c where position > 0
+select document_id, replace(name, 'e', 'E'), any_value(type), 2 from chunk_entities c where position > 0
   and not exists (select 1 from chunk_entities o where o.position = 0 and o.document_id = c.document_id and o.name = c.name)
 group by document_id, name""")
 def merge_entity_lists(t):
     found = chunk_entities(t)
-    two = found.where("position > 0").select("document_id", F.upper("name").alias("name"), "type", F.col("position").alias("pos"))
+    two = found.where("position > 0").select("document_id", F.replace("name", F.lit("e"), F.lit("E")).alias("name"), "type", F.col("position").alias("pos"))
     return en.merge_entity_lists(found.where("position = 0"), two, ["document_id"])
 
 
 @query("dedupe_entities", f"""
 with {SQL_CHUNK_ENTITIES}
-select kb_id, document_id, position, '  ' || upper(name) as name, type from chunk_entities c where position > 0
+select kb_id, document_id, position, '  ' || replace(name, 'e', 'E') as name, type from chunk_entities c where position > 0
   and not exists (select 1 from chunk_entities o where o.position = 0 and o.kb_id = c.kb_id and o.name = c.name)""")
 def dedupe_entities(t):
     found = chunk_entities(t)
-    new = found.where("position > 0").withColumn("name", F.concat(F.lit("  "), F.upper("name")))
+    new = found.where("position > 0").withColumn("name", F.concat(F.lit("  "), F.replace("name", F.lit("e"), F.lit("E"))))
     return en.dedupe_entities(new, found.where("position = 0"), ["kb_id"])
 
 
