@@ -109,7 +109,7 @@ def full_text(t):
 @query("page_text_choice", f"""
 with {SQL_PAGES}
 select document_id, page, case when document_id like 'blog%' then case when page_id % 3 <> 0 then 'scan: ' || title else '' end
-  when page_id % 2 = 0 then text || chr(10) || title || chr(10) || segment else text end as text from page_rows""")
+  when page_id % 2 = 0 then text || chr(10) || trim(title) || chr(10) || segment else text end as text from page_rows""")
 def page_text_choice(t):
     rows = model.page_rows(t)
     notes = F.when(F.col("page_id") % 2 == 0, F.array("title", F.lit("  "), "segment")).otherwise(F.array().cast("array<string>"))
