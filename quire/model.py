@@ -247,3 +247,19 @@ SQL_LINKS = """links as (
   select chunk_id, section_id from page_chunks k join sections s on s.document_id = k.document_id and s.start_page > 0 and s.start_page <= k.page_number
     and (s.end_page is null or k.page_number <= s.end_page)
   qualify row_number() over (partition by chunk_id order by start_page desc, level desc) = 1)"""
+
+
+# Recordings: one per user, a segment per event; every signup speaks a chapter marker.
+def segments(t) -> DataFrame:
+    start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1000000
+    k = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_type") == "signup", F.concat(F.lit(" Chapter "), k, F.lit(" begins"))).otherwise(F.concat_ws(" ", "event_type", k))
+    return t.events.select(
+        F.col("user_id").alias("recording"), F.col("event_id").alias("seq"), start.alias("start"), (start + F.col("value")).alias("end"), text.alias("text")
+    )
+
+
+SQL_SEGMENTS = """segs as (
+  select user_id as recording, event_id as seq, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000 as start,
+    (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000 + value as fin,
+    case when event_type = 'signup' then ' Chapter ' || json_extract_string(props, '$.k') || ' begins' else event_type || ' ' || json_extract_string(props, '$.k') end as text from events)"""
