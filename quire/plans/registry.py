@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ["text", "retrieval", "graph", "hierarchy", "similarity", "analytics", "library", "media"]
+MODULES = ["text", "retrieval", "graph", "hierarchy", "similarity", "analytics", "library", "media", "sources"]
 
 
 @dataclass(frozen=True)

@@ -1,0 +1 @@
+"""Append logs as streams."""
