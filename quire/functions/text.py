@@ -233,9 +233,9 @@ def toc_entries(toc: Column, offset: int = 13) -> Column:
     return F.transform(
         hits,
         lambda line: F.struct(
-            F.regexp_extract(line, pattern, 1).cast("int").alias("number"),
+            F.regexp_extract(line, pattern, 1).try_cast("long").alias("number"),
             strip(F.regexp_extract(line, pattern, 2)).alias("title"),
-            (F.regexp_extract(line, pattern, 3).cast("int") + offset).alias("start_page"),
+            (F.regexp_extract(line, pattern, 3).try_cast("long") + offset).alias("start_page"),
         ),
     )
 

@@ -47,8 +47,9 @@ def chunk_tokens(
 ) -> DataFrame:
     """One row per chunk in place of one row per text."""
     keep = [c for c in docs.columns if c != text]
-    chunks = F.explode(token_windows(F.col(text), size, overlap, tokenize)).alias("_c")
-    return docs.select(*keep, chunks).select(*keep, "_c.position", "_c.text", "_c.token_count")
+    # a plain explode would make the optimizer test, and so compute, the windows twice more
+    chunks = F.explode_outer(token_windows(F.col(text), size, overlap, tokenize)).alias("_c")
+    return docs.select(*keep, chunks).where("_c is not null").select(*keep, "_c.position", "_c.text", "_c.token_count")
 
 
 def filter_empty(df: DataFrame, text: str = "text") -> DataFrame:

@@ -80,7 +80,7 @@ def gazetteer_hits(texts: DataFrame, key: list[str], gazetteer: DataFrame, text:
     Words are counted per text before the join, so a frequent word is one row per text.
     """
     word = F.regexp_replace(F.lower(F.col("w")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    seen = texts.select(*key, F.posexplode(words(F.col(text))).alias("pos", "w")).select(*key, "pos", word.alias("word"))
+    seen = texts.select(*key, F.posexplode_outer(words(F.col(text))).alias("pos", "w")).select(*key, "pos", word.alias("word"))
     counted = seen.where(F.length("word") >= 2).groupBy(*key, "word").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     return counted.join(gazetteer, "word").select(*key, F.col("word").alias("name"), "type", "score", "hits", "pos")
 

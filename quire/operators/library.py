@@ -129,7 +129,7 @@ def sync_tags(items: DataFrame, courses: DataFrame) -> tuple[DataFrame, DataFram
     linked = items.where("kb_id is not null and document_id is not null")
     open_ = linked.where(~is_blank(F.col("course_code")) & is_blank(F.col("course_id")))
     codes = open_.select("kb_id", F.col("course_code").alias("query")).distinct().withColumn("query_id", F.xxhash64("kb_id", "query"))
-    scored = bm25(courses, ["kb_id", "course_id"], "title", codes)
+    scored = bm25(courses, ["course_id", "kb_id"], "title", codes)
     in_kb = scored.join(codes.select("query_id", "kb_id"), ["query_id", "kb_id"], "left_semi")
     best = best_hits(in_kb, ["query_id"], ["course_id"], 1).join(codes.drop("kb_id"), "query_id")
     best = best.select("kb_id", F.col("query").alias("course_code"), F.col("course_id").alias("_best"))

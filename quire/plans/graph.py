@@ -439,7 +439,7 @@ def explore_concepts(t):
     edges = mentions.select("kb_id", "document_id", "entity_id").distinct()
     ents = edges.select("kb_id", "entity_id").distinct().join(model.part_entities(t), "entity_id")
     asked = t.part.select(F.split("p_name", " ")[0].alias("query")).distinct().select(F.xxhash64("query").alias("query_id"), "query")
-    hits = best_hits(bm25(ents, ["kb_id", "entity_id", "name"], "name", asked), ["query_id", "kb_id"], ["entity_id"], 20)
+    hits = best_hits(bm25(ents, ["entity_id", "kb_id", "name"], "name", asked), ["query_id", "kb_id"], ["entity_id"], 20)
     once = first_per_key(hits, ["query_id", "name"], [F.col("kb_id"), F.col("rank")]).drop("rank")
     best = best_hits(once, ["query_id"], ["kb_id", "entity_id"], 5).join(asked, "query_id").drop("entity_id")
     docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kb_id"))

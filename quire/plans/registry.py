@@ -14,6 +14,13 @@ _SQL: dict[str, str] = {}
 MODULES = ["text", "retrieval", "graph", "hierarchy", "similarity", "analytics", "library", "media", "sources"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out the rows of a scan that has fewer splits than the cluster has cores. A large table
+    has many splits and stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class Tables:
     """The parquet tables of one folder as DataFrames, e.g. `t.documents`."""
@@ -24,7 +31,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):

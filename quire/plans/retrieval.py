@@ -10,6 +10,7 @@ from quire.model import SQL_DOCUMENTS, SQL_MENTIONS, SQL_QUERIES, SQL_WORDS, sql
 from quire.operators import retrieval as rt
 from quire.operators.fulltext import best_hits, bm25
 from quire.plans.registry import query
+from quire.session import stored
 
 CHUNKS = sql_chunks(128, 16)
 D2 = "round(pow(list_distance({0}::double[], {1}::double[]), 2), 6)"
@@ -151,17 +152,22 @@ def long_queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def graph_hits(t, asked, k):
-    mentions = model.document_mentions(t)
-    entities = mentions.select("kb_id", "entity_id", "name").distinct()
-    return rt.graph_search(asked, model.document_chunks(t, 128, 16), entities, mentions, k)
+def chunk_table(t):
+    """The chunks as a table, for plans that read them several times."""
+    return stored(model.document_chunks(t, 128, 16), "chunks")
+
+
+def graph_hits(t, chunks, asked, k):
+    mentions = stored(model.document_mentions(t), "mentions")
+    entities = mentions.select("entity_id", "kb_id", "name").distinct()
+    return rt.graph_search(asked, chunks, entities, mentions, k)
 
 
 @query("graph_entity_search", f"""
 with {CHUNKS}, {SQL_LONG_QUERIES}, {SQL_MENTIONS}, {SQL_GRAPH}
 select query_id, chunk_id, document_id, score, rank from graph where rank <= 10""")
 def graph_entity_search(t):
-    return graph_hits(t, long_queries(t), 10).select("query_id", "chunk_id", "document_id", "score", "rank")
+    return graph_hits(t, chunk_table(t), long_queries(t), 10).select("query_id", "chunk_id", "document_id", "score", "rank")
 
 
 # Hybrid search: every document with a vector asks with its first words and its vector; the
@@ -172,19 +178,19 @@ def hybrid_queries(t):
     return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
 
-def semantic_hits(t, asked, k):
+def semantic_hits(t, table, asked, k):
     vectors = t.embeddings.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.col("embedding").alias("vector"))
-    chunks = vectors.join(model.document_chunks(t, 128, 16).where("position = 0").select("chunk_id"), "chunk_id", "left_semi")
+    chunks = vectors.join(table.where("position = 0").select("chunk_id"), "chunk_id", "left_semi")
     return rt.vector_search(asked, chunks, k).select("query_id", "chunk_id", "score", "rank")
 
 
-def with_key(t, hits):
-    keys = model.document_chunks(t, 128, 16).select("chunk_id", rt.fusion_key(F.col("document_id"), F.col("chunk_id"), F.col("text")).alias("key"))
+def with_key(chunks, hits):
+    keys = chunks.select("chunk_id", rt.fusion_key(F.col("document_id"), F.col("chunk_id"), F.col("text")).alias("key"))
     return hits.join(keys, "chunk_id")
 
 
-def keyword_hits(t, asked, k):
-    return rt.keyword_search(model.document_chunks(t, 128, 16), asked.select("query_id", "query"), k)
+def keyword_hits(chunks, asked, k):
+    return rt.keyword_search(chunks, asked.select("query_id", "query"), k)
 
 
 SQL_HYBRID_QUERIES = f"""queries as (
@@ -220,11 +226,11 @@ with {CHUNKS}, {SQL_HYBRID_QUERIES}, {SQL_KEYS}, {SQL_MENTIONS}, {sql_semantic('
 {sql_rrf({'semantic': 0.5, 'keyword': 0.3, 'graph': 0.2}, 10)}
 select query_id, key, score, rank from fused""")
 def rrf_fusion(t):
-    asked = hybrid_queries(t)
+    asked, chunks = hybrid_queries(t), chunk_table(t)
     signals = {
-        "semantic": with_key(t, semantic_hits(t, asked, 30)),
-        "keyword": with_key(t, keyword_hits(t, asked, 30)),
-        "graph": with_key(t, graph_hits(t, asked.select("query_id", "query"), 30)),
+        "semantic": with_key(chunks, semantic_hits(t, chunks, asked, 30)),
+        "keyword": with_key(chunks, keyword_hits(chunks, asked, 30)),
+        "graph": with_key(chunks, graph_hits(t, chunks, asked.select("query_id", "query"), 30)),
     }
     return rt.rrf_fusion(signals, 10, rt.WEIGHTS_GRAPH).select("query_id", "key", "score", "rank")
 
@@ -233,10 +239,11 @@ SEARCH_TYPE = "case query_id % 5 when 0 then 'semantic' when 1 then 'keyword' wh
 
 
 def search_answers(t, k):
+    chunks = chunk_table(t)
     asked = hybrid_queries(t).withColumn("search_type", F.expr(SEARCH_TYPE))
     blank = asked.withColumn("query", F.when(F.col("query_id") % 7 == 0, "  ").otherwise(F.col("query")))
     return rt.search(
-        blank, lambda q, n: with_key(t, semantic_hits(t, q, n)), lambda q, n: with_key(t, keyword_hits(t, q, n)), k
+        blank, lambda q, n: with_key(chunks, semantic_hits(t, chunks, q, n)), lambda q, n: with_key(chunks, keyword_hits(chunks, q, n)), k
     )
 
 
@@ -259,13 +266,13 @@ with {CHUNKS}
 select h.chunk_id, case when c.position < h.position then 'before' else 'after' end as side, c.position, c.text as context
 from chunks h join chunks c on c.document_id = h.document_id and c.position between h.position - 2 and h.position + 2 and c.position <> h.position""")
 def context_window(t):
-    chunks = model.document_chunks(t, 128, 16)
+    chunks = chunk_table(t)
     return rt.context_window(chunks, chunks, 2, ["document_id"])
 
 
 def rag_hits(t, k=5):
     """Keyword answers with their texts, limited afterwards to documents of even id."""
-    chunks = model.document_chunks(t, 128, 16)
+    chunks = chunk_table(t)
     hits = rt.keyword_search(chunks, model.queries(t), k)
     return hits.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.col("document_id") % 2 == 0)
 
@@ -305,7 +312,7 @@ def chat_messages(t):
     turns = t.conversations.withColumnRenamed("conv_id", "session_id")
     last = turns.where("role = 'user'").groupBy("session_id").agg(F.max_by("text", "turn").alias("text"))
     asked = last.select(F.col("session_id").alias("query_id"), F.array_join(F.slice(words(F.col("text")), 1, 4), " ").alias("query"))
-    chunks = model.document_chunks(t, 128, 16)
+    chunks = chunk_table(t)
     hits = rt.keyword_search(chunks, asked, 3).join(chunks.select("chunk_id", "text"), "chunk_id")
     contexts = rt.rag_context(hits).select(F.col("query_id").alias("session_id"), F.lit("all").alias("kb_name"), "context")
     return rt.chat_messages(turns, contexts)

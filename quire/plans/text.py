@@ -114,7 +114,8 @@ def _sql_spoken() -> str:
         (r"[\[(](?:Figure|Table|Fig|Tab)\.?\s+[\d.]+[\])]", "", "gi"),
         (r"(?m)^(?:Figure|Table|Fig|Tab)\.?\s+[\d.]+[.:]\s*", "", "gi"),
         (r"\(p{1,2}\.\s*\d+(?:\s*-\s*\d+)?\)", "", "g"), (r"[\x{a9}\x{ae}\x{2122}]", "", "g"), (r"\[\d+\]", "", "g"),
-        (r"([\w\p{L}])\s*\d\s*([A-Z])", r"\1 \2", "g"),
+        # a mark before each capital letter keeps the letter free to be the left neighbour of the next match
+        ("([A-Z])", "\x02\\1", "g"), ("([\\w\\p{L}])\\s*\\d\\s*\x02", "\\1 ", "g"), ("\x02", "", "g"),
         (r"[.]{2,}", ".", "g"), (r"[,]{2,}", ",", "g"), (r"[-]{3,}", ", ", "g"),
         (r"(^|[^\w\p{L}])\s+[^aAI\s]\s+([^\w\p{L}]|$)", r"\1 \2", "g"),
         (r" {2,}", " ", "g")])
@@ -342,8 +343,8 @@ with toc as (
   select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
     '  ' || i || ' ' || line[:30] || case when i % 3 = 0 then '' else ' ' || (i * 7) end), chr(10)) as toc from documents),
 lines as (select doc_id, {TRIM.format('unnest(string_split(toc, chr(10)))')} as line from toc)
-select doc_id, regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 1)::int as number, {TRIM.format(r"regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 2)")} as title,
-       regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 3)::int + 13 as start_page
+select doc_id, regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 1)::bigint as number, {TRIM.format(r"regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 2)")} as title,
+       regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 3)::bigint + 13 as start_page
 from lines where regexp_matches(line, '^(\d+)\s+(.+?)\s+(\d+)$')""")
 def parse_toc_lines(t):
     def entry(line, i):

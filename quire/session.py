@@ -51,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, for tables a job writes and reads again."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back with pruning."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
