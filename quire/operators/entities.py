@@ -77,11 +77,13 @@ def has_entity_indicators(text: Column, found: Column) -> Column:
 def gazetteer_hits(texts: DataFrame, key: list[str], gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """Default extractor: words of each text that a gazetteer(word, type, score) lists.
 
-    Words are counted per text before the join, so a frequent word is one row per text.
+    Marks around the words are cut from the whole text at once. Only listed words go on, and they
+    are counted per text before they meet the gazetteer's columns.
     """
-    word = F.regexp_replace(F.lower(F.col("w")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    seen = texts.select(*key, F.posexplode_outer(words(F.col(text))).alias("pos", "w")).select(*key, "pos", word.alias("word"))
-    counted = seen.where(F.length("word") >= 2).groupBy(*key, "word").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
+    bare = F.regexp_replace(F.lower(F.col(text)), r"(?U)(?<=^|\s)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|$)", "")
+    seen = texts.select(*key, F.posexplode_outer(words(bare)).alias("pos", "word")).where(F.length("word") >= 2)
+    listed = seen.join(gazetteer.select("word").distinct(), "word", "left_semi")
+    counted = listed.groupBy(*key, "word").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     return counted.join(gazetteer, "word").select(*key, F.col("word").alias("name"), "type", "score", "hits", "pos")
 
 

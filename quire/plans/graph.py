@@ -12,6 +12,7 @@ from quire.operators.common import upsert
 from quire.operators.files import containment_matches
 from quire.operators.fulltext import best_hits, bm25
 from quire.plans.registry import query
+from quire.session import stored
 
 SQL_INDICATORS = r"""(len(regexp_extract_all(x, '\b(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.)\s+[A-Z]'))
   + len(regexp_extract_all(x, '\b[A-Z][a-z]+\s+[A-Z][a-z]+\b'))
@@ -44,7 +45,7 @@ union all select document_id, any_value(name), 'PERSON', 2 from second group by
 def extract_entities(t):
     texts = opened(t)
     key = ["document_id"]
-    first = en.gazetteer_hits(texts, key, model.gazetteer(t))
+    first = stored(en.gazetteer_hits(texts, key, model.gazetteer(t)), "entities")
     second = en.proper_names(texts, key)
     return en.extract_entities(texts.select("document_id", "text"), key, first, second, threshold=0.6).select("document_id", "name", "type", "list_no")
 
@@ -57,7 +58,7 @@ chunk_entities as (select kb_id, document_id, position, word as name, type from
 
 def chunk_entities(t):
     hits = en.gazetteer_hits(model.document_chunks(t, 128, 16), ["kb_id", "document_id", "position"], model.gazetteer(t))
-    return hits.where("score >= 0.5").select("kb_id", "document_id", "position", "name", "type")
+    return stored(hits, "entities").where("score >= 0.5").select("kb_id", "document_id", "position", "name", "type")
 
 
 @query("extract_entities_batch", f"""
