@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators.chunking import chunk_tokens
+from quire.session import stored
 
 
 def documents(t) -> DataFrame:
@@ -201,7 +202,7 @@ def page_sections(t) -> DataFrame:
     """Section tree rows with sibling order and end page."""
     from quire.operators.hierarchy import sections_from_tree
 
-    pages = page_rows(t).select("document_id", "segment", "page_id", "title", "page")
+    pages = stored(page_rows(t).select("document_id", "segment", "page_id", "title", "page"), "pages")
     segment = F.concat_ws("/", "document_id", "segment")
     none = F.lit(None).cast("string")
     top = pages.groupBy("document_id").agg(F.min("page").alias("start_page")).select(
@@ -214,7 +215,7 @@ def page_sections(t) -> DataFrame:
         "document_id", F.concat_ws("/", "document_id", "segment", "page_id").alias("section_id"), segment.alias("parent_id"), F.lit(2).alias("level"),
         "title", F.col("page").alias("start_page"),
     )
-    return sections_from_tree(top.unionByName(middle).unionByName(leaves), 3)
+    return stored(sections_from_tree(top.unionByName(middle).unionByName(leaves), 3), "sections")
 
 
 def page_chunks(t) -> DataFrame:

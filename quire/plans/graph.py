@@ -205,8 +205,8 @@ every as (
 first as (select * from every qualify row_number() over (partition by kb_id, d1, d2 order by p, score desc, hops) = 1)
 select kb_id, d1, d2, relationship_type, score, hops, row_number() over (partition by kb_id, d1 order by score desc, d2) as rank from first qualify rank <= 20""")
 def related_documents(t):
-    mentions = model.order_mentions(t).select("kb_id", "document_id", "entity_id").distinct()
-    neighbours = gr.edge_neighbours(doc_edges(t))
+    mentions = stored(model.order_mentions(t).select("kb_id", "document_id", "entity_id").distinct(), "mentions")
+    neighbours = stored(gr.edge_neighbours(doc_edges(t)), "neighbours")
     one = gr.shared_entity_documents(mentions).select("kb_id", "d1", "d2", "shared")
     # a linked document that also shares entities counts as shared, wherever it ranks
     one = one.unionByName(gr.shared_counts(neighbours, mentions)).distinct()

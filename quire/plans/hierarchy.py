@@ -11,6 +11,7 @@ from quire.operators.common import upsert
 from quire.operators.entities import chunk_related_concepts, gazetteer_hits
 from quire.operators.fulltext import best_hits, bm25
 from quire.plans.registry import query
+from quire.session import stored
 from quire.plans.text import TRIM, sql_replace_all
 
 
@@ -126,8 +127,8 @@ with {SQL_PAGE_SECTIONS}, {SQL_LINKS}, {SQL_COUNTS}
 select document_id, section_id, case when level <= 1 then parent_id end as tree_parent, level, ord as "order", title, start_page, end_page, coalesce(chunk_count, 0) as chunk_count
 from sections left join counts using (section_id)""")
 def section_tree(t):
-    links = hi.link_chunks_to_sections(model.page_chunks(t), model.page_sections(t))
-    return hi.section_tree(model.page_sections(t), links, max_depth=1)
+    sections = model.page_sections(t)
+    return hi.section_tree(sections, hi.link_chunks_to_sections(model.page_chunks(t), sections), max_depth=1)
 
 
 @query("section_content", f"""
@@ -177,8 +178,8 @@ related as (select section_id, string_agg(name, '|' order by name) as related fr
 select query_id, rank, chunk_id, concat_ws(' > ', c.title, b.title, a.title) as path, related from ranked left join links using (chunk_id) left join sections a using (section_id)
 left join sections b on b.section_id = a.parent_id left join sections c on c.section_id = b.parent_id left join related using (section_id)""")
 def enrich_results(t):
-    chunks, sections = model.page_chunks(t), model.page_sections(t)
-    links = hi.link_chunks_to_sections(chunks, sections)
+    chunks, sections = stored(model.page_chunks(t), "chunks"), model.page_sections(t)
+    links = stored(hi.link_chunks_to_sections(chunks, sections), "links")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = best_hits(bm25(chunks, ["chunk_id"], "text", asked), ["query_id"], ["chunk_id"], 5)
     named = gazetteer_hits(chunks.join(links, "chunk_id"), ["section_id"], model.gazetteer(t)).select("section_id", "name")
