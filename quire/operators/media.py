@@ -189,12 +189,16 @@ def combine_chapters(videos: DataFrame, chapters: DataFrame) -> DataFrame:
 
     `videos` has batch, idx, recording, duration, success; failed videos give time but no chapters.
     """
-    offsets = running_sum(videos, ["batch"], ["idx"], {"offset": F.col("duration")}).where("success")
+    offsets = running_sum(videos, ["batch"], ["idx"], {"offset": F.col("duration").cast("decimal(20,6)")}).where("success")
     rows = offsets.select("batch", "idx", "recording", "offset").join(chapters, "recording")
     numbered = running_sum(rows, ["batch"], ["idx", "chapter"], {"number": F.lit(1)})
+
+    def moved(time):
+        # decimals: sums of many durations in any order are the same
+        return (F.col(time).cast("decimal(20,6)") + F.col("offset")).cast("double").alias(time)
+
     return numbered.select(
-        "batch", (F.col("number") + 1).alias("number"), "idx", "title", (F.col("start") + F.col("offset")).alias("start"),
-        (F.col("end") + F.col("offset")).alias("end"), F.col("start").alias("local_start"), F.col("end").alias("local_end"),
+        "batch", (F.col("number") + 1).alias("number"), "idx", "title", moved("start"), moved("end"), F.col("start").alias("local_start"), F.col("end").alias("local_end"),
     )
 
 

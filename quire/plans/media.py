@@ -185,8 +185,8 @@ SQL_VIDEOS = "videos as (select recording % 5 as batch, recording as idx, record
 
 @query("combine_chapters", f"""
 with recursive {SQL_CHAPTERS}, {SQL_VIDEOS},
-moved as (select *, coalesce(sum(duration) over (partition by batch order by idx rows between unbounded preceding and 1 preceding), 0) as off from videos)
-select batch, row_number() over (partition by batch order by idx, chapter) as number, idx, title, round(start + off, 6) as start, round(fin + off, 6) as "end",
+moved as (select *, coalesce(sum(duration::decimal(20,6)) over (partition by batch order by idx rows between unbounded preceding and 1 preceding), 0) as off from videos)
+select batch, row_number() over (partition by batch order by idx, chapter) as number, idx, title, round((start::decimal(20,6) + off)::double, 6) as start, round((fin::decimal(20,6) + off)::double, 6) as "end",
   round(start, 6) as local_start, round(fin, 6) as local_end from moved join chapters using (recording) where success""")
 def combine_chapters(t):
     rows = me.combine_chapters(videos(t), chapters(t))
