@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quire.plans import registered  # noqa: E402
-from quire.session import build_session  # noqa: E402
+from quire.session import build_session, use_local_folder  # noqa: E402
 
 HEADLINE = [
     "clean_text", "normalize_text", "split_sentences", "chunk_tokens", "chunk_paragraphs", "scan_document_text", "src_documents",
@@ -33,11 +33,15 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": str(2 * int(cpus)) if cpus.isdigit() else "16",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            # the test files are small: as many splits as cores
+            "spark.sql.files.maxPartitionBytes": "4m",
+            "spark.sql.files.openCostInBytes": "256k",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     queries = registered()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     # start the JVM and the Python workers outside the clock

@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from quire.session import build_session  # noqa: E402
+from quire.session import build_session, ship_package, use_local_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,5 +17,7 @@ def spark():
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"},
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_local_folder(session)
+    ship_package(session)
     yield session
     session.stop()

@@ -69,7 +69,7 @@ def compare(spark, con, folder, name, fn, sql):
 
 if __name__ == "__main__":
     from quire.plans import oracles, registered
-    from quire.session import build_session
+    from quire.session import build_session, use_local_folder
 
     args = sys.argv[1:]
     sf = "0.01"
@@ -80,6 +80,7 @@ if __name__ == "__main__":
         "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     con = connect(folder)
     qs, sqls = registered(), oracles()
     names = [n for n in qs if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
