@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm.anchors import BASE_KINDS, listed, personal_data
+from quire.llm.ball_hashing import simhash_groups
 from quire.llm.block_naming import exact_dedup
+from quire.llm.line_blocks import extract_text
+from quire.llm.rule_ensemble import quality_scores
+from quire.llm.weak_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +43,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "quality")
+    return quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_rules(table(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    per_kind = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *per_kind, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
