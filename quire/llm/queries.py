@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quire.llm.anchors import BASE_KINDS, listed, personal_data
 from quire.llm.ball_hashing import simhash_groups
 from quire.llm.block_naming import exact_dedup
+from quire.llm.bpe import round_trip
 from quire.llm.line_blocks import extract_text
 from quire.llm.rule_ensemble import quality_scores
+from quire.llm.sos_packing import pack_documents
 from quire.llm.weak_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,15 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return round_trip(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from quire.llm.common import Scratch
 SPACES = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 BASE = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
-MORE = {"n_lines": "long", "n_upper": "long", "n_letters": "long", "n_stops": "long", "n_marks": "long", "n_distinct": "long", "n_stutters": "long"}
+MORE = {"n_lines": "long", "n_upper": "long", "n_letters": "long", "n_stops": "long", "n_marks": "long", "n_distinct": "long", "n_stutters": "long", "n_tails": "long"}
 COUNTS = {**BASE, **MORE}
+# ends of words that plain prose does not have
+TAILS = b"#*$%&|<>@^~=+_\\/{}[]"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 ROUNDS = 50
@@ -52,7 +55,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     return (
         len(words), len(text) - sum(text.count(c) for c in SPACES), _count(raw, SYMBOLS), len(lines) - len(set(lines)), repeated,
         len(lines), _count(raw, UPPER), _count(raw, UPPER + UPPER.lower()), sum(w[-1] in b".?!:;" for w in words), raw.count(b"!"),
-        len(set(words)), sum(a == b for a, b in zip(words, words[1:])),
+        len(set(words)), sum(map(eq, words, words[1:])), sum(w[-1] in TAILS for w in words),
     )
 
 
@@ -80,14 +83,15 @@ def standard_rules() -> list[Rule]:
     never = (math.inf, -math.inf)
     return [
         Rule("length", F.col("n_words").cast("double"), (20, math.inf), never),
-        Rule("word_length", _per("word_chars", "n_words"), (2.2, 12), (3, 9)),
+        Rule("word_length", _per("word_chars", "n_words"), (2.2, 12), never),
         Rule("symbols", _per("n_symbols", "n_words"), (-1, 0.1), never),
-        Rule("repeats", _per("n_repeat_words", "n_words"), (-1, 0.35), (0, 0.1)),
+        Rule("tails", _per("n_tails", "n_words"), (-1, 0.2), never),
+        Rule("repeats", _per("n_repeat_words", "n_words"), (-1, 0.45), never),
         Rule("lines", _per("n_dup_lines", "n_lines"), (-1, 0.5), never),
         Rule("capitals", _per("n_upper", "n_letters"), (-1, 0.4), never),
-        Rule("stops", _per("n_stops", "n_words"), (0.01, 0.6), (0.02, 0.4)),
+        Rule("stops", _per("n_stops", "n_words"), (0.01, 0.6), (0.03, 0.3)),
         Rule("marks", _per("n_marks", "n_words"), (-1, 0.3), never),
-        Rule("variety", F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double")), (1.5, math.inf), (3, math.inf)),
+        Rule("variety", F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double")), (1.5, math.inf), (6, math.inf)),
         Rule("stutter", _per("n_stutters", "n_words"), (-1, 0.2), never),
     ]
 
@@ -109,7 +113,8 @@ class Trust:
 
 
 def learn(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> Trust:
-    """Expectation-maximisation over vote patterns with their counts. It starts from the belief
+    """Expectation-maximisation over vote patterns with their counts: how often each rule votes bad,
+    abstains or votes good, on good and on bad texts. It starts from the belief
     that a text with a bad vote is bad; sorted patterns make it the same on every run."""
     patterns = sorted(patterns)
     if not patterns:
@@ -121,14 +126,12 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds:
         share = {}
         for vote in (-1, 0, 1):
             hit = (votes == vote) * weight[:, None]
-            # one imagined vote each way keeps the logarithms finite
-            share[vote] = np.log((good @ hit + 1) / (weight @ good + 3)) - np.log(((1 - good) @ hit + 1) / (weight @ (1 - good) + 3))
-        # an abstention says nothing
-        share[0][:] = 0
+            # one imagined text of either kind that votes like the average keeps logarithms finite
+            usual = np.maximum(hit.sum(axis=0) / weight.sum(), 1e-300)
+            share[vote] = np.log((good @ hit + usual) / (weight @ good + 1)) - np.log(((1 - good) @ hit + usual) / (weight @ (1 - good) + 1))
         # a vote may be worthless, but never counts against its own direction
         share[-1], share[1] = np.minimum(share[-1], 0), np.maximum(share[1], 0)
-        total = math.log(prior / (1 - prior)) + sum((votes == v) @ share[v] for v in (-1, 1))
-        good = 1 / (1 + np.exp(-total))
+        good = 1 / (1 + np.exp(-math.log(prior / (1 - prior)) - sum((votes == v) @ share[v] for v in share)))
     return Trust(float(prior), {n: {v: float(share[v][i]) for v in (-1, 0, 1)} for i, n in enumerate(names)})
 
 
