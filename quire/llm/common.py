@@ -28,7 +28,8 @@ class Scratch:
 def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
     """Left join of `rows` with `found`, which has one row a key. A hot key's rows go to `salts`
     tasks, by `spread`; `found` is copied as many times, so keep only keys that need it there."""
-    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # copying hides the size from the planner, which must not broadcast it
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
