@@ -11,9 +11,11 @@ from quire.llm.anchors import BASE_KINDS, listed, personal_data
 from quire.llm.ball_hashing import simhash_groups
 from quire.llm.block_naming import exact_dedup
 from quire.llm.bpe import round_trip
+from quire.llm.common import Scratch
 from quire.llm.line_blocks import extract_text
 from quire.llm.rule_ensemble import quality_scores
 from quire.llm.sos_packing import pack_documents
+from quire.llm.warc import archive, read_bundles
 from quire.llm.weak_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,28 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query(
+    "op5_warc",
+    """
+    with p as (select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as response from pages),
+         h as (select *, sha1(html) as hex from p),
+         d as (
+           select *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+             ((instr('0123456789abcdef', substr(hex, (5 * i) // 4 + 1, 1)) - 1) * 16
+              + greatest(instr('0123456789abcdef', substr(hex || '0', (5 * i) // 4 + 2, 1)) - 1, 0)
+             ) // (1 << (3 - (5 * i) % 4)::int)) % 32)::int, 1)) as letters
+           from h)
+    select page_id, strlen(html) as payload_bytes, array_to_string(letters, '') as payload_digest,
+           case when page_id = response then 'response' else 'revisit' end as record_type,
+           case when page_id <> response then response end as refers_to
+    from d
+    """,
+)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    bundles = f"{scratch.folder}/bundles"
+    archive(table(spark, folder, "pages").select("page_id", "url", "html"), bundles, scratch=scratch)
+    read = read_bundles(spark, bundles)
+    return read.select(read["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
