@@ -13,6 +13,7 @@ from quire.llm.block_naming import exact_dedup
 from quire.llm.bpe import round_trip
 from quire.llm.common import Scratch
 from quire.llm.line_blocks import extract_text
+from quire.llm.line_join import line_report
 from quire.llm.rule_ensemble import quality_scores
 from quire.llm.sos_packing import pack_documents
 from quire.llm.warc import archive, read_bundles
@@ -115,3 +116,31 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive(table(spark, folder, "pages").select("page_id", "url", "html"), bundles, scratch=scratch)
     read = read_bundles(spark, bundles)
     return read.select(read["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op10_line_dedup",
+    """
+    with l as (
+           select doc_id, u.i - 1 as line, u.t as content
+           from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda t, i: {'i': i, 't': t})) as u from documents where text is not null)
+           where regexp_matches(u.t, '[^\\x20\\x09-\\x0D]')),
+         f as (select content, min((doc_id, line)) as pos from l group by content),
+         s as (select pos, list_distinct(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) as words from f),
+         w as (select pos, len(words) as n, unnest(words) as word from s),
+         p as (
+           select b.pos, a.pos as earlier
+           from w a join w b on a.word = b.word and a.pos < b.pos and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4
+           group by b.pos, a.pos, a.n, b.n
+           having count(*) * 9 >= (a.n + b.n) * 4),
+         k as (select pos from f where pos not in (select pos from p)),
+         m as (select doc_id, line, (doc_id, line) in (select pos from k) as stays from l)
+    select d.doc_id, count(m.line) as n_lines, count(*) filter (stays) as n_kept,
+           coalesce(string_agg(m.line::varchar, ',' order by m.line) filter (not stays), '') as removed
+    from documents d left join m on d.doc_id = m.doc_id
+    group by d.doc_id
+    """,
+)
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    report = line_report(table(spark, folder, "documents").select("doc_id", "text"))
+    return report.select("doc_id", "n_lines", "n_kept", F.array_join("removed", ",").alias("removed"))
