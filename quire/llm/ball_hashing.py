@@ -191,7 +191,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """`docs` without near-duplicates: of each component the row with the smallest key stays."""
+    """`docs` without near-duplicates: of each component the row with the smallest key stays. Rows
+    that share that key stay together; rows with a null key go if their component has a key."""
     grouped = simhash_groups(docs.select(key, text), key, text, radius)
-    stay = grouped.where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_stay")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(stay["_stay"]), "left_semi")
+    gone = grouped.where(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["_gone"]), "left_anti")

@@ -24,6 +24,7 @@ from quire.llm.common import Scratch
 
 # labelled rows the classifier is fitted on at most, those with the smallest hash of their key
 FIT_ROWS = 50_000
+FIT_PARTITIONS = 4
 TREES, DEPTH, LASSO, THRESHOLD = 24, 3, 0.0005, 0.3
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STATISTICS = [
@@ -103,7 +104,7 @@ def fit(labelled: DataFrame, scratch: Scratch, label: str = "label", key: str =
     """Fit on at most `rows` labelled rows (see `FIT_ROWS`); with one class only, or no rows, the
     score is that class's share, or a half."""
     order = [F.xxhash64(key), key, label, *STATISTICS]
-    sample = scratch.put(labelled.orderBy(*order).limit(rows).select(F.col(label).cast("double").alias("label"), *STATISTICS).repartition(4, *STATISTICS[:4]).sortWithinPartitions(*STATISTICS, "label"), "sample")
+    sample = scratch.put(labelled.orderBy(*order).limit(rows).repartition(FIT_PARTITIONS, key).sortWithinPartitions(*order).select(F.col(label).cast("double").alias("label"), *STATISTICS), "sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         share = next((c for c in classes), 0.5)
@@ -126,30 +127,40 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """All columns of `docs` but `text`, plus `held_out`, `score` (0 to 1) and `predicted` (1 from
-    `threshold` on). Learns from labelled rows outside the held-out fifth; labels other than 0 and
-    1 are passed over. Columns of the added names give way; null texts score like empty ones; a
-    null key counts as held out. All rows stay, repeated ones too."""
+@F.pandas_udf(", ".join(f"{n} double" for n in STATISTICS))
+def _measure(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
+
+
+def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    return docs.select(*keep, _measure(F.col(text)).alias("_m")).select(*keep, "_m.*")
+
+
+def _learn(measured: DataFrame, labels: DataFrame, scratch: Scratch, key: str, label: str, rows: int) -> Ensemble:
+    """Learn from the statistics of labelled rows outside the held-out fifth."""
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).alias("label")).distinct()
+    learnt = measured.where(~held_out(F.col(key))).select(key, *STATISTICS).join(known, key)
+    return fit(learnt, scratch, "label", key, rows)
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in STATISTICS))
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
 
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
+    """All columns of `docs` but `text`, plus `held_out`, `score` (0 to 1) and `predicted` (1 from
+    `threshold` on). Labels other than 0 and 1 are passed over. Columns of the added names give
+    way; null texts score like empty ones; a null key counts as held out. All rows stay, repeated
+    ones too."""
     added = ["held_out", "score", "predicted", *STATISTICS]
     rest = [c for c in docs.columns if c not in (*added, text)]
     scratch = Scratch(docs.sparkSession, "rule-ensemble")
-    measured = docs.select(*rest, measure(F.col(text)).alias("_m")).select(*rest, "_m.*", F.coalesce(held_out(F.col(key)), F.lit(True)).alias("held_out"))
-    measured = scratch.put(measured, "statistics")
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).alias("_label")).distinct()
-    learnt = measured.where(~F.col("held_out")).select(key, *STATISTICS).join(known, key).withColumnRenamed("_label", "label")
-    model = fit(learnt, scratch, "label", key, rows)
-    scored = measured.withColumn("score", model.score())
-    return scored.select(*rest, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without those the classifier rejects; a null key cannot be told apart and stays."""
-    scored = quality_scores(docs.select(key, text), labels, key, text, threshold=threshold)
-    rejected = scored.where("predicted = 0").select(F.col(key).alias("_out"))
-    return docs.join(rejected, docs[key] == rejected["_out"], "left_anti")
+    measured = scratch.put(_measured(docs, text, rest), "statistics")
+    scored = measured.withColumn("score", _learn(measured, labels, scratch, key, label, rows).score())
+    out = F.coalesce(held_out(F.col(key)), F.lit(True))
+    return scored.select(*rest, out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
+    """`docs` without the rows that score below `threshold`. Texts are measured twice, to learn and
+    to judge, and never shuffled."""
+    scratch = Scratch(docs.sparkSession, "rule-ensemble")
+    model = _learn(_measured(docs, text, [key]), labels, scratch, key, label, rows)
+    judged = docs.select(F.struct(*docs.columns).alias("_row"), _measure(F.col(text)).alias("_m")).select("_row", "_m.*")
+    return judged.where(model.score() >= threshold).select("_row.*")
