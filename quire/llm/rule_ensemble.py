@@ -19,6 +19,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.common import Scratch
 
@@ -127,7 +128,7 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in STATISTICS))
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in STATISTICS]))
 def _measure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
 
