@@ -1,10 +1,7 @@
-"""Chunkers: token windows as expressions; greedy packers as Arrow-batched helpers."""
+"""Chunkers as column expressions: token windows, and one greedy packer over piece lengths."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,135 +53,100 @@ def filter_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~is_blank(F.col(text)))
 
 
-def _windows(tokens: list[str], size: int, overlap: int):
-    start = 0
-    while True:
-        yield tokens[start : start + size]
-        if start + size >= len(tokens):
-            return
-        start += size - overlap
-
-
-def paragraph_chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separator_tokens: int = 0):
-    """Pandas UDF text → chunks that keep paragraphs together; a paragraph above `size` is windowed."""
-
-    def pack(text: str) -> list[dict]:
-        out: list[tuple[str, int]] = []
-        held: list[str] = []
-        held_tokens = 0
-
-        def flush():
-            nonlocal held, held_tokens
-            if held:
-                joined = "\n\n".join(held)
-                out.append((joined, len(joined.split())))
-            held, held_tokens = [], 0
-
-        for para in (p.strip() for p in re.split(r"\n\s*\n", text or "")):
-            tokens = para.split()
-            if not tokens:
-                continue
-            if len(tokens) > size:
-                flush()
-                out.extend((" ".join(w), len(w)) for w in _windows(tokens, size, overlap))
-                continue
-            extra = separator_tokens if held else 0
-            if held and held_tokens + extra + len(tokens) > size:
-                flush()
-                extra = 0
-            held.append(para)
-            held_tokens += extra + len(tokens)
-        flush()
-        return [{"position": i, "text": t, "token_count": n} for i, (t, n) in enumerate(out)]
-
-    @F.pandas_udf(CHUNK_TYPE)
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(pack)
-
-    return chunks
-
-
-def paragraphs(max_length: int = 1000):
-    """Pandas UDF text → paragraphs; long ones are packed again from their sentences."""
-    boundary = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-
-    def split(text: str) -> list[str]:
-        out: list[str] = []
-        for para in filter(None, (p.strip() for p in (text or "").split("\n\n"))):
-            if len(para) <= max_length:
-                out.append(para)
-                continue
-            packed = ""
-            for sentence in filter(None, (s.strip() for s in boundary.split(para))):
-                if packed and len(packed) + len(sentence) > max_length:
-                    out.append(packed)
-                    packed = sentence
-                else:
-                    packed = f"{packed} {sentence}" if packed else sentence
-            if packed:
-                out.append(packed)
-        return out
-
-    @F.pandas_udf("array<string>")
-    def split_all(texts: pd.Series) -> pd.Series:
-        return texts.map(split)
-
-    return split_all
-
-
-def _pack(parts: list[str], limit: int) -> list[str]:
-    """Greedy packing; lengths count one blank per part already held."""
-    out: list[str] = []
-    held: list[str] = []
-    used = 0
-    for part in parts:
-        if held and used + len(part) > limit:
-            out.append(" ".join(held))
-            held, used = [part], len(part)
-        else:
-            held.append(part)
-            used += len(part) + 1
-    if held:
-        out.append(" ".join(held))
-    return out
-
-
-def sentence_chunks(max_chars: int = 500):
-    """Pandas UDF text → pieces of at most about `max_chars` characters made of whole sentences.
-
-    A sentence above the limit is cut at commas, semicolons and colons; the mark is a part of its own.
+def group_starts(lengths: Column, limit: int, joint: int, ahead: int = 0, first: int = 0, alone: Column | None = None) -> Column:
+    """Where greedy groups begin, as indices into an array of piece lengths.
+
+    A piece opens a group if, with what the open one holds and `ahead`, it would pass `limit`;
+    otherwise it joins and adds its length and `joint`. A group that no overflow opened starts
+    `first` longer. Pieces marked in `alone` (an array of booleans) are groups of their own. One
+    pass over integers; no text is touched.
+    """
+    free = F.transform(lengths, lambda _: F.lit(False)) if alone is None else alone
+    pieces = F.transform(F.arrays_zip(lengths.alias("length"), free.alias("alone")), lambda p, i: F.struct(i.alias("i"), p["length"].alias("length"), p["alone"].alias("alone")))
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"), F.lit(True).alias("closed"))
+
+    def add(held, piece):
+        full = ~held["closed"] & (held["used"] + ahead + piece["length"] > limit)
+        opens = held["closed"] | piece["alone"] | full
+        before = F.when(held["closed"], first).when(opens, 0).otherwise(held["used"] + joint)
+        return F.struct(
+            F.when(opens, F.concat(held["starts"], F.array(piece["i"]))).otherwise(held["starts"]).alias("starts"),
+            (before + piece["length"]).cast("int").alias("used"), piece["alone"].alias("closed"),
+        )
+
+    return F.aggregate(pieces, none, add, lambda held: held["starts"])
+
+
+def joined_groups(pieces: Column, starts: Column, glue: str) -> Column:
+    """The texts of the groups: slices between neighbouring starts, joined."""
+
+    def group(start, i):
+        stop = F.coalesce(F.get(starts, i + 1), F.size(pieces))
+        return F.array_join(F.slice(pieces, start + 1, stop - start), glue)
+
+    return F.transform(starts, group)
+
+
+def _stripped(parts: Column) -> Column:
+    """Parts without surrounding white space, blank ones dropped."""
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def paragraph_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separator_tokens: int = 0, tokenize=words) -> Column:
+    """Chunks that keep paragraphs together; a paragraph above `size` is windowed on its own."""
+
+    def packed(paragraphs):
+        sizes = F.transform(paragraphs, lambda p: F.size(tokenize(p)))
+        starts = group_starts(sizes, size, separator_tokens, ahead=separator_tokens, alone=F.transform(sizes, lambda n: n > size))
+
+        def chunks(group):
+            count = F.size(tokenize(group))
+            whole = F.array(F.struct(F.lit(0).alias("position"), group.alias("text"), count.alias("token_count")))
+            # only a paragraph that stands alone can be longer than a chunk
+            return F.when(count > size, token_windows(group, size, overlap, tokenize)).otherwise(whole)
+
+        return F.flatten(F.transform(joined_groups(paragraphs, starts, "\n\n"), chunks))
+
+    def numbered(found):
+        return F.transform(found, lambda c, i: F.struct(i.alias("position"), c["text"].alias("text"), c["token_count"].alias("token_count")))
+
+    return let(let(_stripped(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n")), packed), numbered)
+
+
+def paragraphs(text: Column, max_length: int = 1000) -> Column:
+    """Paragraphs; one above `max_length` characters is packed again from its sentences."""
+
+    def repacked(paragraph):
+        def packed(sentences):
+            return joined_groups(sentences, group_starts(F.transform(sentences, F.char_length), max_length, 1), " ")
+
+        sentences = _stripped(F.split(paragraph, r"(?<=[.!?])\s+(?=[A-Z])"))
+        return F.when(F.char_length(paragraph) <= max_length, F.array(paragraph)).otherwise(let(sentences, packed))
+
+    return F.flatten(F.transform(_stripped(F.split(F.coalesce(text, F.lit("")), "\n\n")), repacked))
+
+
+def sentence_chunks(text: Column, max_chars: int = 500) -> Column:
+    """Pieces of at most about `max_chars` characters made of whole sentences.
+
+    A sentence above the limit is cut at commas, semicolons and colons; the mark is a piece of its
+    own, and what the cut gives is packed apart from its neighbours.
     """
-    sentence_end = re.compile(r"(?<=[.!?])\s+")
-    clause_end = re.compile(r"([,;:])\s+")
-
-    def pieces(text: str) -> list[str]:
-        out: list[str] = []
-        held: list[str] = []
-        used = 0
-        for sentence in filter(None, (s.strip() for s in sentence_end.split(text or ""))):
-            long = len(sentence) > max_chars
-            if held and (long or used + len(sentence) > max_chars):
-                out.append(" ".join(held))
-                held, used = [], 0
-                if not long:
-                    held, used = [sentence], len(sentence)
-                    continue
-            if long:
-                out.extend(_pack(clause_end.split(sentence), max_chars))
-            elif used + len(sentence) > max_chars:
-                held, used = [sentence], len(sentence)
-            else:
-                held.append(sentence)
-                used += len(sentence) + 1
-        if held:
-            out.append(" ".join(held))
-        return out
-
-    @F.pandas_udf("array<string>")
-    def split_all(texts: pd.Series) -> pd.Series:
-        return texts.map(pieces)
-
-    return split_all
+
+    def packed(pieces):
+        return joined_groups(pieces, group_starts(F.transform(pieces, F.char_length), max_chars, 1, first=1), " ")
+
+    def cut(sentence):
+        # a mark is set off on both sides: before it nothing is lost, after it white space goes
+        return let(F.split(F.regexp_replace(sentence, r"([,;:])\s+", "\uffff$1\uffff"), "\uffff"), packed)
+
+    def all_pieces(sentences):
+        sizes = F.transform(sentences, F.char_length)
+        starts = group_starts(sizes, max_chars, 1, first=1, alone=F.transform(sizes, lambda n: n > max_chars))
+        groups = joined_groups(sentences, starts, " ")
+        return F.flatten(F.zip_with(groups, starts, lambda group, at: F.when(F.get(sizes, at) > max_chars, cut(group)).otherwise(F.array(group))))
+
+    return let(_stripped(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")), all_pieces)
 
 
 def embedding_batches(

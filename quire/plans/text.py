@@ -184,12 +184,44 @@ select doc_id, row_number() over (partition by doc_id order by para, o) - 1 as p
 
 @query("split_paragraphs", SQL_SPLIT_PARAGRAPHS)
 def split_paragraphs(t):
-    return with_paragraphs(t).select("doc_id", F.posexplode(chunking.paragraphs()("text")).alias("pos", "paragraph"))
+    return with_paragraphs(t).select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@query("chunk_sentences_chars")
+# Two recursive walks: over the sentences of a text, and over the clauses of a long sentence.
+SQL_CHUNK_SENTENCES = rf"""with recursive sents as (
+  select doc_id, generate_subscripts(p, 1) as i, unnest(p) as s, len(p) as n from (
+    select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: {TRIM.format('x')}), lambda x: x <> '') as p from documents)),
+walk as (
+  select doc_id, i, n, case when length(s) <= 500 then s end as cur, length(s) + 1 as used, null::varchar as done from sents where i = 1
+  union all
+  select s.doc_id, s.i, s.n,
+    case when length(s.s) > 500 then null when w.cur is null or w.used + length(s.s) > 500 then s.s else w.cur || ' ' || s.s end,
+    case when w.cur is null then length(s.s) + 1 when w.used + length(s.s) > 500 then length(s.s) else w.used + length(s.s) + 1 end,
+    case when length(s.s) > 500 or w.used + length(s.s) > 500 then w.cur end
+  from walk w join sents s on s.doc_id = w.doc_id and s.i = w.i + 1),
+clauses as (
+  select doc_id, i, generate_subscripts(c, 1) as j, unnest(c) as s, len(c) as n from (
+    select doc_id, i, string_split(regexp_replace(s, '([,;:])\s+', chr(2) || '\1' || chr(2), 'g'), chr(2)) as c from sents where length(s) > 500)),
+inner_walk as (
+  select doc_id, i, j, n, s as cur, length(s) + 1 as used, null::varchar as done from clauses where j = 1
+  union all
+  select c.doc_id, c.i, c.j, c.n,
+    case when w.used + length(c.s) > 500 then c.s else w.cur || ' ' || c.s end,
+    case when w.used + length(c.s) > 500 then length(c.s) else w.used + length(c.s) + 1 end,
+    case when w.used + length(c.s) > 500 then w.cur end
+  from inner_walk w join clauses c on c.doc_id = w.doc_id and c.i = w.i and c.j = w.j + 1),
+outs as (
+  select doc_id, i, 0 as o, done as piece from walk where done is not null
+  union all select doc_id, i, 2 * j, done from inner_walk where done is not null
+  union all select doc_id, i, 2 * j + 1, cur from inner_walk where j = n
+  union all select doc_id, i, 1000000, cur from walk where i = n and cur is not null)
+select doc_id, row_number() over (partition by doc_id order by i, o) - 1 as pos, piece from outs"""
+
+
+@query("chunk_sentences_chars", SQL_CHUNK_SENTENCES)
 def chunk_sentences_chars(t):
-    return t.documents.select("doc_id", F.posexplode(chunking.sentence_chunks(500)("text")).alias("pos", "piece"))
+    return t.documents.select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), 500)).alias("pos", "piece"))
 
 
 SQL_CHUNK_PARAGRAPHS = rf"""with recursive {SQL_PARAGRAPHED},
@@ -219,7 +251,7 @@ select doc_id, row_number() over (partition by doc_id order by i, o) - 1 as posi
 
 @query("chunk_paragraphs", SQL_CHUNK_PARAGRAPHS)
 def chunk_paragraphs(t):
-    return with_paragraphs(t).select("doc_id", F.inline(chunking.paragraph_chunks(120, 20)("text")))
+    return with_paragraphs(t).select("doc_id", F.inline(chunking.paragraph_chunks(F.col("text"), 120, 20)))
 
 
 @query("count_tokens", rf"select doc_id, len({SQL_WORDS.format('text')}) as tokens from documents")

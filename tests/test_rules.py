@@ -56,14 +56,14 @@ def test_token_windows_borders(spark):
 def test_sentence_chunks(spark):
     long = "alpha beta, gamma delta; epsilon zeta eta theta"
     df = spark.createDataFrame([(f"One two. Three four! {long}. Five.",)], "t string")
-    got = df.select(chunking.sentence_chunks(20)("t").alias("p")).first().p
+    got = df.select(chunking.sentence_chunks(F.col("t"), 20).alias("p")).first().p
     assert got == ["One two. Three four!", "alpha beta ,", "gamma delta ;", "epsilon zeta eta theta.", "Five."]
 
 
 def test_sentence_chunks_against_brute_force(spark):
     """Packing by the plain rule on whole documents."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: r.p for r in docs.select("doc_id", chunking.sentence_chunks(500)("text").alias("p")).collect()}
+    got = {r.doc_id: r.p for r in docs.select("doc_id", chunking.sentence_chunks(F.col("text"), 500).alias("p")).collect()}
     for row in docs.collect():
         pieces = got[row.doc_id]
         assert "".join("".join(pieces).split()) == "".join(row.text.split())  # nothing lost, order kept
