@@ -30,10 +30,8 @@ def document_chunks(t, size: int = 512, overlap: int = 50) -> DataFrame:
 
 
 def queries(t) -> DataFrame:
-    """One query per benchmark item: its first four tokens."""
-    return t.benchmark.select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(words(F.col("text")), 1, 4), " ").alias("query")
-    )
+    """One query per benchmark item: its whole text."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 # The same tables as SQL common table expressions, for the oracles.
@@ -58,8 +56,7 @@ chunks as (
   from (select *, unnest(range(case when len(w) <= {size} then 1 else ceil((len(w)-{size})/{step}.0)::bigint + 1 end)) as i from tok))"""
 
 
-SQL_QUERIES = rf"""queries as (
-  select item_id as query_id, array_to_string(list_slice({SQL_WORDS.format('text')}, 1, 4), ' ') as query from benchmark)"""
+SQL_QUERIES = "queries as (select item_id as query_id, text as query from benchmark)"
 
 
 def embedded_chunks(t) -> DataFrame:

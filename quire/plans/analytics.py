@@ -113,7 +113,7 @@ def kb_stats(t):
 @query("kb_entries", """
 select lang as kb_id, case when lang = 'en' then 'English' else lang || ' texts' end as title, 'Unknown' as author, count(*) as document_count from documents group by lang
 union all
-select * from (select source, coalesce(nullif(text[:20], ''), '(untitled)'), coalesce(nullif(case when doc_id % 2 = 0 then lang else '' end, ''), 'Unknown'), null from documents
+select * from (select source, coalesce(nullif(text, ''), '(untitled)'), coalesce(nullif(case when doc_id % 2 = 0 then lang else '' end, ''), 'Unknown'), null from documents
   qualify row_number() over (partition by source order by doc_id) <= 200)""")
 def kb_entries(t):
     kbs = t.documents.groupBy(F.col("lang").alias("kb_id")).agg(F.count("*").alias("doc_count")).select(
@@ -121,7 +121,7 @@ def kb_entries(t):
         F.lit("").alias("author"), F.lit(None).cast("string").alias("created_by"), F.lit(None).cast("long").alias("document_count"), "doc_count",
     )
     docs = t.documents.select(
-        F.col("source").alias("kb_id"), F.col("doc_id").alias("document_id"), F.substring("text", 1, 20).alias("title"),
+        F.col("source").alias("kb_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("title"),
         F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("author"),
     )
     return an.kb_entries(kbs, docs).unionByName(an.kb_entries(kbs.where("false"), docs))

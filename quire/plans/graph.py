@@ -233,7 +233,7 @@ def order_sections(t):
 
 
 @query("entity_cross_references", f"""
-with {SQL_ORDER_MENTIONS}, {SQL_SECTIONS}, names as (select distinct upper(p_name) as name from part where p_size > 40),
+with {SQL_ORDER_MENTIONS}, {SQL_SECTIONS}, names as (select distinct upper(p_name) as name from part),
 hits as (select distinct kb_id, document_id, p_name as entity_name from edges join part on p_partkey = entity_id where lower(p_name) in (select lower(name) from names))
 select kb_id, document_id, entity_name, o_orderstatus as document_title, title, chunk_count, start_page
 from hits join orders on o_orderkey = document_id left join sections using (kb_id, document_id)""")
@@ -242,7 +242,7 @@ def entity_cross_references(t):
     edges = mentions.select("kb_id", "document_id", "entity_id").distinct()
     ents = edges.select("kb_id", "entity_id").distinct().join(model.part_entities(t), "entity_id")
     docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kb_id"), F.col("o_orderstatus").alias("document_title"))
-    names = t.part.where("p_size > 40").select(F.upper("p_name").alias("name"))
+    names = t.part.select(F.upper("p_name").alias("name"))
     refs = en.cross_references(edges, ents, docs, order_sections(t), names)
     return refs.select("kb_id", "document_id", "entity_name", "document_title", "title", "chunk_count", "start_page")
 

@@ -222,14 +222,13 @@ def browse_structure(t):
 @query("get_document", rf"""
 with {SQL_MENTIONS},
 docs as (select doc_id as document_id, case when doc_id % 2 = 0 then 'registry' else 'graph' end as source, source as author from documents),
-chapters as (select doc_id as document_id, string_agg(line[:10], '|' order by n) as chapters from (
+chapters as (select doc_id as document_id, string_agg(line, '|' order by n) as chapters from (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents) group by all),
 names as (select document_id, string_agg(distinct name, '|' order by name) as entities from mentions group by all)
 select document_id, source, author, chapters, entities from docs left join chapters using (document_id) left join names using (document_id)""")
 def get_document(t):
     docs = t.documents.select(F.col("doc_id").alias("document_id"), F.col("source").alias("author"))
     chapters = t.documents.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("number", "title"))
-    chapters = chapters.withColumn("title", F.substring("title", 1, 10))
     return hi.get_document(docs.where("document_id % 2 = 0"), docs, chapters, model.document_mentions(t))
 
 

@@ -82,14 +82,14 @@ def facet_values(t):
 SQL_UPDATES = """updates as (
   select 'i' || case when l_linenumber = 7 then 1000000 + l_partkey else l_partkey end as id, 'T' || l_orderkey as title, 'A' || l_suppkey as author,
     case l_returnflag when 'A' then 'm4b' when 'R' then 'combined_pdf' else 'searchable_pdf' end as output_type, 'u/' || l_orderkey || '/' || l_linenumber as path,
-    l_orderkey * 10 + l_linenumber as seq, l_suppkey from lineitem where l_quantity > 40)"""
+    l_orderkey * 10 + l_linenumber as seq, l_suppkey from lineitem)"""
 
 
 def updates(t):
     target = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") + 1000000).otherwise(F.col("l_partkey"))
     path = F.concat(F.lit("u/"), F.concat_ws("/", "l_orderkey", "l_linenumber"))
     none = F.lit(None).cast("string")
-    return t.lineitem.where("l_quantity > 40").select(
+    return t.lineitem.select(
         named("i", target).alias("id"), named("T", F.col("l_orderkey")).alias("title"), named("A", F.col("l_suppkey")).alias("author"),
         F.when(F.col("l_returnflag") == "A", "m4b").when(F.col("l_returnflag") == "R", "combined_pdf").otherwise("searchable_pdf").alias("output_type"),
         F.struct(path.alias("path"), path.alias("filename"), none.alias("kb_id"), none.alias("document_id")).alias("output"),
@@ -210,14 +210,14 @@ def library_delete_output(t):
 @query("library_reingest", f"""
 with {SQL_ITEMS}, chaps as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as number, unnest(string_split(text, chr(10))) as line from documents where doc_id % 3 = 0)
 select i.id, 'kb9' as kb_id, sha256('document' || chr(1) || 'kb9' || chr(1) || i.id)[:12] as document_id, number, 'Line ' || number as title, line as text, number * 2 as start_page
-from items i join chaps on doc_id = k where pdf and k % 2 = 1
+from items i join chaps on doc_id = k where pdf
 union all
-select i.id, 'kb9', sha256('document' || chr(1) || 'kb9' || chr(1) || i.id)[:12], 1, coalesce(title, 'Full Document'), trim(text), 0 from items i join documents on doc_id = k where pdf and k % 2 = 1 and doc_id % 3 <> 0""")
+select i.id, 'kb9', sha256('document' || chr(1) || 'kb9' || chr(1) || i.id)[:12], 1, coalesce(title, 'Full Document'), trim(text), 0 from items i join documents on doc_id = k where pdf and doc_id % 3 <> 0""")
 def library_reingest(t):
     texts = t.documents.select(named("i", F.col("doc_id")).alias("id"), "text", "doc_id")
     lines = texts.where("doc_id % 3 = 0").select("id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     chapters = lines.select("id", (F.col("n") + 1).alias("number"), named("Line ", F.col("n") + 1).alias("title"), "text", ((F.col("n") + 1) * 2).alias("start_page"))
-    requests = t.part.where("p_partkey % 2 = 1").select(named("i", F.col("p_partkey")).alias("id"), F.lit("kb9").alias("kb_id"))
+    requests = t.part.select(named("i", F.col("p_partkey")).alias("id"), F.lit("kb9").alias("kb_id"))
     rows, _ = li.reingest(items(t), texts.select("id", "text"), chapters, requests)
     return rows.select("id", "kb_id", "document_id", "number", "title", "text", "start_page")
 

@@ -122,11 +122,10 @@ def frame_dedupe(t):
     return me.frame_dedupe(shots).select("video", "seq", "duplicate")
 
 
-# Visuals two seconds into every click or view; users divisible by five have no chapters.
+# Visuals two seconds into every segment; users divisible by five have no chapters.
 def visuals(t):
     kind = F.when(F.col("seq") % 3 == 0, "talking_head").otherwise("slide")
-    rows = model.segments(t).where("text rlike '^(click|view)'")
-    return rows.select(
+    return model.segments(t).select(
         "recording", (F.col("start") + 2).alias("t"), F.when(F.col("seq") % 11 != 0, F.concat(F.lit("shows "), "text")).otherwise("").alias("description"),
         kind.alias("kind"), (F.col("seq") % 4 != 0).alias("has_content"),
     )
@@ -143,7 +142,7 @@ every as (
   union all select recording, 1, 'Full Video', 0, max(fin) from segs where recording % 5 = 0 group by recording),
 shown as (
   select recording, start + 2 as t, 'shows ' || text as description, case when seq % 3 = 0 then 'talking_head' else 'slide' end as kind from segs
-  where regexp_matches(text, '^(click|view)') and seq % 11 <> 0 and seq % 4 <> 0),
+  where seq % 11 <> 0 and seq % 4 <> 0),
 seen as (select e.recording, e.chapter, t, description, kind from every e join shown s on s.recording = e.recording and t >= e.start and t <= e.fin),
 texts as (
   select c.recording, c.chapter, string_agg(s.text, ' ' order by s.start, s.seq) as text from every c join segs s on s.recording = c.recording and s.start >= c.start and s.fin <= c.fin group by all),
@@ -203,12 +202,12 @@ def batch_totals(t):
 
 @query("chapter_markers", r"""
 with files as (
-  select source as archive, doc_id as seq, case when doc_id % 3 = 0 then 'intro_' || doc_id else 'chapter_0' || doc_id || '_' || replace(text[:12], ' ', '_') end as stem, n_chars * 10 as ms from documents)
+  select source as archive, doc_id as seq, case when doc_id % 3 = 0 then 'intro_' || doc_id else 'chapter_0' || doc_id || '_' || replace(text, ' ', '_') end as stem, n_chars * 10 as ms from documents)
 select archive, seq, case when regexp_matches(stem, '^chapter_(\d+)_(.+)') then 'Chapter ' || regexp_extract(stem, '^chapter_(\d+)_(.+)', 1)::bigint || ': ' || replace(regexp_extract(stem, '^chapter_(\d+)_(.+)', 2), '_', ' ') else stem end as title,
   (sum(ms) over w - ms)::bigint as start_ms, (sum(ms) over w)::bigint as end_ms from files window w as (partition by archive order by seq)""")
 def chapter_markers(t):
     i = F.col("doc_id")
-    chapter = F.concat(F.lit("chapter_0"), i.cast("string"), F.lit("_"), F.replace(F.substring("text", 1, 12), F.lit(" "), F.lit("_")))
+    chapter = F.concat(F.lit("chapter_0"), i.cast("string"), F.lit("_"), F.replace(F.col("text"), F.lit(" "), F.lit("_")))
     stem = F.when(i % 3 == 0, F.concat(F.lit("intro_"), i.cast("string"))).otherwise(chapter)
     files = t.documents.select(F.col("source").alias("archive"), i.alias("seq"), stem.alias("stem"), (F.col("n_chars") * 10).alias("duration_ms"))
     return me.chapter_markers(files)

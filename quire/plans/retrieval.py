@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire import model
-from quire.functions.text import words
-from quire.model import SQL_DOCUMENTS, SQL_MENTIONS, SQL_QUERIES, SQL_WORDS, sql_bm25, sql_chunks
+from quire.model import SQL_DOCUMENTS, SQL_MENTIONS, SQL_QUERIES, sql_bm25, sql_chunks
 from quire.operators import retrieval as rt
 from quire.operators.fulltext import best_hits, bm25
 from quire.plans.registry import query
@@ -144,14 +143,6 @@ linked as (
 once as (select *, row_number() over (partition by query_id, chunk_id order by kb_id, er, cr) as o from linked qualify o = 1),
 graph as (select query_id, chunk_id, document_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from once)"""
 
-# Queries with more chance to name entities: the whole benchmark passages.
-SQL_LONG_QUERIES = "queries as (select item_id as query_id, text as query from benchmark)"
-
-
-def long_queries(t):
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
 def chunk_table(t):
     """The chunks as a table, for plans that read them several times."""
     return stored(model.document_chunks(t, 128, 16), "chunks")
@@ -164,17 +155,16 @@ def graph_hits(t, chunks, asked, k):
 
 
 @query("graph_entity_search", f"""
-with {CHUNKS}, {SQL_LONG_QUERIES}, {SQL_MENTIONS}, {SQL_GRAPH}
+with {CHUNKS}, {SQL_QUERIES}, {SQL_MENTIONS}, {SQL_GRAPH}
 select query_id, chunk_id, document_id, score, rank from graph where rank <= 10""")
 def graph_entity_search(t):
-    return graph_hits(t, chunk_table(t), long_queries(t), 10).select("query_id", "chunk_id", "document_id", "score", "rank")
+    return graph_hits(t, chunk_table(t), model.queries(t), 10).select("query_id", "chunk_id", "document_id", "score", "rank")
 
 
-# Hybrid search: every document with a vector asks with its first words and its vector; the
+# Hybrid search: every document with a vector asks with its whole text and its vector; the
 # vector belongs to the first chunk of the document.
 def hybrid_queries(t):
-    first = F.array_join(F.slice(words(F.col("text")), 1, 4), " ")
-    asked = t.documents.select(F.col("doc_id").alias("query_id"), first.alias("query"))
+    asked = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
 
@@ -194,7 +184,7 @@ def keyword_hits(chunks, asked, k):
 
 
 SQL_HYBRID_QUERIES = f"""queries as (
-  select doc_id as query_id, array_to_string(list_slice({SQL_WORDS.format('text')}, 1, 4), ' ') as query, embedding as vector
+  select doc_id as query_id, text as query, embedding as vector
   from documents join embeddings on vec_id = doc_id)"""
 SQL_KEYS = "keys as (select chunk_id, document_id || ':' || chunk_id || ':' || md5(text)[:16] as key from chunks)"
 
@@ -299,7 +289,7 @@ def rag_sources(t):
 
 @query("chat_messages", f"""
 with {CHUNKS}, lasts as (select conv_id, max(turn) as last from conversations where role = 'user' group by conv_id),
-queries as (select c.conv_id as query_id, array_to_string(list_slice({SQL_WORDS.format('c.text')}, 1, 4), ' ') as query from conversations c join lasts l on c.conv_id = l.conv_id and c.turn = l.last),
+queries as (select c.conv_id as query_id, c.text as query from conversations c join lasts l on c.conv_id = l.conv_id and c.turn = l.last),
 {sql_bm25('hits', 'chunks', 'chunk_id', 'text', 'queries')},
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from hits qualify rank <= 3),
 ctx as (select query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) order by rank) as context from ranked join chunks using (chunk_id) group by query_id)
@@ -311,7 +301,7 @@ select c.conv_id, case when c.turn = last then 2 else 1 end, c.turn, c.role, c.t
 def chat_messages(t):
     turns = t.conversations.withColumnRenamed("conv_id", "session_id")
     last = turns.where("role = 'user'").groupBy("session_id").agg(F.max_by("text", "turn").alias("text"))
-    asked = last.select(F.col("session_id").alias("query_id"), F.array_join(F.slice(words(F.col("text")), 1, 4), " ").alias("query"))
+    asked = last.select(F.col("session_id").alias("query_id"), F.col("text").alias("query"))
     chunks = chunk_table(t)
     hits = rt.keyword_search(chunks, asked, 3).join(chunks.select("chunk_id", "text"), "chunk_id")
     contexts = rt.rag_context(hits).select(F.col("query_id").alias("session_id"), F.lit("all").alias("kb_name"), "context")

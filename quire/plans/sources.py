@@ -181,7 +181,7 @@ EXPORT_SCHEMAS = {
 
 def export_parts(t):
     mentions = model.document_mentions(t)
-    docs = t.documents.select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("author"))
+    docs = t.documents.select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("source").alias("author"))
     cites = docs.select("kb_id", F.col("id").alias("source_id")).join(docs.select("kb_id", (F.col("id") - 4).alias("source_id"), F.col("id").alias("target_id")), ["kb_id", "source_id"])
     chunks = model.document_chunks(t, 128, 16).select("kb_id", F.col("chunk_id").alias("id"), "document_id", "text", "position", F.array(F.lit(0.5)).alias("embedding"))
     return {
@@ -210,7 +210,7 @@ def sink_export(t):
 
 @query("src_import", f"""
 with {SQL_EXPORT}
-select 'document' as kind, 'copy' as kb_id, sha256('copy' || chr(1) || doc_id)[:12] as id, text[:20] as value from documents where lang = 'en'
+select 'document' as kind, 'copy' as kb_id, sha256('copy' || chr(1) || doc_id)[:12] as id, text as value from documents where lang = 'en'
 union all select 'chunk', 'copy', sha256('copy' || chr(1) || document_id)[:12] || ':' || position, text from chunks where kb_id = 'en'
 union all select distinct 'entity', 'copy', sha256('copy' || chr(1) || entity_id)[:12], name from mentions where kb_id = 'en'
 union all select 'relationship', 'copy', sha256('copy' || chr(1) || source_id)[:12], sha256('copy' || chr(1) || target_id)[:12] from rels where kb_id = 'en'""")

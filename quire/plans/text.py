@@ -373,7 +373,7 @@ def has_entity_indicators(t):
 @query("parse_toc_lines", rf"""
 with toc as (
   select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
-    '  ' || i || ' ' || line[:30] || case when i % 3 = 0 then '' else ' ' || (i * 7) end), chr(10)) as toc from documents),
+    '  ' || i || ' ' || line || case when i % 3 = 0 then '' else ' ' || (i * 7) end), chr(10)) as toc from documents),
 lines as (select doc_id, {TRIM.format('unnest(string_split(toc, chr(10)))')} as line from toc)
 select doc_id, regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 1)::bigint as number, {TRIM.format(r"regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 2)")} as title,
        regexp_extract(line, '^(\d+)\s+(.+?)\s+(\d+)$', 3)::bigint + 13 as start_page
@@ -381,7 +381,7 @@ from lines where regexp_matches(line, '^(\d+)\s+(.+?)\s+(\d+)$')""")
 def parse_toc_lines(t):
     def entry(line, i):
         page = F.when((i + 1) % 3 == 0, "").otherwise(F.concat(F.lit(" "), ((i + 1) * 7).cast("string")))
-        return F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(" "), F.substring(line, 1, 30), page)
+        return F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(" "), line, page)
 
     toc = F.array_join(F.transform(F.split("text", "\n"), entry), "\n")
     return t.documents.select("doc_id", F.inline(fx.toc_entries(toc)))
@@ -389,7 +389,7 @@ def parse_toc_lines(t):
 
 @query("detect_headings", r"""
 with lines as (
-  select doc_id, unnest(string_split(text, chr(10)))[:20] as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 entries as (
   select doc_id, i, i * 3 as page, case i % 6 when 0 then 'Chapter ' || i || ': ' || line when 1 then 'PART IV ' || line
     when 2 then i || ' Introduction to words' when 3 then 'Page_' || i || '.pdf' when 4 then '12-' || i || '.pdf' else line end as title from lines),
@@ -403,7 +403,7 @@ def detect_headings(t):
     from quire.operators.hierarchy import headings
 
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    i, line = F.col("p") + 1, F.substring("line", 1, 20)
+    i, line = F.col("p") + 1, F.col("line")
     text_i = i.cast("string")
     title = (
         F.when(i % 6 == 0, F.concat(F.lit("Chapter "), text_i, F.lit(": "), line))
@@ -419,7 +419,7 @@ def detect_headings(t):
 # Structure trees: a chapter per line of a document with the sentences of the line as children.
 @query("flatten_structure", rf"""
 with lines as (
-  select doc_id, unnest(string_split(text, chr(10)))[:40] as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 nodes as (
   select doc_id, i, 0 as j, line as title, case when i % 2 = 0 then i end as number, i * 2 as page from lines
   union all
@@ -428,7 +428,7 @@ select doc_id, coalesce(number, pos + 1)::int as number, case when title = '' th
   select *, row_number() over (partition by doc_id order by i, j) - 1 as pos from nodes)""")
 def flatten_structure(t):
     def chapter(line, i):
-        head = F.substring(line, 1, 40)
+        head = line
         none = F.lit(None).cast("int")
         return F.struct(
             F.when((i + 1) % 2 == 0, i + 1).alias("number"), head.alias("title"), ((i + 1) * 2).alias("start_page"),
@@ -446,7 +446,7 @@ def flatten_structure(t):
 with files as (select p_brand as set_id, p_partkey as pos, p_name || '-' || p_partkey || '.pdf' as name from part),
 wanted as (
   select p_brand as set_id, 1000000000 - p_partkey as rank,
-    case when p_partkey % 3 = 0 then p_name || '-' || p_partkey || '.pdf' else p_partkey || '.pdf' end as wanted from part where p_size > 25),
+    case when p_partkey % 3 = 0 then p_name || '-' || p_partkey || '.pdf' else p_partkey || '.pdf' end as wanted from part),
 hits as (
   select w.set_id, w.rank, f.name, row_number() over (partition by w.set_id, w.rank order by case when f.name = w.wanted then 0 else 1 end, f.pos) as r
   from wanted w join files f on f.set_id = w.set_id and (f.name = w.wanted or contains(f.name, w.wanted) or contains(w.wanted, f.name)))
@@ -457,7 +457,7 @@ def reorder_files_query(t):
     name = F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
     files = t.part.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("pos"), name.alias("name"))
     short = F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
-    wanted = t.part.where("p_size > 25").select(
+    wanted = t.part.select(
         F.col("p_brand").alias("set_id"), (F.lit(1000000000) - F.col("p_partkey")).alias("rank"),
         F.when(F.col("p_partkey") % 3 == 0, name).otherwise(short).alias("wanted"),
     )
