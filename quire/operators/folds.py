@@ -4,8 +4,8 @@ Some results depend on all earlier rows of a key through a small state (packing
 opening chapters, keeping frames). The rows are range-partitioned by key and order, so a hot key
 spreads over many partitions, and each task streams its rows once. A partition whose first key
 began earlier needs the state its predecessor ends with: it starts from a guess, and partitions
-are run again only while a guess proves wrong. Such states forget quickly, so one repair round is
-usual. Only one small state per partition reaches the driver.
+are run again only while a guess proves wrong: once if the state forgets, as many times as there
+are partitions if it counts. Only one small state per partition reaches the driver.
 """
 
 from __future__ import annotations
@@ -41,13 +41,16 @@ def ordered_fold(
     else:
         ranged = df.repartitionByRange(*keys, *order)
     parts = cut_lineage(ranged.sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    key_cols, in_cols = list(keys), list(inputs)
+    in_cols = list(inputs)
+    # only what the fold reads passes through pandas; the other columns never leave Spark
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    parts = parts.withColumn("_id", F.monotonically_increasing_id())
+    narrow = parts.select("_part", "_id", key.alias("_key"), *in_cols)
 
     def labels(pdf: pd.DataFrame, entries: dict, memo: dict) -> list:
         result = []
-        key_rows = zip(*[pdf[c] for c in key_cols]) if key_cols else ((),) * len(pdf)
-        for part, key, values in zip(pdf["_part"], key_rows, zip(*[pdf[c] for c in in_cols])):
-            if memo.get("key", memo) != key:
+        for part, key, values in zip(pdf["_part"], pdf["_key"], zip(*[pdf[c] for c in in_cols])):
+            if memo.get("key") != key:
                 first = "key" not in memo
                 memo["state"] = _revive(entries[part]) if first and part in entries else start
                 if first:
@@ -66,8 +69,8 @@ def ordered_fold(
                 yield pd.DataFrame(
                     {
                         "part": [memo["part"]],
-                        "first": [repr(memo["first"])],
-                        "last": [repr(memo["key"])],
+                        "first": [memo["first"]],
+                        "last": [memo["key"]],
                         "state": [json.dumps(memo["state"])],
                     }
                 )
@@ -78,14 +81,13 @@ def ordered_fold(
         def run(batches):
             memo: dict = {}
             for pdf in batches:
-                pdf[out] = pd.Series(labels(pdf, entries, memo), index=pdf.index, dtype="object")
-                yield pdf.drop(columns="_part")
+                yield pd.DataFrame({"_id": pdf["_id"], out: pd.Series(labels(pdf, entries, memo), index=pdf.index, dtype="object")})
 
         return run
 
-    entries = _entry_states(parts, summarise) if parts.rdd.getNumPartitions() > 1 else {}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "_part")
-    return parts.mapInPandas(emit(entries), f"{schema}, `{out}` {out_type}")
+    entries = _entry_states(narrow, summarise) if parts.rdd.getNumPartitions() > 1 else {}
+    labelled = narrow.mapInPandas(emit(entries), f"_id long, `{out}` {out_type}")
+    return parts.join(labelled, "_id").drop("_id", "_part")
 
 
 def _entry_states(parts: DataFrame, summarise) -> dict:

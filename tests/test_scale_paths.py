@@ -134,23 +134,55 @@ def test_two_hops_against_paths(spark):
     assert got == sorted((a, b, 0.5 * len(e)) for (a, b), e in ends.items())
 
 
-def test_vector_blocks_equal_broadcast(spark, monkeypatch):
+def vector_hits(*args, **named):
+    return rows_of(retrieval.vector_search(*args, **named), "query_id", "rank", "chunk_id", "distance")
+
+
+def test_vector_blocks(spark):
+    """Blocks of any size find the same neighbours."""
     rnd = random.Random(5)
     rows = [(i, i % 3, [round(rnd.random(), 2) for _ in range(4)]) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, kb_id int, vector array<float>")
     queries = df.select(F.col("id").alias("query_id"), "kb_id", "vector")
     chunks = df.select(F.col("id").cast("string").alias("chunk_id"), "kb_id", "vector")
-    small = rows_of(retrieval.vector_search(queries, chunks, 4, ["kb_id"]), "query_id", "rank", "chunk_id", "distance")
-    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 20)
-    monkeypatch.setattr(retrieval, "BLOCK_CHUNKS", 25)
-    blocks = rows_of(retrieval.vector_search(queries, chunks, 4, ["kb_id"], broadcast_bytes=0), "query_id", "rank", "chunk_id", "distance")
-    assert blocks == small
+    whole = vector_hits(queries, chunks, 4, ["kb_id"])
+    assert vector_hits(queries, chunks, 4, ["kb_id"], block_bytes=200) == whole
+    assert len(vector_hits(queries, chunks, 4)) == 360
     for q in (0, 17):
         near = sorted((round(sum((a - b) ** 2 for a, b in zip(rows[q][2], v)), 6), str(i)) for i, kb, v in rows if kb == q % 3)[:4]
-        got = [(round(d, 4), c) for qid, _, c, d in small if qid == q]
+        got = [(round(d, 4), c) for qid, _, c, d in whole if qid == q]
         assert got == [(round(d, 4), c) for d, c in near]
 
 
+def test_vector_filters(spark):
+    """A query without chunks has no hits; null equals nothing; integers stay integers beside nulls."""
+    queries = spark.createDataFrame([("a", 3, [1.0]), ("b", None, [1.0]), ("c", 9, [1.0]), ("d", 3, [])], "query_id string, kb_id int, vector array<double>")
+    chunks = spark.createDataFrame([("x", 3, [2.0]), ("y", None, [1.0]), ("z", 3, None)], "chunk_id string, kb_id int, vector array<double>")
+    assert vector_hits(queries, chunks, 2, ["kb_id"]) == [("a", 1, "x", 1.0)]
+    assert vector_hits(queries.where("query_id = 'c'"), chunks, 2, ["kb_id"]) == []
+    assert vector_hits(queries, chunks.limit(0), 2) == []
+    ties = spark.createDataFrame([(f"t{i}", 3, [0.0]) for i in range(9)], "chunk_id string, kb_id int, vector array<double>")
+    assert [h[2] for h in vector_hits(queries.where("query_id = 'a'"), ties, 3, ["kb_id"])] == ["t0", "t1", "t2"]
+
+
+def test_wide_vectors(spark):
+    wide = spark.range(40).select(F.col("id").cast("string").alias("chunk_id"), F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda i: (F.col("id") * 7 % 40 + i % 2).cast("double")).alias("vector"))
+    got = vector_hits(wide.select(F.col("chunk_id").alias("query_id"), "vector"), wide, 1, block_bytes=8 * 3072 * 10)
+    assert [h[2] for h in got] == [h[0] for h in got] and len(got) == 40
+
+
+def test_folds_keep_values(spark):
+    """Big and null integers beside the folded columns come back as they were; null is a key."""
+    from quire.operators.folds import ordered_fold
+
+    big = 9007199254740993
+    rows = [(1, 1, big, None), (1, 2, None, 5), (None, 1, big, 1), (None, 2, None, big)]
+    df = spark.createDataFrame(rows, "k long, i int, big long, other long")
+    got = ordered_fold(df, ["k"], ["i"], ["i"], lambda n, _: (n + 1, n), 0, "n", "int").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1, big, None, 0), (1, 2, None, 5, 1), (None, 1, big, 1, 0), (None, 2, None, big, 1)], key=repr)
+
+
+
 def test_closure_with_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     starts = spark.createDataFrame([("r1", "a"), ("r2", "d"), ("r3", "z")], "request string, node string")
