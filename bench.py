@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -21,8 +22,10 @@ HEADLINE = [
     "vector_search", "keyword_search", "context_window", "extract_entities", "mention_edges", "document_entities",
     "related_shared_entity_1hop", "infer_related_concepts", "kb_dependency_closure", "link_chunks_to_sections", "course_structure",
     "delete_document_cascade", "similar_documents", "match_citations", "search_analytics", "kb_stats", "library_upsert", "library_bulk",
-    "detect_chapters", "merged_text", "reconstruct_lines",
+    "detect_chapters", "merged_text", "reconstruct_lines", "make_embedding_batches", "infer_document_relations", "related_shared_entity_2hop",
 ]
+# a query this quick is run three times, and the median counts
+QUICK_SECONDS = 3
 
 
 def main() -> None:
@@ -48,9 +51,12 @@ def main() -> None:
     spark.range(1000).mapInPandas(lambda batches: batches, "id long").count()
     times = {}
     for name in names:
-        start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        runs: list[float] = []
+        while len(runs) < 3 and (not runs or runs[0] < QUICK_SECONDS):
+            start = time.perf_counter()
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        times[name] = round(statistics.median(runs), 3)
     print(json.dumps({
         "metric": "headline queries, total time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cpus,
