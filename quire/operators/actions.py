@@ -15,9 +15,9 @@ BULK_TYPE = "library.bulk"
 
 
 def list_actions(actions: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of actions, newest first; `limit` is kept within 1 and 500."""
+    """A page of actions, newest first."""
     kept = actions.where(F.col("status") == status) if status else actions
-    return kept.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(max(1, min(limit, 500)))
+    return kept.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(limit)
 
 
 def audit(actions: DataFrame, status: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:

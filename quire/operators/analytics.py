@@ -90,18 +90,19 @@ def kb_list(kbs: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.select(*kbs.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS])
 
 
-def kb_entries(kbs: DataFrame, docs: DataFrame, k: int = 200) -> DataFrame:
-    """KB rows with title and author fallbacks; when there are none, the first documents per KB."""
+def kb_entries(kbs: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """KB rows with title and author fallbacks; when there are none, the documents per KB: the first k,
+    or all. Which it is, is part of the plan."""
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.lit("(untitled)"))
     author = F.coalesce(F.nullif(F.col("author"), F.lit("")), F.nullif(F.col("created_by"), F.lit("")), F.lit("Unknown"))
     entries = kbs.select("kb_id", title.alias("title"), author.alias("author"), F.coalesce("document_count", "doc_count").alias("document_count"))
-    if not kbs.isEmpty():
-        return entries
-    first = top_k(docs, ["kb_id"], [F.col("document_id")], k)
-    return first.select(
+    first = docs if k is None else top_k(docs, ["kb_id"], [F.col("document_id")], k)
+    some = kbs.limit(1).select(F.lit(1).alias("_some"))
+    only = first.withColumn("_some", F.lit(1)).join(F.broadcast(some), "_some", "left_anti")
+    return entries.unionByName(only.select(
         "kb_id", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("(untitled)")).alias("title"),
         F.coalesce(F.nullif(F.col("author"), F.lit("")), F.lit("Unknown")).alias("author"), F.lit(None).cast("long").alias("document_count"),
-    )
+    ))
 
 
 def job_overview(jobs: DataFrame) -> DataFrame:

@@ -26,6 +26,13 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None = None, rank: str = "rank") -> DataFrame:
+    """All rows of each group numbered in order, or the first `k`."""
+    if k is not None:
+        return top_k(df, by, order, k, rank)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in `order`; duplicates are cut before the shuffle."""
     return top_k(df, keys, order, 1, "_rank").drop("_rank")

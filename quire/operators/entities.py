@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import count_tokens, strip, words
-from quire.operators.common import first_per_key, let, top_k
+from quire.operators.common import first_per_key, let, ranked
 
 # Extractor labels and the entity types they map to.
 ENTITY_TYPES = {
@@ -170,10 +170,11 @@ def document_entities(edges: DataFrame, entities: DataFrame, type_: str | None =
     return edges.join(described.join(counts, ["kb_id", "entity_id"]), ["kb_id", "entity_id"])
 
 
-def get_entities(entities: DataFrame, k: int = 100) -> DataFrame:
-    """Distinct (kb, name, type), the first k in that order."""
+def get_entities(entities: DataFrame, k: int | None = None) -> DataFrame:
+    """Distinct (kb, name, type): all, or the first k in that order."""
     order = ["kb_id", "name", "type"]
-    return entities.select(*order).distinct().orderBy(*order).limit(k)
+    rows = entities.select(*order).distinct()
+    return rows if k is None else rows.orderBy(*order).limit(k)
 
 
 def cross_references(edges: DataFrame, entities: DataFrame, docs: DataFrame, sections: DataFrame, names: DataFrame) -> DataFrame:
@@ -188,8 +189,8 @@ def cross_references(edges: DataFrame, entities: DataFrame, docs: DataFrame, sec
     return named.join(sections, ["kb_id", "document_id"], "left")
 
 
-def chunk_related_concepts(section_entities: DataFrame, chunk_sections: DataFrame, k: int = 20) -> DataFrame:
-    """The first k distinct entity names of each chunk's section, in name order."""
+def chunk_related_concepts(section_entities: DataFrame, chunk_sections: DataFrame, k: int | None = None) -> DataFrame:
+    """The distinct entity names of each chunk's section in name order; the first k, or all."""
     distinct = section_entities.select("section_id", "name").distinct()
-    best = top_k(distinct, ["section_id"], [F.col("name")], k, "place")
+    best = ranked(distinct, ["section_id"], [F.col("name")], k, "place")
     return chunk_sections.join(best, "section_id").select("chunk_id", "name", "place")

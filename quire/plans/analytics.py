@@ -113,8 +113,7 @@ def kb_stats(t):
 @query("kb_entries", """
 select lang as kb_id, case when lang = 'en' then 'English' else lang || ' texts' end as title, 'Unknown' as author, count(*) as document_count from documents group by lang
 union all
-select * from (select source, coalesce(nullif(text, ''), '(untitled)'), coalesce(nullif(case when doc_id % 2 = 0 then lang else '' end, ''), 'Unknown'), null from documents
-  qualify row_number() over (partition by source order by doc_id) <= 200)""")
+select * from (select source, coalesce(nullif(text, ''), '(untitled)'), coalesce(nullif(case when doc_id % 2 = 0 then lang else '' end, ''), 'Unknown'), null from documents)""")
 def kb_entries(t):
     kbs = t.documents.groupBy(F.col("lang").alias("kb_id")).agg(F.count("*").alias("doc_count")).select(
         "kb_id", F.when(F.col("kb_id") == "en", "English").otherwise("").alias("title"), F.concat("kb_id", F.lit(" texts")).alias("name"),

@@ -134,10 +134,10 @@ def document_entities(t):
 
 @query("get_entities", f"""
 with {SQL_ORDER_MENTIONS}
-select distinct kb_id, p_name as name, p_type as type from edges join part on p_partkey = entity_id order by 1, 2, 3 limit 100""")
+select distinct kb_id, p_name as name, p_type as type from edges join part on p_partkey = entity_id""")
 def get_entities(t):
     edges = model.order_mentions(t).select("kb_id", "entity_id").distinct()
-    return en.get_entities(edges.join(model.part_entities(t), "entity_id"), 100)
+    return en.get_entities(edges.join(model.part_entities(t), "entity_id"))
 
 
 SQL_ONE_HOP = """one as (
@@ -250,7 +250,7 @@ def entity_cross_references(t):
 @query("chunk_related_concepts", f"""
 with {SQL_ORDER_MENTIONS},
 names as (select distinct chapter_id, p_name as name from lines join part on p_partkey = entity_id),
-best as (select *, row_number() over (partition by chapter_id order by name) as place from names qualify place <= 20)
+best as (select *, row_number() over (partition by chapter_id order by name) as place from names)
 select document_id || ':' || l_linenumber || ':' || entity_id as chunk_id, name, place from lines join best using (chapter_id)""")
 def chunk_related_concepts(t):
     rows = model.order_mentions(t).withColumnRenamed("chapter_id", "section_id")
@@ -290,7 +290,7 @@ SQL_KNOWN_PREREQS = """known as (
 with {SQL_COURSES}, {SQL_KNOWN_PREREQS}
 select m1.kb_id, t1.topic_id as t1, t2.topic_id as t2, row_number() over (partition by m1.kb_id order by t1.topic_id, t2.topic_id) as rank
 from modules m1 join modules m2 on m1.course_id = m2.course_id and m1.ord < m2.ord join topics t1 on t1.module_id = m1.module_id join topics t2 on t2.module_id = m2.module_id
-where not exists (select 1 from known where src = t1.topic_id and dst = t2.topic_id) qualify rank <= 100""")
+where not exists (select 1 from known where src = t1.topic_id and dst = t2.topic_id)""")
 def infer_prerequisites(t):
     return gr.inferred_prerequisites(model.modules(t), model.topics(t), known_prerequisites(t))
 

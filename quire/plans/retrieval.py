@@ -136,13 +136,16 @@ SQL_GRAPH = f"""ents as (select distinct kb_id, entity_id, name from mentions),
 er as (select *, row_number() over (partition by query_id, kb_id order by score desc, entity_id) as er from eh qualify er <= 10),
 nq as (select distinct name as query_id, name as query from er),
 {sql_bm25('nh', 'chunks', 'chunk_id, kb_id, document_id', 'text', 'nq')},
-nr as (select *, row_number() over (partition by query_id, kb_id order by score desc, chunk_id) as cr from nh qualify cr <= 5),
+nr as (
+  select e.kb_id, e.entity_id, chunk_id, document_id, score, row_number() over (partition by e.kb_id, e.entity_id order by score desc, chunk_id) as cr
+  from (select distinct kb_id, entity_id, name from er) e join nh on nh.kb_id = e.kb_id and nh.query_id = e.name
+  where exists (select 1 from mentions m where m.kb_id = e.kb_id and m.entity_id = e.entity_id and m.document_id = nh.document_id) qualify cr <= 5),
 linked as (
-  select er.query_id, er.kb_id, er.er, nr.chunk_id, nr.document_id, nr.score, nr.cr from er join nr on nr.kb_id = er.kb_id and nr.query_id = er.name
-  where exists (select 1 from mentions m where m.kb_id = er.kb_id and m.entity_id = er.entity_id and m.document_id = nr.document_id)),
+  select er.query_id, er.kb_id, er.er, nr.chunk_id, nr.document_id, nr.score, nr.cr from er join nr on nr.kb_id = er.kb_id and nr.entity_id = er.entity_id),
 once as (select *, row_number() over (partition by query_id, chunk_id order by kb_id, er, cr) as o from linked qualify o = 1),
 graph as (select query_id, chunk_id, document_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from once)"""
 
+
 def chunk_table(t):
     """The chunks as a table, for plans that read them several times."""
     return stored(model.document_chunks(t, 128, 16), "chunks")

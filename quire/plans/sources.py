@@ -233,10 +233,9 @@ def src_import(t):
     )
 
 
-# Search and view events appended by event type; the newest thousand of each are kept.
+# Search and view events appended by event type; all are kept.
 @query("sink_event_log", """
-select case when event_type in ('click', 'purchase') then 'search' else 'view' end as kind, event_id from events
-qualify row_number() over (partition by case when event_type in ('click', 'purchase') then 'search' else 'view' end order by ts desc, event_id desc) <= 1000""")
+select case when event_type in ('click', 'purchase') then 'search' else 'view' end as kind, event_id from events""")
 def sink_event_log(t):
     kind = F.when(F.col("event_type").isin("click", "purchase"), "search").otherwise("view")
     stream = jobs.read_table(t.spark, t.folder, "events").select(kind.alias("kind"), "event_id", "ts")
@@ -244,11 +243,10 @@ def sink_event_log(t):
     return co.keep_newest(log, ["kind"], [F.desc("ts"), F.desc("event_id")]).select("kind", "event_id")
 
 
-# A snapshot of the event counts per type and hour; the newest hundred hours stay.
+# A snapshot of the event counts per type and hour; all hours stay.
 @query("sink_stats_snapshot", """
-with snaps as (select date_trunc('hour', ts) as hr, event_type as kb_id, count(*) as documents from events group by all),
-times as (select distinct hr from snaps order by hr desc limit 100)
-select strftime(hr, '%Y-%m-%d %H:%M') as snapshot_at, kb_id, documents from snaps where hr in (select hr from times)""")
+with snaps as (select date_trunc('hour', ts) as hr, event_type as kb_id, count(*) as documents from events group by all)
+select strftime(hr, '%Y-%m-%d %H:%M') as snapshot_at, kb_id, documents from snaps""")
 def sink_stats_snapshot(t):
     counts = t.events.groupBy(F.date_trunc("hour", "ts").alias("snapshot_at"), F.col("event_type").alias("kb_id")).agg(F.count("*").alias("documents"))
     path = scratch_folder(t.spark, "snapshots")

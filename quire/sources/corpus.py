@@ -132,14 +132,18 @@ def merge_import(existing: DataFrame, imported: DataFrame, keys: list[str]) -> D
     return upsert(existing, imported, keys)
 
 
-def keep_newest(events: DataFrame, kinds: list[str], order: list[Column], k: int = 1000) -> DataFrame:
-    """Retention of an event log: the newest k rows of each kind."""
+def keep_newest(events: DataFrame, kinds: list[str], order: list[Column], k: int | None = None) -> DataFrame:
+    """Retention of an event log: the newest k rows of each kind, or all."""
+    if k is None:
+        return events
     from quire.operators.common import top_k
 
     return top_k(events, kinds, order, k, "_r").drop("_r")
 
 
-def keep_snapshots(snapshots: DataFrame, k: int = 100) -> DataFrame:
-    """Rows of the newest k snapshot times."""
+def keep_snapshots(snapshots: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows of the newest k snapshot times, or all."""
+    if k is None:
+        return snapshots
     times = snapshots.select("snapshot_at").distinct().orderBy(F.desc("snapshot_at")).limit(k)
     return snapshots.join(times, "snapshot_at", "left_semi")
