@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quire import model
@@ -76,22 +72,15 @@ def src_downloads(t):
     return list_downloads(listing(t), "*.MP").select("name", "path", "length", F.unix_seconds("modificationTime").alias("modified"))
 
 
-# An archive per document: a member per line, a folder and a resource fork.
-def archives(t):
-    def pack(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as z:
-                    z.writestr("lectures/", b"")
-                    z.writestr("__MACOSX/x.mp4", b"12345")
-                    for i, line in enumerate(text.split("\n")):
-                        z.writestr(f"lectures/part_{i}" + (".mp4" if i % 2 else ".txt"), line.encode())
-                rows.append((str(doc_id), out.getvalue()))
-            yield pd.DataFrame(rows, columns=["archive", "content"])
-
-    return t.documents.select("doc_id", "text").mapInPandas(pack, "archive string, content binary")
+# An archive listing per document: a member per line, a folder and a resource fork.
+def members(t):
+    line = F.struct(
+        F.concat(F.lit("lectures/part_"), F.col("i").cast("string"), F.when(F.col("i") % 2 == 1, ".mp4").otherwise(".txt")).alias("name"), F.octet_length("line").cast("long").alias("size")
+    )
+    archive = F.col("doc_id").cast("string").alias("archive")
+    lines = t.documents.select(archive, F.posexplode(F.split("text", "\n")).alias("i", "line")).select("archive", (F.col("i") + 2).alias("position"), line.alias("m"))
+    fixed = [F.struct(F.lit("lectures/").alias("name"), F.lit(0).cast("long").alias("size")), F.struct(F.lit("__MACOSX/x.mp4").alias("name"), F.lit(5).cast("long").alias("size"))]
+    return lines.unionByName(t.documents.select(archive, F.posexplode(F.array(*fixed)).alias("position", "m"))).select("archive", "position", "m.*")
 
 
 SQL_ARCHIVES = """lines as (
@@ -107,13 +96,13 @@ shown as (
   select *, not ends_with(name, '/') as is_file, row_number() over (partition by archive, ends_with(name, '/') order by position) as place,
     count(*) filter (not ends_with(name, '/')) over (partition by archive) as n from members)
 select archive, count(*) filter (is_file) as files, sum(size)::bigint as bytes, count(*) filter (ends_with(name, '.mp4')) as videos,
-  count(*) filter (is_file and not starts_with(name, '__MACOSX')) as extracted, least(50, count(*) filter (is_file)) as previewed,
-  max(name) filter (is_file and place = least(50, n)) as last_previewed from shown group by archive""")
+  count(*) filter (is_file and not starts_with(name, '__MACOSX')) as extracted, count(*) filter (is_file) as previewed,
+  max(name) filter (is_file and place = n) as last_previewed from shown group by archive""")
 def src_zip_listing(t):
-    members = fi.zip_members(archives(t))
-    extracted = fi.extractable(members).groupBy("archive").agg(F.count("*").alias("extracted"))
-    preview = fi.archive_preview(members).groupBy("archive").agg(F.count("*").alias("previewed"), F.max_by("name", "place").alias("last_previewed"))
-    return fi.archive_info(members).join(extracted, "archive", "left").join(preview, "archive", "left")
+    listed = members(t)
+    extracted = fi.extractable(listed).groupBy("archive").agg(F.count("*").alias("extracted"))
+    preview = fi.archive_preview(listed).groupBy("archive").agg(F.count("*").alias("previewed"), F.max_by("name", "place").alias("last_previewed"))
+    return fi.archive_info(listed).join(extracted, "archive", "left").join(preview, "archive", "left")
 
 
 @query("src_source_type", """

@@ -1,19 +1,14 @@
-"""File listings as DataFrames: folders, archives."""
+"""File listings as DataFrames: folders, and archives given as member rows (archive, position, name,
+size)."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.common import top_k
+from quire.operators.common import ranked
 from quire.operators.files import file_kind
 
-MEMBERS = "archive string, position int, name string, size long"
-
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and modificationTime of every file below a folder; contents are not read."""
@@ -21,27 +16,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def read_archives(spark: SparkSession, folder: str, glob: str = "*.zip") -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return files.select(F.col("path").alias("archive"), "content")
-
-
-def zip_members(archives: DataFrame) -> DataFrame:
-    """Member rows of the zip archives (archive, content); only their directories are parsed."""
-
-    def members(batches):
-        for batch in batches:
-            rows = [
-                (archive, position, info.filename, info.file_size)
-                for archive, content in zip(batch["archive"], batch["content"])
-                for position, info in enumerate(zipfile.ZipFile(io.BytesIO(content)).infolist())
-            ]
-            yield pd.DataFrame(rows, columns=["archive", "position", "name", "size"])
-
-    return archives.mapInPandas(members, MEMBERS)
-
-
-def archive_info(members: DataFrame, preview: int = 50) -> DataFrame:
+def archive_info(members: DataFrame) -> DataFrame:
     """Per archive: files, bytes, videos; folders are not files but their sizes count."""
     is_file = ~F.col("name").endswith("/")
     return members.groupBy("archive").agg(
@@ -49,9 +24,9 @@ def archive_info(members: DataFrame, preview: int = 50) -> DataFrame:
     )
 
 
-def archive_preview(members: DataFrame, preview: int = 50) -> DataFrame:
-    """The first files of each archive, in archive order."""
-    return top_k(members.where(~F.col("name").endswith("/")), ["archive"], [F.col("position")], preview, "place").select("archive", "place", "name")
+def archive_preview(members: DataFrame, preview: int | None = None) -> DataFrame:
+    """The files of each archive in archive order: the first `preview`, or all."""
+    return ranked(members.where(~F.col("name").endswith("/")), ["archive"], [F.col("position")], preview, "place").select("archive", "place", "name")
 
 
 def extractable(members: DataFrame) -> DataFrame:
