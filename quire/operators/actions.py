@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank, strip
-from quire.operators.folds import ordered_fold
 
 # Bulk operations, and the statuses an action passes through.
 BULK_OPERATIONS = ["delete", "reindex", "retag"]
@@ -53,19 +52,32 @@ def transitions(requests: DataFrame) -> DataFrame:
     whether an execution would succeed.
     """
 
-    def step(status, op, ok):
-        if op == "create":
-            return ("pending", "pending") if status is None else (status, "409")
-        if status is None:
-            return status, "404"
-        if op in REVIEWS:
-            return (REVIEWS[op], REVIEWS[op]) if status == "pending" else (status, "409")
-        if op == "execute" and status == "approved":
-            done = "completed" if ok else "failed"
-            return done, done
-        return status, "409"
+    seq = F.col("seq")
+    keyed = ["action_id"]
+    # an action is created once, reviewed once and executed once: each the first that is allowed
+    made = requests.where("op = 'create'").groupBy(*keyed).agg(F.min(seq).alias("_made"))
+    begun = requests.join(made, keyed, "left")
+    reviewed = begun.where(F.col("op").isin(*REVIEWS) & (seq > F.col("_made"))).groupBy(*keyed).agg(F.min(seq).alias("_reviewed"), F.min_by("op", seq).alias("_review"))
+    judged = begun.join(reviewed, keyed, "left")
+    ready = (F.col("_review") == "approve") & (F.col("op") == "execute") & (seq > F.col("_reviewed"))
+    executed = judged.where(ready).groupBy(*keyed).agg(F.min(seq).alias("_executed"))
+    full = judged.join(executed, keyed, "left")
+    review = F.element_at(F.create_map(*[F.lit(x) for pair in REVIEWS.items() for x in pair]), F.col("op"))
+    outcome = (
+        F.when(seq == F.col("_made"), "pending")
+        .when(F.col("_made").isNull() | (seq < F.col("_made")), "404")
+        .when(seq == F.col("_reviewed"), review)
+        .when(seq == F.col("_executed"), F.when(F.col("ok"), "completed").otherwise("failed"))
+        .otherwise("409")
+    )
+    return full.select(*requests.columns, outcome.alias("outcome"))
+
 
-    return ordered_fold(requests, ["action_id"], ["seq"], ["op", "ok"], step, None, "outcome", "string")
+def next_status(status: str | None, op: str, ok: bool) -> str | None:
+    """The same rules one request at a time, for state that arrives in pieces: the new status, or
+    none if the request is not allowed."""
+    allowed = {None: {"create": "pending"}, "pending": REVIEWS, "approved": {"execute": "completed" if ok else "failed"}}
+    return allowed.get(status, {}).get(op)
 
 
 def normalize_record(records: DataFrame) -> DataFrame:
@@ -173,10 +185,12 @@ def staged_files(stages: DataFrame) -> DataFrame:
     past the highest so far and starts at 1.
     """
 
-    def step(following, order):
-        number = following if order is None or order != order else int(order)
-        return max(following, number + 1), number
-
-    numbered = ordered_fold(stages, ["area"], ["seq"], ["order"], step, 1, "place", "long")
+    # a call without a number adds one to the next number, a call with number x lifts it to x + 1:
+    # the next number is the calls without one so far, plus a running maximum
+    before = Window.partitionBy("area").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    given = F.when(~F.isnan(F.col("order").cast("double")), F.col("order").cast("long"))
+    counted = stages.withColumn("_given", given).withColumn("_free", F.coalesce(F.count_if(F.col("_given").isNull()).over(before), F.lit(0)))
+    lifted = F.greatest(F.lit(1), F.max(F.col("_given") + 1 - F.col("_free")).over(before))
+    numbered = counted.withColumn("place", F.coalesce("_given", F.col("_free") + lifted))
     kept = numbered.groupBy("area", "place").agg(F.max_by(F.struct("name", "size"), "seq").alias("f"))
     return kept.select("area", "place", "f.name", "f.size")

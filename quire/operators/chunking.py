@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import estimate_tokens, is_blank, words
-from quire.operators.common import let
+from quire.operators.common import let, running_sum
 from quire.operators.folds import ordered_fold
 
 CHUNK_SIZE = 512
@@ -160,9 +160,11 @@ def embedding_batches(
     sized = texts.withColumn("est_tokens", F.coalesce(checked, estimate_tokens(F.col(text))))
 
     def step(state, est):
-        batch, count, used = state
-        if count and (count >= max_texts or used + est > max_tokens):
-            batch, count, used = batch + 1, 0, 0
-        return (batch, count + 1, used + est), batch
-
-    return ordered_fold(sized, keys, order, ["est_tokens"], step, (0, 0, 0), "batch_no", "int")
+        count, used = state
+        full = bool(count) and (count >= max_texts or used + est > max_tokens)
+        return ((1, est) if full else (count + 1, used + est)), int(full)
+
+    # the fold only says where batches open; a running sum numbers them
+    opened = ordered_fold(sized, keys, order, ["est_tokens"], step, (0, 0), "_opens", "int")
+    numbered = running_sum(opened, keys, order, {"_before": F.col("_opens")})
+    return numbered.withColumn("batch_no", (F.col("_before") + F.col("_opens")).cast("int")).drop("_before", "_opens")

@@ -33,15 +33,16 @@ def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int
     """
 
     def step(state, start, end, marker):
-        count, chapter, last_end = state
+        count, last_end = state
         opens = count >= min_segments and (marker or (last_end is not None and start - last_end > min_gap))
-        if opens:
-            count, chapter = 0, chapter + 1
         # beyond the minimum the exact count does not matter, so states of different pasts meet
-        return (min(count + 1, min_segments), chapter, float(end)), chapter
+        return (1 if opens else min(count + 1, min_segments), float(end)), int(opens)
 
     marked = segments.withColumn("_marker", F.ltrim("text").rlike(CHAPTER_MARKER))
-    numbered = ordered_fold(marked, ["recording"], ["start", "seq"], ["start", "end", "_marker"], step, (0, 1, None), "chapter", "int")
+    numbered = ordered_fold(marked, ["recording"], ["start", "seq"], ["start", "end", "_marker"], step, (0, None), "_opens", "int")
+    # the fold only says where chapters open; a running sum numbers them
+    numbered = running_sum(numbered, ["recording"], ["start", "seq"], {"_before": F.col("_opens")})
+    numbered = numbered.withColumn("chapter", (F.col("_before") + F.col("_opens") + 1).cast("int"))
     order = F.struct("start", "seq")
     grouped = numbered.groupBy("recording", "chapter").agg(
         F.min("start").alias("start"), F.max_by("end", order).alias("end"), F.min_by(F.struct("text", "_marker"), order).alias("_first")

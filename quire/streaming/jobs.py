@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.functions.text import clean_text, is_blank
-from quire.operators.actions import REVIEWS
+from quire.operators.actions import next_status
 from quire.operators.chunking import chunk_tokens
 from quire.session import scratch_folder
 
@@ -79,7 +79,7 @@ class ActionProcessor(StatefulProcessor):
         status = self.status.get()[0] if self.status.exists() else None
         outcomes = []
         for op, ok in zip(batch["op"], batch["ok"]):
-            moved = _next_status(status, op, ok)
+            moved = next_status(status, op, ok)
             outcomes.append(moved or ("404" if status is None else "409"))
             status = moved or status
         if status is not None:
@@ -90,16 +90,6 @@ class ActionProcessor(StatefulProcessor):
         pass
 
 
-def _next_status(status: str | None, op: str, ok: bool) -> str | None:
-    if status is None:
-        return "pending" if op == "create" else None
-    if status == "pending":
-        return REVIEWS.get(op)
-    if status == "approved" and op == "execute":
-        return "completed" if ok else "failed"
-    return None
-
-
 def action_states(requests: DataFrame) -> DataFrame:
     """Outcomes of requests(action_id, seq, op, ok); needs the RocksDB state store."""
     return requests.groupBy("action_id").transformWithStateInPandas(
