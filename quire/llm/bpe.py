@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-# characters taken from a text at a time, bytes of a long piece taken at a time, pieces remembered
-# in each of two generations, tokens decoded at a time
-CHUNK, STEP, REMEMBERED, DECODED = 1 << 16, 512, 1 << 18, 1 << 12
+# characters taken from a text at a time, bytes of a long piece taken at a time, tokens decoded at a time
+CHUNK, STEP, DECODED = 1 << 16, 512, 1 << 12
+# words and pieces remembered in each of two generations
+WORDS, PIECES_KEPT = 1 << 17, 1 << 16
 # tokens and ranks are packed into integers; NONE is above any rank
 BITS, MASK, NONE = 24, (1 << 24) - 1, 1 << 60
 
@@ -37,6 +39,10 @@ BITS, MASK, NONE = 24, (1 << 24) - 1, 1 << 60
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# white space next to white space or at an end: such a chunk is cut into pieces as a whole
+UNEVEN = re.compile(r"\A\s|\s\s|\s\Z")
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable ones for themselves,
     the others, in order, for 256 and up."""
@@ -45,6 +51,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Seen:
+    """Ids of short strings in two generations: when the recent one is full the older one goes, and
+    what is still met moves up."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        ids = self.recent.get(text)
+        if ids is None:
+            ids = self.older.get(text)
+            if ids is not None:
+                self.put(text, ids)
+        return ids
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(text) <= 64:
+            if len(self.recent) >= self.size:
+                self.older = dict(self.recent)
+                self.recent.clear()
+            self.recent[text] = ids
+
+
 class Transducer:
     """Merges, vocabulary and special tokens of a tokenizer file, read once in a worker."""
 
@@ -67,8 +98,7 @@ class Transducer:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PIECES)
         self.lookahead = self._lookahead()
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces_seen, self.words_seen = Seen(PIECES_KEPT), Seen(WORDS)
 
     def _lookahead(self) -> int:
         """Bytes after a token that suffice to know that it is final.
@@ -120,10 +150,9 @@ class Transducer:
         if held:
             yield self._merge(held)
 
-    def _known(self, piece: str) -> bytes:
-        """The ids of a piece as bytes. Short pieces are remembered in two generations: when the
-        recent one is full the older one goes, and what is still met moves up."""
-        ids = self.older.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece, as 32-bit integers."""
+        ids = self.pieces_seen.get(piece)
         if ids is None:
             raw = piece.encode("utf-8", "surrogatepass")
             if len(raw) <= STEP:
@@ -131,21 +160,33 @@ class Transducer:
             else:
                 parts = (raw[i : i + STEP] for i in range(0, len(raw), STEP))
                 ids = b"".join(array("I", tokens).tobytes() for tokens in self.encode_piece(parts))
-        if len(piece) <= 64:
-            if len(self.recent) >= REMEMBERED:
-                self.older = dict(self.recent)
-                self.recent.clear()
-            self.recent[piece] = ids
+            self.pieces_seen.put(piece, ids)
+        return ids
+
+    def _run(self, text: str) -> bytes:
+        return b"".join([self._piece(p) for p in self.pieces.findall(text)])
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        ids = self.words_seen.get(word)
+        if ids is None:
+            ids = self._run(" " + word)
+            if "\n" not in word:
+                self.words_seen.put(word, ids)
         return ids
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        """Ids of text without special tokens, a chunk at a time. A chunk ends before a space that
-        stands between two other characters: no piece reaches over such a place."""
-        known, recent, pieces, at = self._known, self.recent, self.pieces, 0
+        """Ids of text without special tokens, a chunk at a time. No piece reaches over a space that
+        stands between two other characters: there chunks end, and words are looked up."""
+        recent, word, at = self.words_seen.recent, self._word, 0
         while at < len(text):
-            end = self._cut(text, at)
-            chunk = text[at:end]
-            yield b"".join([recent.get(p) or known(p) for p in pieces.findall(chunk)])
+            end, spaced = self._cut(text, at), at > 0
+            if UNEVEN.search(text, at + spaced, end):
+                yield self._run(text[at:end])
+            else:
+                first, *rest = text[at + spaced : end].split(" ")
+                head = word(first) if spaced else self._run(first)
+                yield b"".join([head, *[recent.get(w) or word(w) for w in rest]])
             at = end
 
     @staticmethod
