@@ -8,12 +8,11 @@ few differing bits in a parity sketch; whoever passes is verified on the words t
 
 Text is never shuffled to find candidates. Equal lines are found by their SHA-256, then only first
 occurrences go on, as short rows of hashes; words are read again for verified candidates alone.
-The order of rarity and the pre-filters come from fixed-size sketches, which can make a candidate
-too many, never one too few.
+The order of rarity and the pre-filters come from fixed-size sketches, used so that they can make a
+candidate too many, never one too few.
 
 Clusters of very many versions of one line would make all pairs among themselves. Lines are first
-compared with the earliest line that shares a minimum hash, in salted groups; what that removes no
-longer asks for partners, though it stays a partner for others.
+compared with the earliest and a few previous lines of salted groups that share a rare word; what that removes no longer asks for partners, though it stays a partner for others.
 """
 
 from __future__ import annotations
@@ -25,20 +24,33 @@ from quire.llm.common import SALTS, Scratch
 from quire.llm.sketches import ONCE, Bitmap, Frequencies
 
 THRESHOLD = (4, 5)  # Jaccard similarity of at least 4 / 5
-# minimum hashes of a line for the first comparison: of all word hashes xor each of these
-MASKS = (0, 0x2AAAAAAAAAAAAAAA)
+OTHER_SPACES = "\t\x0b\f\r"
+# lines before it that a line is first compared with, in each of its groups
+NEIGHBOURS = 4
 # word keys: seven bits of rarity above 56 bits of hash
 HASH_BITS = 56
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line, cut at ASCII white space."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " ")), "")
+def _cut(text: Column, spaces: str = OTHER_SPACES) -> Column:
+    """Words, and empty strings, between ASCII white space; plain replacing beats a pattern."""
+    for space in spaces:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
+def common_words(a: Column, b: Column) -> Column:
+    """How many distinct words two lines share."""
+    return F.size(F.array_remove(F.array_intersect(_cut(a), _cut(b)), ""))
+
+
+def hashes_of(line: Column) -> Column:
+    """The distinct words of a line as 64-bit hashes: for filters, and to count them."""
+    return F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line, content) of every line that has a word; rows without a key take no part."""
-    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode_outer(F.split(text, "\n")).alias("line", "content"))
     return cut.where(F.col("content").rlike("[^ \\t\\x0B\\f\\r]"))
 
 
@@ -73,35 +85,49 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     line of another text."""
     like = _Similarity(*threshold)
     lines = _lines(docs, key, text)
-    same = lines.groupBy(F.unhex(F.sha2("content", 256)).alias("sha")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    same = scratch.put(same.select(F.xxhash64("sha").alias("sha"), "first.doc", "first.line", "n"), "same")
+    same = lines.groupBy(F.unhex(F.sha2("content", 256)).alias("sha")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max(F.xxhash64("content")).alias("hash"))
+    same = scratch.put(same.select("hash", "first.doc", "first.line", "n"), "same")
     # a line goes on if it is not repeated, or is the first; both tests may let one more pass
-    repeated = Bitmap(same.where("n > 1"), "sha", scratch, "repeated")
-    first = Bitmap(same.where(repeated.has(F.col("sha"))).select(_at().alias("at")), "at", scratch, "first")
-    fresh = lines.where(~repeated.has(F.xxhash64(F.unhex(F.sha2("content", 256)))) | first.has(_at()))
-
-    hashed = fresh.select("doc", "line", F.transform(words_of(F.col("content")), lambda w: F.xxhash64(w)).alias("hashes"))
-    usual = Frequencies(hashed.select(F.explode("hashes").alias("h")), "h", scratch, "usual")
-
-    # first comparison: with the earliest line that has the same minimum hash
+    repeated = Bitmap(same.where("n > 1"), "hash", scratch, "repeated")
+    first = Bitmap(same.where(repeated.has(F.col("hash"))).select(_at().alias("at")), "at", scratch, "first")
+    fresh = lines.where(~repeated.has(F.xxhash64("content")) | first.has(_at()))
+
+    # the order of rarity: how often words occur, over all texts
+    every = docs.select(F.explode_outer(_cut(F.col(text), "\n" + OTHER_SPACES)).alias("w")).select(F.xxhash64("w").alias("h"))
+    usual = Frequencies(every, "h", scratch, "usual")
+    # of each line: size, parity sketch, smallest and largest word hash, and its first words in order
+    hashed = fresh.select("doc", "line", _once(hashes_of(F.col("content"))).alias("hashes"))
     low = (1 << HASH_BITS) - 1
     parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(_bit(h)))
-    sets = hashed.select("doc", "line", F.size("hashes").alias("n"), parity.alias("parity"), "hashes")
-    minima = F.array(*[F.array_min(F.transform("hashes", lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in MASKS])
-    signed = sets.select("doc", "line", "n", "parity", F.posexplode(minima).alias("k", "minimum"))
-    group = Window.partitionBy("minimum", "k", F.pmod(_at(), F.lit(SALTS))).orderBy("doc", "line")
-    led = signed.withColumn("lead", F.first(F.struct("doc", "line", "n", "parity")).over(group))
-    pairs = led.where(
-        (F.struct("doc", "line") != F.struct("lead.doc", "lead.line")) & like.sizes(F.col("n"), F.col("lead.n")) & like.parity(F.col("parity"), F.col("lead.parity"), F.col("n"), F.col("lead.n"))
-    ).select("doc", "line", F.col("lead.doc").alias("doc2"), F.col("lead.line").alias("line2"))
+    ranked = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(Frequencies.of("usual", h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))))
+    ordered = hashed.withColumn("usual", usual.column()).select("doc", "line", F.size("hashes").alias("n"), parity.alias("parity"), ranked.alias("ranked"))
+    # a word met once has no partner, but keeps its place in the order
+    first_words = F.slice("ranked", F.lit(1), like.prefix(F.col("n")))
+    sets = scratch.put(ordered.select("doc", "line", "n", "parity", first_words.alias("prefix")), "sets")
+
+    # first comparison: among the lines whose first words have the same smallest or largest hash,
+    # with the earliest and with some before
+    shared = _once(F.transform(F.filter("prefix", lambda w: F.shiftright(w, HASH_BITS) > ONCE), lambda w: w.bitwiseAND(F.lit(low)))).alias("shared")
+    signed = sets.select("doc", "line", "n", "parity", shared).where(F.size("shared") > 0)
+    signed = signed.select(F.struct("doc", "line", "n", "parity").alias("own"), F.posexplode(F.array(F.array_min("shared"), F.array_max("shared"))).alias("k", "extreme"))
+    group = Window.partitionBy("extreme", "k", F.pmod(_at("own.doc", "own.line"), F.lit(SALTS))).orderBy("own.doc", "own.line")
+    before = [F.lag("own", i + 1).over(group).alias(f"before{i}") for i in range(NEIGHBOURS)]
+    led = signed.select("own", F.first("own").over(group).alias("lead"), *before)
+    met = led.select("own", F.explode(F.array("lead", *[f"before{i}" for i in range(NEIGHBOURS)])).alias("other"))
+    pairs = met.where(
+        (F.col("own") != F.col("other")) & like.sizes(F.col("own.n"), F.col("other.n")) & like.parity(F.col("own.parity"), F.col("other.parity"), F.col("own.n"), F.col("other.n"))
+    ).select("own.doc", "own.line", "own.n", F.col("other.doc").alias("doc2"), F.col("other.line").alias("line2"), F.col("other.n").alias("n2"))
+    pairs = scratch.put(pairs.distinct(), "lead-pairs")
     gone = _verified(pairs, docs, key, text, like, scratch, "lead")
 
     # the join proper
     asked = Bitmap(gone.select(_at().alias("at")), "at", scratch, "asked")
-    ranked = F.array_sort(F.transform("hashes", lambda h: F.shiftleft(Frequencies.of("usual", h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    prefixed = sets.withColumn("usual", usual.column()).select("doc", "line", "n", "parity", F.posexplode(F.slice(ranked, F.lit(1), like.prefix(F.col("n")))).alias("i", "word"))
-    # a word met once has no partner
-    prefixed = prefixed.where(F.shiftright("word", HASH_BITS) > ONCE).withColumn("done", asked.has(_at()).cast("int"))
+    # lines that only seem to be gone still ask; another hash, or they would spare those they meet
+    seeming = sets.select("doc", "line").where(asked.has(_at())).join(gone.hint("merge"), ["doc", "line"], "left_anti")
+    other_at = F.xxhash64("doc", "line", F.lit(1))
+    spared = Bitmap(seeming.select(other_at.alias("at")), "at", scratch, "spared")
+    prefixed = sets.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    prefixed = prefixed.where(F.shiftright("word", HASH_BITS) > ONCE).withColumn("done", (asked.has(_at()) & ~spared.has(other_at)).cast("int"))
     a, b = prefixed.alias("a"), prefixed.alias("b")
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
     reach = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
@@ -111,25 +137,32 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
         & like.parity(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"))
         # a later line that is gone already asks no more; written so that both sides stay one shuffle
         & (2 * F.col("b.done") + F.col("a.done") < 2),
-    ).select(F.col("b.doc").alias("doc"), F.col("b.line").alias("line"), F.col("a.doc").alias("doc2"), F.col("a.line").alias("line2"))
+    ).select(F.col("b.doc").alias("doc"), F.col("b.line").alias("line"), F.col("b.n").alias("n"), F.col("a.doc").alias("doc2"), F.col("a.line").alias("line2"), F.col("a.n").alias("n2"))
+    pairs = scratch.put(pairs.distinct(), "join-pairs")
+    scratch.drop("sets")
     more = _verified(pairs, docs, key, text, like, scratch, "join")
     return same.select("doc", "line").join(gone.unionByName(more).distinct().hint("merge"), ["doc", "line"], "left_anti")
 
 
+def _once(value: Column) -> Column:
+    """A value that later projections share: behind a generator, planners do not copy it into each
+    place that uses it. Outer, or the planner would test, and so compute, it once more."""
+    return F.explode_outer(F.array(value))
+
+
 def _bit(h: Column) -> Column:
     """A long with one bit set, which the low six bits of the hash choose."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, like: _Similarity, scratch: Scratch, name: str) -> DataFrame:
-    """(doc, line) of the later line of each pair whose word sets are similar enough."""
-    pairs = scratch.put(pairs.distinct(), f"{name}-pairs")
+    """(doc, line) of the later line of each stored pair whose word sets are similar enough."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
     wanted = Bitmap(ends.select(_at().alias("at")), "at", scratch, f"{name}-ends")
-    read = _lines(docs, key, text).where(wanted.has(_at())).select("doc", "line", words_of(F.col("content")).alias("words")).hint("merge")
-    other = read.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
+    read = scratch.put(_lines(docs, key, text).where(wanted.has(_at())), f"{name}-lines").hint("merge")
+    other = read.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("content").alias("content2"))
     met = pairs.join(read, ["doc", "line"]).join(other, ["doc2", "line2"])
-    enough = like.shared(F.size(F.array_intersect("words", "words2")), F.size("words"), F.size("words2"))
+    enough = like.shared(common_words(F.col("content"), F.col("content2")), F.col("n"), F.col("n2"))
     later = F.greatest(F.struct("doc", "line"), F.struct(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
     return scratch.put(met.where(enough).select(later.alias("x")).select("x.doc", "x.line").distinct(), f"{name}-gone")
 

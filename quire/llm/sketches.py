@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
 
-BITS = 1 << 23
+BITS = 1 << 22
 BUCKETS = 1 << 21
-CHUNK = 1 << 11
 
 
 class Bitmap:
-    """Which hashes occur: 2 ** 23 bits, one megabyte."""
+    """Which hashes occur: 2 ** 22 bits, half a megabyte."""
 
     def __init__(self, hashes: DataFrame, column: str, scratch: Scratch, name: str):
         spark, word = hashes.sparkSession, F.shiftright(F.pmod(F.col(column), F.lit(BITS)), 6)
@@ -38,13 +37,13 @@ class Frequencies:
     """How often hashes occur, on a logarithmic scale of a byte: 2 ** 21 buckets."""
 
     def __init__(self, hashes: DataFrame, column: str, scratch: Scratch, name: str):
-        counts = hashes.groupBy(F.pmod(F.col(column), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+        counts = hashes.groupBy(F.col(column).bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
         empty = hashes.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
         scaled = counts.unionByName(empty).groupBy("b").agg(F.sum("n").alias("n")).select(
             F.shiftright("b", 11).alias("chunk"), "b", F.least(F.lit(127), F.floor(4 * F.log2(F.col("n") + 1))).cast("tinyint").alias("v")
         )
         chunks = scaled.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]).alias("vs"))
-        row = chunks.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "vs"))), lambda x: x["vs"]).alias("all"))
+        row = chunks.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "vs"))), lambda x: x["vs"])).alias("all"))
         self.table = scratch.put(row, name)
 
     def column(self) -> Column:
@@ -55,8 +54,7 @@ class Frequencies:
 
     @staticmethod
     def of(summary: str, hashed: Column) -> Column:
-        at = F.pmod(hashed, F.lit(BUCKETS))
-        return F.coalesce(F.get(F.get(F.col(summary), F.shiftright(at, 11).cast("int")), F.pmod(at, F.lit(CHUNK)).cast("int")), F.lit(0).cast("tinyint"))
+        return F.coalesce(F.get(F.col(summary), hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))
 
 
 # four times log2 of 1 + 1: the scaled count of a hash that occurs once
