@@ -3,7 +3,9 @@
 Markup is stripped into lines, one a block of the page. Each line weighs as many characters as it
 has outside links and page furniture; the weights are summed over sliding windows of lines. Where
 the sums surge from nothing the text begins, where they dive to nothing it ends, and all lines
-between that do not belong to furniture are kept, however short.
+between that do not belong to furniture are kept, however short and whether linked or not. Headings
+that lead up to the surge are kept too. Of pages that mark their text as such (article, main) all
+lines in it that are not furniture are kept.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = {tag: re.compile(f"</{tag}(?![a-z0-9-])", re.IGNORECASE) for tag in ("script", "style", "title", "textarea", "noscript", "template")}
 # a closing tag of these also ends what was left open inside
 LANDMARKS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -48,6 +51,12 @@ class Line:
     weight: int
     furniture: bool
     landmark: bool
+    heading: bool
+
+
+def _plain(parts: list[str]) -> str:
+    """Runs of a page as the reader sees them: references decoded, white space collapsed."""
+    return SPACE.sub(" ", unescape("".join(parts))).strip()
 
 
 def lines_of(html: str) -> list[Line]:
@@ -55,24 +64,27 @@ def lines_of(html: str) -> list[Line]:
     weighs nothing."""
     found: list[Line] = []
     parts: list[str] = []
-    linked = 0
+    unlinked: list[str] = []
+    has_links = False
     stack: list[tuple[str, bool, bool]] = []  # tag, silent, furniture
-    silent = furniture = links = landmarks = 0
+    silent = furniture = links = landmarks = headings = 0
 
     def flush() -> None:
-        nonlocal linked
-        text = SPACE.sub(" ", unescape("".join(parts))).strip()
+        nonlocal has_links
+        text = _plain(parts)
         if text:
-            found.append(Line(text, 0 if furniture else max(0, len(text) - linked), bool(furniture), bool(landmarks)))
+            own = len(_plain(unlinked) if has_links else text)
+            found.append(Line(text, 0 if furniture else own, bool(furniture), bool(landmarks), bool(headings)))
         parts.clear()
-        linked = 0
+        unlinked.clear()
+        has_links = False
 
     def close(depth: int) -> None:
-        nonlocal silent, furniture, links, landmarks
+        nonlocal silent, furniture, links, landmarks, headings
         while len(stack) > depth:
             tag, was_silent, was_furniture = stack.pop()
             silent, furniture = silent - was_silent, furniture - was_furniture
-            links, landmarks = links - (tag == "a"), landmarks - (tag in LANDMARKS)
+            links, landmarks, headings = links - (tag == "a"), landmarks - (tag in LANDMARKS), headings - (tag in HEADINGS)
 
     at = 0
     while True:
@@ -80,7 +92,10 @@ def lines_of(html: str) -> list[Line]:
         run = html[at : m.start() if m else len(html)]
         if run and not silent:
             parts.append(run)
-            linked += len(run) if links else 0
+            if links:
+                has_links = True
+            else:
+                unlinked.append(run)
         if not m:
             break
         at = m.end()
@@ -89,6 +104,7 @@ def lines_of(html: str) -> list[Line]:
             continue
         if tag == "br" or tag == "img" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
+            unlinked.append(" " if tag == "br" else "")
             continue
         if tag in BLOCKS:
             flush()
@@ -111,7 +127,7 @@ def lines_of(html: str) -> list[Line]:
         is_furniture = tag not in ("html", "body", *LANDMARKS) and (tag in FURNITURE and not (tag == "header" and landmarks) or bool(named and FURNITURE_NAMES.search(named)))
         stack.append((tag, is_silent, is_furniture))
         silent, furniture = silent + is_silent, furniture + is_furniture
-        links, landmarks = links + (tag == "a"), landmarks + (tag in LANDMARKS)
+        links, landmarks, headings = links + (tag == "a"), landmarks + (tag in LANDMARKS), headings + (tag in HEADINGS)
         if tag in RAW:
             # raw text up to its own end tag
             end = RAW[tag].search(html, at)
@@ -122,16 +138,12 @@ def lines_of(html: str) -> list[Line]:
 
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The text between surge and dive; empty for null, empty and textless pages."""
-    lines = lines_of(html or "")
-    if any(line.landmark and line.weight for line in lines):
-        weights = [line.weight if line.landmark else 0 for line in lines]
-    else:
-        weights = [line.weight for line in lines]
     # furniture takes no line of its own, so that a box in the middle of a text is no dive
-    kept = [(line, w) for line, w in zip(lines, weights) if not line.furniture]
-    sums = [sum(w for _, w in kept[i : i + window]) for i in range(len(kept))]
-    if not any(sums):
-        return ""
+    kept = [line for line in lines_of(html or "") if not line.furniture]
+    marked = [line for line in kept if line.landmark]
+    if any(line.weight for line in marked) or not any(line.weight for line in kept):
+        return "\n".join(line.text for line in marked)
+    sums = [sum(line.weight for line in kept[i : i + window]) for i in range(len(kept))]
     least, begin, end, stretch = surge * max(sums), None, 0, None
     for i, total in enumerate([*sums, 0]):
         if total and stretch is None:
@@ -140,7 +152,11 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
             if max(sums[stretch:i]) >= least:
                 begin, end = stretch if begin is None else begin, i
             stretch = None
-    return "\n".join(line.text for line, w in kept[begin:end] if w)
+    # windows look ahead: the text begins at the first line that weighs, or the headings above it
+    first = next(i for i in range(begin, end) if kept[i].weight)
+    while first and kept[first - 1].heading:
+        first -= 1
+    return "\n".join(line.text for line in kept[first:end])
 
 
 def main_text_column(html: Column) -> Column:

@@ -268,6 +268,22 @@ def test_extraction(body):
     assert main_text(PAGE % body) == TEXT
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><h2><a href='#m'>Methods</a></h2><p>We used sieves.</p><ul><li><a href='/d'>Data</a></li></ul></article>", "Methods\nWe used sieves.\nData"),
+        ("<article><p>Read <a>R&eacute;sum&eacute;   der\n\n L&ouml;sung</a></p></article>", "Read Résumé der Lösung"),
+        ("<main><p>A long first part of it.</p><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p><a>4</a></p><p>End.</p></main>", "A long first part of it.\n1\n2\n3\n4\nEnd."),
+        ("<article><p><a href='/x'>All of it is a link</a></p></article>", "All of it is a link"),
+        ("<ul><li><a>Home</a></li><li><a>News</a></li></ul><div><h1><a>Title</a></h1><p>Some text of the page.</p><p><a>a link in it</a></p><p>More text.</p></div><p><a>Top</a></p>",
+         "Title\nSome text of the page.\na link in it\nMore text."),
+        ("<div><p>Read <a>R&eacute;sum&eacute; der L&ouml;sung</a></p></div>", "Read Résumé der Lösung"),
+    ],
+)
+def test_extraction_keeps_linked_blocks(body, text):
+    assert main_text(PAGE % body) == text
+
+
 def test_extraction_edges(spark):
     got = {r["page_id"]: r for r in extract_text(spark.createDataFrame(PAGES, PAGE_SCHEMA)).collect()}
     assert got[3]["text"] == got[4]["text"] == "" and got[3]["n_chars"] == 0 and got[0]["text"] == "a"
