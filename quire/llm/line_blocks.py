@@ -6,6 +6,9 @@ the sums surge from nothing the text begins, where they dive to nothing it ends,
 between that do not belong to furniture are kept, however short and whether linked or not. Headings
 that lead up to the surge are kept too. Of pages that mark their text as such (article, main) all
 lines in it that are not furniture are kept.
+
+Names say less than tags: a box that a class, id or role names as furniture is none if it holds
+most of the page's text, stands around <main>, or if nothing would be left of the page or its articles.
 """
 
 from __future__ import annotations
@@ -26,13 +29,21 @@ SURGE = 0.2
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 SILENT = frozenset("script style noscript template svg iframe object canvas head title textarea select option button".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog".split())
-# words in a class, id or role that name furniture
+# what may stand in a head; anything else ends it, as its end tag may be left out
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+FURNITURE = frozenset("nav header footer aside menu dialog".split())
+# words in a class, id or role that name furniture; "has-sidebar" and the like name what is around it
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?:ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|"
     r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|login|search|comments?|replies|respond|disqus|toolbar|pagination|pager|copyright|contentinfo|complementary|navigation|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# of these, what stays furniture beside other text even if it is longer than that
+ASIDES = re.compile(
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])"
+    r"(?:ads?|adverts?|advert\w*|promo\w*|sponsor\w*|related|newsletter|subscribe|comments?|replies|respond|disqus|cookies?|consent|copyright)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol "
     "option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -52,6 +63,17 @@ class Line:
     furniture: bool
     landmark: bool
     heading: bool
+    box: int = -1  # the innermost box around it
+
+
+@dataclass
+class Box:
+    """An element that its name, or the form tag, makes furniture, unless it proves to hold the text."""
+
+    outer: int  # the box around it
+    aside: bool
+    marks: bool = False  # whether an article stands in it
+    weight: int = 0
 
 
 def _plain(parts: list[str]) -> str:
@@ -62,11 +84,48 @@ def _plain(parts: list[str]) -> str:
 def lines_of(html: str) -> list[Line]:
     """The page's blocks in order. Text in silent elements is dropped; text in furniture and links
     weighs nothing."""
+    found, boxes = _blocks(html)
+    for line in found:
+        if line.box >= 0:
+            boxes[line.box].weight += line.weight
+    # boxes stand in the order in which they open, so outer ones come first
+    for box in reversed(boxes):
+        if box.outer >= 0 and not box.aside:
+            boxes[box.outer].weight += box.weight
+    total = sum(line.weight for line in found if line.box < 0) + sum(box.weight for box in boxes if box.outer < 0 and not box.aside)
+
+    def shut(opens) -> list[bool]:
+        closed: list[bool] = []
+        for box in boxes:
+            closed.append(not opens(box) or (box.outer >= 0 and closed[box.outer]))
+        return closed
+
+    def left(closed: list[bool], marked: bool) -> bool:
+        return any((line.landmark or line.weight and not marked) and not line.furniture and (line.box < 0 or not closed[line.box]) for line in found)
+
+    closed = shut(lambda box: 2 * box.weight > total and not box.aside)
+    if left([False] * len(boxes), True) and not left(closed, True):
+        # the marked text is in small boxes: they are text beside the rest
+        closed = shut(lambda box: not box.aside and (box.marks or 2 * box.weight > total))
+        for line in found:
+            line.landmark = False
+    if not left(closed, False):
+        closed = shut(lambda box: True)
+    for line in found:
+        if line.box >= 0 and closed[line.box]:
+            line.weight, line.furniture = 0, True
+    return found
+
+
+def _blocks(html: str) -> tuple[list[Line], list[Box]]:
+    """The page's blocks and the boxes they stand in; furniture is by tag here."""
     found: list[Line] = []
+    boxes: list[Box] = []
     parts: list[str] = []
     unlinked: list[str] = []
     has_links = False
-    stack: list[tuple[str, bool, bool]] = []  # tag, silent, furniture
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, furniture, box around it
+    inside = -1
     silent = furniture = links = landmarks = headings = 0
 
     def flush() -> None:
@@ -74,15 +133,15 @@ def lines_of(html: str) -> list[Line]:
         text = _plain(parts)
         if text:
             own = len(_plain(unlinked) if has_links else text)
-            found.append(Line(text, 0 if furniture else own, bool(furniture), bool(landmarks), bool(headings)))
+            found.append(Line(text, 0 if furniture else own, bool(furniture), bool(landmarks), bool(headings), inside))
         parts.clear()
         unlinked.clear()
         has_links = False
 
     def close(depth: int) -> None:
-        nonlocal silent, furniture, links, landmarks, headings
+        nonlocal silent, furniture, links, landmarks, headings, inside
         while len(stack) > depth:
-            tag, was_silent, was_furniture = stack.pop()
+            tag, was_silent, was_furniture, inside = stack.pop()
             silent, furniture = silent - was_silent, furniture - was_furniture
             links, landmarks, headings = links - (tag == "a"), landmarks - (tag in LANDMARKS), headings - (tag in HEADINGS)
 
@@ -90,6 +149,8 @@ def lines_of(html: str) -> list[Line]:
     while True:
         m = MARKUP.search(html, at)
         run = html[at : m.start() if m else len(html)]
+        if run and stack and stack[-1][0] == "head" and not run.isspace():
+            close(len(stack) - 1)
         if run and not silent:
             parts.append(run)
             if links:
@@ -102,6 +163,8 @@ def lines_of(html: str) -> list[Line]:
         ends, tag = m.group(1), (m.group(2) or "").lower()
         if not tag:
             continue
+        if not ends and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br" or tag == "img" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             unlinked.append(" " if tag == "br" else "")
@@ -124,8 +187,17 @@ def lines_of(html: str) -> list[Line]:
                 close(top)
         is_silent = tag in SILENT
         named = " ".join("".join(x) for x in NAMED.findall(m.group(3))) if m.group(3) else ""
-        is_furniture = tag not in ("html", "body", *LANDMARKS) and (tag in FURNITURE and not (tag == "header" and landmarks) or bool(named and FURNITURE_NAMES.search(named)))
-        stack.append((tag, is_silent, is_furniture))
+        is_furniture = tag in FURNITURE and not (tag == "header" and landmarks)
+        stack.append((tag, is_silent, is_furniture, inside))
+        if tag == "main":
+            inside = -1
+        elif tag == "article":
+            at_box = inside
+            while at_box >= 0 and not boxes[at_box].marks:
+                boxes[at_box].marks, at_box = True, boxes[at_box].outer
+        elif tag not in ("html", "body") and not is_furniture and (tag == "form" or named and FURNITURE_NAMES.search(named)):
+            boxes.append(Box(inside, bool(ASIDES.search(named))))
+            inside = len(boxes) - 1
         silent, furniture = silent + is_silent, furniture + is_furniture
         links, landmarks, headings = links + (tag == "a"), landmarks + (tag in LANDMARKS), headings + (tag in HEADINGS)
         if tag in RAW:
@@ -133,7 +205,7 @@ def lines_of(html: str) -> list[Line]:
             end = RAW[tag].search(html, at)
             at = end.start() if end else len(html)
     flush()
-    return found
+    return found, boxes
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:

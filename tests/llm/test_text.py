@@ -284,6 +284,30 @@ def test_extraction_keeps_linked_blocks(body, text):
     assert main_text(PAGE % body) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<div class='content has-sidebar'><main>{ARTICLE}</main></div>", TEXT),
+        (f"<div class='content has-sidebar'><article>{ARTICLE}</article></div><p>{'Stray text. ' * 20}</p>", TEXT),
+        (f"<div class='widget-area'><article>{ARTICLE}</article></div><p>{'Stray text. ' * 9}</p>", TEXT + "\n" + ("Stray text. " * 9).strip()),
+        (f"<div id='search-results'>{ARTICLE}<p>More of it.</p></div>", TEXT + "\nMore of it."),
+        (f"<div class='widget-area'>{ARTICLE}<p>More of it.</p></div><p>Stray.</p>", TEXT + "\nMore of it.\nStray."),
+        (f"<form action='/'><main>{ARTICLE}</main></form>", TEXT),
+        (f"<article><div class='post share-on'>{ARTICLE}<p>More of it.</p></div></article>", TEXT + "\nMore of it."),
+        (f"<article>{ARTICLE}</article><div class='related'><article><p>{'Another one. ' * 30}</p></article></div>", TEXT),
+        (f"<div id='content'>{ARTICLE}</div><div id='comments'><p>{'No, I do not agree. ' * 30}</p></div>", TEXT),
+    ],
+)
+def test_extraction_in_named_wrappers(body, text):
+    assert main_text(PAGE % body) == text
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><meta charset=x><body>", "<head><title>T</title>", "<head><link rel=x></link><script>a</script>\n<body>", "<head>\n<body>", "<html><head><title>T</title></head>"])
+def test_extraction_without_end_of_head(start):
+    assert main_text(f"<!DOCTYPE html>{start}<div>{ARTICLE}</div>") == TEXT
+    assert main_text(f"{start}Bare text.") == "Bare text."
+
+
 def test_extraction_edges(spark):
     got = {r["page_id"]: r for r in extract_text(spark.createDataFrame(PAGES, PAGE_SCHEMA)).collect()}
     assert got[3]["text"] == got[4]["text"] == "" and got[3]["n_chars"] == 0 and got[0]["text"] == "a"
