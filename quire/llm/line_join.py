@@ -9,7 +9,8 @@ few differing bits in a parity sketch; whoever passes is verified on the words t
 Text is never shuffled to find candidates. Equal lines are found by their SHA-256, then only first
 occurrences go on, as short rows of hashes; words are read again for verified candidates alone.
 The order of rarity and the pre-filters come from fixed-size sketches, used so that they can make a
-candidate too many, never one too few.
+candidate too many, never one too few. Where they fill up on large inputs, joins on (key, line) still
+keep copies and removed lines from asking for partners.
 
 Clusters of very many versions of one line would make all pairs among themselves. Lines are first
 compared with the earliest and a few previous lines of salted groups that share a rare word; what that removes no longer asks for partners, though it stays a partner for others.
@@ -87,23 +88,27 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     lines = _lines(docs, key, text)
     same = lines.groupBy(F.unhex(F.sha2("content", 256)).alias("sha")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max(F.xxhash64("content")).alias("hash"))
     same = scratch.put(same.select("hash", "first.doc", "first.line", "n"), "same")
-    # a line goes on if it is not repeated, or is the first; both tests may let one more pass
+    # a line goes on if it is not repeated, or is the first; both tests may let more pass, which a join
+    # takes out again
     repeated = Bitmap(same.where("n > 1"), "hash", scratch, "repeated")
     first = Bitmap(same.where(repeated.has(F.col("hash"))).select(_at().alias("at")), "at", scratch, "first")
-    fresh = lines.where(~repeated.has(F.xxhash64("content")) | first.has(_at()))
+    fresh = lines.where(~repeated.has(F.xxhash64("content")) | first.has(_at())).withColumn("unsure", repeated.has(F.xxhash64("content")))
 
     # the order of rarity: how often words occur, over all texts
     every = docs.select(F.explode_outer(_cut(F.col(text), "\n" + OTHER_SPACES)).alias("w")).select(F.xxhash64("w").alias("h"))
     usual = Frequencies(every, "h", scratch, "usual")
     # of each line: size, parity sketch, smallest and largest word hash, and its first words in order
-    hashed = fresh.select("doc", "line", _once(hashes_of(F.col("content"))).alias("hashes"))
+    hashed = fresh.select("doc", "line", "unsure", _once(hashes_of(F.col("content"))).alias("hashes"))
     low = (1 << HASH_BITS) - 1
     parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(_bit(h)))
     ranked = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(Frequencies.of("usual", h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    ordered = hashed.withColumn("usual", usual.column()).select("doc", "line", F.size("hashes").alias("n"), parity.alias("parity"), ranked.alias("ranked"))
+    ordered = hashed.withColumn("usual", usual.column()).select("doc", "line", "unsure", F.size("hashes").alias("n"), parity.alias("parity"), ranked.alias("ranked"))
     # a word met once has no partner, but keeps its place in the order
     first_words = F.slice("ranked", F.lit(1), like.prefix(F.col("n")))
-    sets = scratch.put(ordered.select("doc", "line", "n", "parity", first_words.alias("prefix")), "sets")
+    passed = scratch.put(ordered.select("doc", "line", "n", "parity", first_words.alias("prefix"), "unsure"), "passed")
+    firsts = same.where(repeated.has(F.col("hash"))).select("doc", "line").hint("merge")
+    sure = scratch.put(passed.where("unsure").drop("unsure").join(firsts, ["doc", "line"], "left_semi"), "firsts")
+    sets = passed.where("not unsure").drop("unsure").unionByName(sure)
 
     # first comparison: among the lines whose first words have the same smallest or largest hash,
     # with the earliest and with some before
@@ -122,24 +127,26 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
 
     # the join proper
     asked = Bitmap(gone.select(_at().alias("at")), "at", scratch, "asked")
-    # lines that only seem to be gone still ask; another hash, or they would spare those they meet
-    seeming = sets.select("doc", "line").where(asked.has(_at())).join(gone.hint("merge"), ["doc", "line"], "left_anti")
-    other_at = F.xxhash64("doc", "line", F.lit(1))
-    spared = Bitmap(seeming.select(other_at.alias("at")), "at", scratch, "spared")
-    prefixed = sets.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
-    prefixed = prefixed.where(F.shiftright("word", HASH_BITS) > ONCE).withColumn("done", (asked.has(_at()) & ~spared.has(other_at)).cast("int"))
-    a, b = prefixed.alias("a"), prefixed.alias("b")
+    # only lines that may be gone are looked up; a side of its own, as a cluster of removed lines
+    # would make all pairs if the join itself had to tell them
+    seeming = sets.where(asked.has(_at())).join(gone.hint("merge"), ["doc", "line"], "left_anti")
+    asking = sets.where(~asked.has(_at())).unionByName(seeming)
+
+    def by_word(lines: DataFrame) -> DataFrame:
+        words = lines.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+        return words.where(F.shiftright("word", HASH_BITS) > ONCE)
+
+    a, b = by_word(sets).alias("a"), by_word(asking).alias("b")
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
     reach = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     pairs = a.join(
         b,
         (F.col("a.word") == F.col("b.word")) & earlier & like.sizes(F.col("a.n"), F.col("b.n")) & like.shared(reach, F.col("a.n"), F.col("b.n"))
-        & like.parity(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"))
-        # a later line that is gone already asks no more; written so that both sides stay one shuffle
-        & (2 * F.col("b.done") + F.col("a.done") < 2),
+        & like.parity(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n")),
     ).select(F.col("b.doc").alias("doc"), F.col("b.line").alias("line"), F.col("b.n").alias("n"), F.col("a.doc").alias("doc2"), F.col("a.line").alias("line2"), F.col("a.n").alias("n2"))
     pairs = scratch.put(pairs.distinct(), "join-pairs")
-    scratch.drop("sets")
+    scratch.drop("passed")
+    scratch.drop("firsts")
     more = _verified(pairs, docs, key, text, like, scratch, "join")
     return same.select("doc", "line").join(gone.unionByName(more).distinct().hint("merge"), ["doc", "line"], "left_anti")
 

@@ -184,6 +184,34 @@ def test_lines_random(spark):
     assert got == plain_removed(rows)
 
 
+def test_lines_with_full_sketches(spark, monkeypatch):
+    """Bitmaps without a free bit let no copy and no removed line into the pairs."""
+    import quire.llm.sketches as sketches
+
+    rows = line_rows()
+    cluster = [f"w{j}" for j in range(40)]
+    rows += [(1000 + i, " ".join(cluster[:i] + [f"new{i}"] + cluster[i + 1 :])) for i in range(40)]
+    rows += [(2000 + i, " ".join(cluster)) for i in range(100)]
+    stored, put = {}, Scratch.put
+
+    def spy(self, df, name):
+        stored[name] = put(self, df, name)
+        if name == "join-pairs":
+            gone = {tuple(r) for r in stored["lead-gone"].collect()}
+            asking = {(r["doc"], r["line"]) for r in stored[name].collect()}
+            places = [(r["doc"], r["line"]) for part in ("passed", "firsts") for r in stored[part].collect() if part == "firsts" or not r["unsure"]]
+            stored["seen"] = gone, asking, places
+        return stored[name]
+
+    monkeypatch.setattr(sketches, "BITS", 64)
+    monkeypatch.setattr(Scratch, "put", spy)
+    got = {r["doc_id"]: r["removed"] for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removed(rows)
+    gone, asking, places = stored["seen"]
+    assert gone and not gone & asking
+    assert len(places) == len({line for _, t in rows for line in t.split("\n")})
+
+
 def test_lines(docs, docs_rows, no_docs, spark):
     report = {r["doc_id"]: r for r in line_report(docs).collect()}
     assert {i: r["removed"] for i, r in report.items()} == plain_removed(docs_rows)
