@@ -12,8 +12,11 @@ from quire.llm.ball_hashing import simhash_groups
 from quire.llm.block_naming import exact_dedup
 from quire.llm.bpe import round_trip
 from quire.llm.common import Scratch
+from quire.llm.divergence import source_divergence
+from quire.llm.hard_negatives import hard_negatives
 from quire.llm.line_blocks import extract_text
 from quire.llm.line_join import line_report
+from quire.llm.multi_index import nearest
 from quire.llm.rule_ensemble import quality_scores
 from quire.llm.sos_packing import pack_documents
 from quire.llm.warc import archive, read_bundles
@@ -145,3 +148,76 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     report = line_report(table(spark, folder, "documents").select("doc_id", "text"))
     return report.select("doc_id", "n_lines", "n_kept", F.array_join("removed", ",").alias("removed"))
+
+
+@query("op11_multi_index")
+def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(rows, Scratch(spark, "multi-index"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+@query(
+    "op12_source_divergence",
+    """
+    with d as (
+           select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+           from documents),
+         o as (select row, lang, source, unnest(terms) as term from d),
+         k as (select lang, term, count(*) as n from o group by lang, term having count(distinct row) >= 3),
+         lk as (select lang, sum(n)::hugeint as total, count(*)::hugeint as v from k group by lang),
+         c as (select lang, source, term, count(*) as n from o join k using (lang, term) group by lang, source, term),
+         g as (select lang, source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) left join c using (lang, source) group by lang, source),
+         p as (
+           select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                  1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.total + lk.v) as p,
+                  1 + (1000000000::hugeint * (k.n + 1)) // (lk.total + lk.v) as q
+           from g join k on g.lang = k.lang join lk on g.lang = lk.lang
+           left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+         t as (
+           select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value,
+                  row_number() over (partition by lang, source order by (p - q) * (p - q) // q desc, term) as rank
+           from p where n > 0 and p > q),
+         s as (
+           select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+           from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+         r as (
+           select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+           from g a join g b on a.lang = b.lang and a.source <> b.source
+           left join s on s.lang = a.lang and s.source = a.source and s.item = b.source)
+    select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from r
+    union all
+    select lang, source, part, item, value::bigint, rank::int from t where rank <= 200
+    """,
+)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents").select("lang", "source", "text"), Scratch(spark, "divergence"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    with e as (
+           select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)) as v
+           from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+         s as (
+           select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, coalesce(list_dot_product(a.v, b.v), 0)::bigint as score
+           from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+         p as (
+           select anchor_id, vec_id as positive_id, score as positive_score from s where same
+           qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+         n as (
+           select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+                  (row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id))::int as rank
+           from p join s on p.anchor_id = s.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(rows, Scratch(spark, "negatives"), F.col("vec_id") % 50 == 0)
