@@ -6,8 +6,8 @@ smallest; this keeps many different gaps open, so that later pieces find one tha
 
 Full pieces are sequences of their own. The others are dealt into shards of bounded size by a
 hash, each packed on its own, large pieces first. The pieces of the sequences that stay open are
-packed again among themselves while that saves sequences: first within the shard, then all that
-the shards left open in fewer shards, until it has met in one.
+packed again among themselves while that saves sequences: first within the shard, then with those
+of other shards, dealt anew. Shards stay bounded: few are open after a round, and need fewer shards.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ END = 2
 SHARD_PIECES = 1 << 16
 # how often what stays open is packed again within a shard
 ROUNDS = 4
+# packing what other shards left open goes on while a round closes this share of the open sequences
+WORTHWHILE, MOST_ROUNDS = 1 / 16, 100
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -40,14 +43,22 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces_column(text: Column, path: str = DEFAULT_TOKENIZER, capacity: int = CAPACITY, end: int = END) -> Column:
     """The pieces of each text's tokens and the end token: piece, start, length, ids_crc32."""
 
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def run(texts: pd.Series) -> pd.Series:
-        machine, closing, rows = transducer(path), end.to_bytes(4, "little"), []
-        for text in texts:
-            ids = b"".join([*machine.encode(text or ""), closing])
-            parts = enumerate(cut(len(ids) // 4, capacity))
-            rows.append([{"piece": i, "start": at, "length": n, "ids_crc32": zlib.crc32(ids[4 * at : 4 * (at + n)])} for i, (at, n) in parts])
-        return pd.Series(rows, dtype=object)
+    @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        closing, offsets = end.to_bytes(4, "little"), [0]
+        rows: list[tuple[int, int, int, int]] = []
+        for _, ids, starts in transducer(path).encode_all(texts):
+            raw = memoryview(ids.tobytes())
+            for begin, stop in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                parts = cut(stop - begin + 1, capacity)
+                # the last piece ends in the end token
+                crcs = [zlib.crc32(raw[4 * (begin + at) : min(4 * (begin + at + n), 4 * stop)]) for at, n in parts]
+                crcs[-1] = zlib.crc32(closing, crcs[-1])
+                rows += [(i, at, n, crc) for i, ((at, n), crc) in enumerate(zip(parts, crcs))]
+                offsets.append(len(rows))
+        kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+        fields = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=list(kinds)))
 
     return run(text)
 
@@ -102,39 +113,45 @@ def place_all(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[n
 
 
 def _pack_shards(items: DataFrame, shards: int, capacity: int, number: int) -> DataFrame:
-    """`items` (id long, size int) plus seq, offset, fill. `number` keeps the sequences of the
-    calls apart."""
+    """`items` (id long, size int) plus seq, offset, fill. `number`, at most 127, keeps the sequences
+    of the calls apart and deals pieces anew."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         seq, offset, fill = place_all(group["size"].to_numpy().astype(np.int64), capacity)
-        return pd.DataFrame({"id": group["id"], "size": group["size"], "seq": seq + (number << 58 | int(group["shard"].iat[0]) << 28), "offset": offset, "fill": fill})
+        return pd.DataFrame({"id": group["id"], "size": group["size"], "seq": seq + (number << 56 | int(group["shard"].iat[0]) << 28), "offset": offset, "fill": fill})
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(number)), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, "id long, size int, seq long, offset long, fill long")
 
 
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Place `items` (id long, size int; ids distinct): rows (id, seq, offset)."""
+    """Place `items` (id long, size int; ids distinct): rows (id, seq, offset).
 
-    def shards_for(rows: int) -> int:
-        return max(1, -(-rows // shard_pieces))
+    A shard holds about `shard_pieces` pieces in every round. Rounds go on while more than one shard is
+    open and a round closes at least a share of `WORTHWHILE` of the open sequences, so there are few."""
 
     def tally(frame: DataFrame) -> tuple[int, int]:
         still = frame.where(F.col("fill") < capacity)
         return still.agg(F.count("*"), F.count_distinct("seq")).first()
 
-    shards, number, done = shards_for(items.count()), 0, []
+    shards, done = max(1, -(-items.count() // shard_pieces)), []
     placed = scratch.put(_pack_shards(items, shards, capacity, 0), "packed0")
-    while shards > 1:
-        count, sequences = tally(placed)
-        shards, number = min(shards - 1, shards_for(count)), number + 1
+    count, sequences = tally(placed)
+    for number in range(1, MOST_ROUNDS + 1):
+        if shards == 1:
+            break
+        shards = max(1, -(-count // shard_pieces))
         still = placed.where(F.col("fill") < capacity)
         again = scratch.put(_pack_shards(still.select("id", "size"), shards, capacity, number), f"packed{number}")
+        count, left = tally(again)
         if again.select("seq").distinct().count() >= sequences:
             break
         done.append(placed.where(F.col("fill") == capacity))
         placed = again
+        if left > (1 - WORTHWHILE) * sequences:
+            break
+        sequences = left
     return reduce(DataFrame.unionByName, done, placed).select("id", "seq", "offset")
 
 

@@ -7,18 +7,21 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm import warc
+from quire.llm import bpe, warc
 from quire.llm.anchors import find_spans, luhn, mask, masked, personal_data
-from quire.llm.bpe import DEFAULT_TOKENIZER, decoded_column, encoded_column, round_trip, transducer
+from quire.llm.bpe import DEFAULT_TOKENIZER, Transducer, decoded_column, encoded_column, round_trip, transducer
 from quire.llm.line_blocks import extract_text, main_text
 from quire.llm.rule_ensemble import STATISTICS, quality_filter, quality_scores, statistics
-from quire.llm.sos_packing import cut, pack_documents, place_all
+from quire.llm.common import Scratch
+from quire.llm import sos_packing
+from quire.llm.sos_packing import Bins, cut, pack, pack_documents, place_all
 from quire.llm.weak_rules import COUNTS, counts, learn, quality_rules
 
 SMALL = "/root/testdata/sf0.01"
@@ -140,6 +143,51 @@ def test_tokens_stream(reference):
     assert "".join(machine.decode([broken.tobytes()])) == reference.decode(broken.tolist(), skip_special_tokens=False)
 
 
+def test_every_piece_passes_the_transducer(reference, monkeypatch):
+    """A piece has no tokens but those that the merges of its own bytes emit, side by side or in the
+    stream, or those remembered from that; texts read together, in short runs or alone have the same."""
+    machine, fed = Transducer(DEFAULT_TOKENIZER), []
+    plain, side_by_side = machine.encode_piece, machine.merge_all
+
+    def watched(parts):
+        parts = list(parts)
+        fed.append(b"".join(parts))
+        return plain(parts)
+
+    monkeypatch.setattr(machine, "encode_piece", watched)
+    monkeypatch.setattr(machine, "merge_all", lambda raw: fed.extend(raw) or side_by_side(raw))
+    texts = [
+        "two words", " two  words ", None, "", "été “quoted” — end\n\nnew", "<|endoftext|>a <|endoftext|>", "<|endo", "ftext|>", "　x y", "a\n" * 50_000, "word " * 50_000,
+        " \nfoo", "x\n y", "tab\tend\t", "don't we'll 'sx", "a1b2 c3! ¡×÷Ã d", "x" * 40 + " " + "y=" * 80, "\x1c a\x1cb", "naïve Straße œuvre",
+    ]
+    for run in (1 << 22, 1 << 10, 5):
+        monkeypatch.setattr(bpe, "RUN", run)
+        got = [ids[a:b].tolist() for _, ids, starts in machine.encode_all(pa.array(texts, pa.string())) for a, b in zip(starts, starts[1:])]
+        assert got == [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+    pieces = {p.encode() for t in texts if t and "<|endo" not in t for p in machine.pieces.findall(t)}
+    assert pieces <= set(fed)
+    short = [p for p in fed if len(p) <= bpe.SHORT]
+    assert len(short) == len(set(short)) or max(map(short.count, set(short))) < 3  # the rest was remembered
+    part = pa.array(["x", *texts[:4]], pa.string())[1:]
+    assert sum(len(i) for _, i, _ in machine.encode_all(part)) == sum(map(len, got[:4]))
+
+
+def test_merged_side_by_side(reference):
+    """Pieces of one length against the plain loop over merges."""
+    machine = Transducer(DEFAULT_TOKENIZER)
+    random.seed(6)
+    for size in (1, 2, 3, 7, 16, 32):
+        raw = [bytes(random.choice(b"abcdeinorst  =-1\xc3\xa9") for _ in range(size)) for _ in range(200)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in machine.merge_all(raw)] == [machine._merge(r) for r in raw]
+
+
+def test_few_words_are_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 10)
+    machine = Transducer(DEFAULT_TOKENIZER)
+    first = b"".join(machine.encode(" ".join(f"w{i % 30}" for i in range(500))))
+    assert first == b"".join(machine.encode(" ".join(f"w{i % 30}" for i in range(500)))) and len(machine.recent) <= 40 and len(machine.older) <= 40
+
+
 def test_round_trip(docs, docs_rows, no_docs, reference):
     from pyspark.sql import functions as F
 
@@ -171,6 +219,52 @@ def test_place_all_is_tight():
     assert [len(x) for x in place_all(np.array([], np.int64), 8)] == [0, 0, 0]
 
 
+def test_place_is_the_smallest_sum_of_squares():
+    """Each placement against all choices tried out."""
+    random.seed(3)
+    bins, fills = Bins(20), []
+    for _ in range(400):
+        size = random.randint(1, 20)
+
+        def squares(levels):
+            return sum(levels.count(x) ** 2 for x in set(levels) if x < 20)
+
+        choices = {0: squares([*fills, size])}
+        for level in {f for f in fills if f + size <= 20}:
+            rest = list(fills)
+            rest[rest.index(level)] += size
+            choices[level] = squares(rest)
+        chosen, level = bins.place(size)
+        assert choices[level] == min(choices.values()) and level == max(x for x, v in choices.items() if v == min(choices.values()))
+        if level:
+            assert fills[chosen] == level
+            fills[chosen] += size
+        else:
+            assert chosen == len(fills)
+            fills.append(size)
+
+
+def test_shards_stay_bounded(spark, monkeypatch):
+    """Pieces that hardly fit each other: many rounds, no shard above its bound, numbers that fit."""
+    random.seed(5)
+    monkeypatch.setattr(sos_packing, "WORTHWHILE", -1.0)
+    held, plain = [], sos_packing._pack_shards
+
+    def watched(items, shards, capacity, number):
+        held.append((items.count(), shards, number))
+        return plain(items, shards, capacity, number)
+
+    monkeypatch.setattr(sos_packing, "_pack_shards", watched)
+    sizes = [(i, random.choice((33, 34, 35, 61))) for i in range(300)]
+    placed = pack(spark.createDataFrame(sizes, "id long, size int"), Scratch(spark, "t"), 100, 40).toPandas()
+    assert all(count <= 40 * shards for count, shards, _ in held)
+    placed["length"] = placed["id"].map(dict(sizes))
+    check_sequences(placed.rename(columns={"seq": "sequence_id"}), 100)
+    assert sorted(placed["id"]) == list(range(300))
+    late = plain(spark.createDataFrame(sizes, "id long, size int"), 7, 100, 127).toPandas()
+    assert late["seq"].min() > 0 and late["seq"].nunique() == len(late.groupby("seq"))
+
+
 def check_sequences(frame, capacity):
     for _, part in frame.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]]
