@@ -18,6 +18,7 @@ the smallest of them loses no connection and needs no pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -116,6 +117,41 @@ def _meet(prints: np.ndarray, left: np.ndarray, bits: int, prefix: int, radius:
     return [(pairs[near, 0], pairs[near, 1])]
 
 
+def meetings(batches: Iterable[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of fingerprints dealt out to a task: `print`, `prefix`, `bits` and `left`, in order of
+    bits and prefix."""
+
+    def one_by_one(part: pd.DataFrame, key: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(part):
+            return
+        prints, left = part["print"].to_numpy().view(np.uint64), part["left"].to_numpy().astype(np.int64)
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for begin, end in zip(begins, np.append(begins[1:], len(key))):
+            if end - begin > 1:
+                found = _meet(prints[begin:end], left[begin:end], int(part["bits"].iat[begin]), int(part["prefix"].iat[begin]), radius)
+                for a, b in found:
+                    yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch["bits"].to_numpy().astype(np.int64) << 40 | batch["prefix"].to_numpy()
+        # the last prefix may go on in the next batch, the first may have begun in one before
+        whole = key != key[-1]
+        if held and (whole.any() or key[-1] != held_key):
+            own = key == held_key
+            begun = pd.concat([*held, batch[own & whole]])
+            yield from one_by_one(begun, np.full(len(begun), held_key))
+            batch, key, whole, held = batch[~(own & whole)], key[~(own & whole)], whole[~(own & whole)], []
+        yield from one_by_one(batch[whole], key[whole])
+        held.append(batch[~whole])
+        held_key = key[-1]
+    if held:
+        rest = pd.concat(held)
+        yield from one_by_one(rest, np.full(len(rest), held_key))
+
+
 def links(prints: DataFrame, column: str, radius: int = RADIUS, count: int | None = None) -> DataFrame:
     """Rows (a, b) of fingerprints within 2 * radius bits, enough to connect all that are linked
     directly or over others. `prints` has distinct fingerprints, `count` of them."""
@@ -140,31 +176,22 @@ def links(prints: DataFrame, column: str, radius: int = RADIUS, count: int | Non
         F.when(F.col("hot"), bits + MORE_BITS).otherwise(bits).alias("bits"), (F.lit(radius) - F.col("used") - F.bit_count("flip")).alias("left"),
     ).where("left >= 0")
 
-    def meet(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            key = held["bits"].to_numpy().astype(np.int64) << 40 | held["prefix"].to_numpy()
-            # the last prefix may go on in the next batch
-            whole = key != key[-1]
-            yield from one_by_one(held[whole], key[whole])
-            held = held[~whole]
-        if held is not None and len(held):
-            yield from one_by_one(held, held["bits"].to_numpy().astype(np.int64) << 40 | held["prefix"].to_numpy())
-
-    def one_by_one(part: pd.DataFrame, key: np.ndarray):
-        if not len(part):
-            return
-        prints, left = part["print"].to_numpy().view(np.uint64), part["left"].to_numpy().astype(np.int64)
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        for begin, end in zip(begins, np.append(begins[1:], len(key))):
-            if end - begin > 1:
-                found = _meet(prints[begin:end], left[begin:end], int(part["bits"].iat[begin]), int(part["prefix"].iat[begin]), radius)
-                for a, b in found:
-                    yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
     together = dealt.repartition("bits", "prefix").sortWithinPartitions("bits", "prefix")
-    return together.mapInPandas(meet, "a long, b long")
+    return together.mapInPandas(lambda batches: meetings(batches, radius), "a long, b long")
+
+
+def _components(printed: DataFrame, key: str, print_column: str, radius: int, scratch: Scratch) -> DataFrame:
+    """(_print, component_id) of the fingerprints that are linked or occur more than once, from a stored
+    table of rows with their fingerprints."""
+    named = printed.select(F.col(key), F.col(print_column).alias("_print"))
+    classes = scratch.put(named.groupBy("_print").agg(F.min(key).alias("_first"), F.count("*").alias("_count")), "classes")
+    found = scratch.put(links(classes, "_print", radius, classes.count()), "links")
+    roots = components(found, scratch)
+    linked = classes.join(roots, classes["_print"] == roots["node"], "left").select("_print", "_first", "_count", F.coalesce("root", "_print").alias("_root"), F.col("root").isNotNull().alias("_linked"))
+    linked = scratch.put(linked.where("_linked or _count > 1"), "linked")
+    smallest = linked.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    # a component of very many fingerprints is one root: looked up with a salt
+    return salted_lookup(linked, smallest, ["_root"], F.col("_print")).select("_print", "component_id", F.lit(True).alias("_known"))
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -177,22 +204,28 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
     scratch = Scratch(docs.sparkSession, "ball-hashing")
     rest = [c for c in docs.columns if c not in (*added, text)]
     printed = scratch.put(docs.select(*rest, fingerprint_column(F.col(text)).alias("_print")), "prints")
-    classes = scratch.put(printed.groupBy("_print").agg(F.min(key).alias("_first"), F.count("*").alias("_count")), "classes")
-    found = scratch.put(links(classes, "_print", radius, classes.count()), "links")
-    roots = components(found, scratch)
-    linked = classes.join(roots, classes["_print"] == roots["node"], "left").select("_print", "_first", "_count", F.coalesce("root", "_print").alias("_root"), F.col("root").isNotNull().alias("_linked"))
-    linked = scratch.put(linked.where("_linked or _count > 1"), "linked")
-    smallest = linked.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    # a component of very many fingerprints is one root: looked up with a salt
-    named = salted_lookup(linked, smallest, ["_root"], F.col("_print")).select("_print", "component_id", F.lit(True).alias("_known"))
+    named = _components(printed, key, "_print", radius, scratch)
     return salted_lookup(printed, named, ["_print"], F.col(key)).select(
         *rest, F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), F.when(F.col("_known"), F.col("component_id")).otherwise(F.col(key)).alias("component_id")
     )
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """`docs` without near-duplicates: of each component the row with the smallest key stays. Rows
-    that share that key stay together; rows with a null key go if their component has a key."""
-    grouped = simhash_groups(docs.select(key, text), key, text, radius)
-    gone = grouped.where(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    """`docs` without near-duplicates: of each component the row with the smallest key stays.
+
+    Rows are told apart by key and fingerprint. Rows of the staying key that lie in its component stay
+    together. Rows with a null key go if their component has a key, and else stay; a row that is like
+    no other stays whatever its key, null, shared or its own. Any column names are allowed, no rows
+    give no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    own = "_print"
+    while own in docs.columns:
+        own += "_"
+    printed = scratch.put(docs.withColumn(own, fingerprint_column(F.col(text))), "documents")
+    named = _components(printed, key, own, radius, scratch).select("_print", "component_id").where("component_id is not null")
+    rows = printed.select(F.col(key).alias("_key"), F.col(own).alias("_print"))
+    # one row a key and fingerprint: the few that go are those whose component has a smaller key
+    gone = scratch.put(salted_lookup(rows.distinct(), named, ["_print"], F.col("_key")).where("component_id is not null and not component_id <=> _key").select("_key", "_print"), "gone")
+    gone = gone.hint("merge")
+    return printed.join(gone, printed[key].eqNullSafe(gone["_key"]) & (printed[own] == gone["_print"]), "left_anti").drop(own)

@@ -75,6 +75,35 @@ def test_simhash(docs, docs_rows, no_docs):
     assert sorted({r["doc_id"] for r in near_dedup(docs).collect()}) == sorted(set(root.values()))
 
 
+def test_near_dedup_decides_each_row(spark, no_docs):
+    """Null and shared keys neither save a copy nor take an own text with them; names may clash."""
+    a, b, c = ("the quick river ran over the old stones again " + x for x in ("", "while nobody looked at boats", "and eleven cats sang of distant harbours"))
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, a), (3, None), (4, ""), (None, None), (5, c)]
+    docs = spark.createDataFrame([(k, t, i, "x") for i, (k, t) in enumerate(rows)], "doc_id long, text string, _print int, _key string")
+    kept = near_dedup(docs)
+    assert kept.columns == docs.columns and sorted(r["_print"] for r in kept.collect()) == [0, 2, 3, 5]
+    assert sorted(r["_print"] for r in near_dedup(docs.where("doc_id is null")).collect()) == [1, 2, 7]
+    assert near_dedup(no_docs).count() == 0
+
+
+def test_prefixes_over_many_batches():
+    """A prefix may be spread over batches of any size."""
+    import numpy as np
+    import pandas as pd
+
+    from quire.llm import ball_hashing
+
+    random.seed(4)
+    prints = sorted({(random.getrandbits(8) << 56) ^ (1 << random.randrange(56)) for _ in range(60)})
+    frame = pd.DataFrame({"print": np.array(prints, dtype=np.uint64).view(np.int64), "prefix": [p >> 60 for p in prints], "bits": 4, "left": 2})
+    results = []
+    for size in (1, 3, 1000):
+        batches = [frame.iloc[i : i + size] for i in range(0, len(frame), size)] + [frame.iloc[:0]]
+        made = pd.concat(ball_hashing.meetings(batches, 2))
+        results.append(sorted(set(zip(made["a"], made["b"]))))
+    assert results[0] == results[1] == results[2] and results[0]
+
+
 @pytest.mark.parametrize("radius", [1, 2])
 def test_ball_links(spark, radius):
     random.seed(radius)
