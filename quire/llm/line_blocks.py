@@ -3,9 +3,13 @@
 Markup is stripped into lines, one a block of the page. Each line weighs as many characters as it
 has outside links and page furniture; the weights are summed over sliding windows of lines. Where
 the sums surge from nothing the text begins, where they dive to nothing it ends, and all lines
-between that do not belong to furniture are kept, however short and whether linked or not. Headings
-that lead up to the surge are kept too. Of pages that mark their text as such (article, main) all
-lines in it that are not furniture are kept.
+between that do not belong to furniture are kept, however short and whether linked or not.
+
+Around that stretch, lines that belong to it are kept too: headings that lead up to it, and what stands
+in the same list or container, such as a closing line that is wholly a link or comes after a list of
+links. A page that marks its text (article, main) and has a share `MARKED` of its weight there weighs
+nothing elsewhere, and all of a landmark that the stretch touches is kept; a smaller one is a teaser, and
+weighs like any other line.
 
 Names say less than tags: a box that a class, id or role names as furniture is none if it holds
 most of the page's text, stands around <main>, or if nothing would be left of the page or its articles.
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 # a stretch of lines is text if its heaviest window has this share of the page's heaviest
 SURGE = 0.2
+# what a page marks as its text is that if it has this share of the page's weight; else it is a teaser
+MARKED = 1 / 8
 
 # tags, comments and declarations; an unfinished one at the end is dropped
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.DOTALL)
@@ -34,14 +40,14 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 FURNITURE = frozenset("nav header footer aside menu dialog".split())
 # words in a class, id or role that name furniture; "has-sidebar" and the like name what is around it
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?:ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|"
-    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|login|search|comments?|replies|respond|disqus|toolbar|pagination|pager|copyright|contentinfo|complementary|navigation|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?:ads?(?:box|bygoogle|ense|lots?|units?)?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|"
+    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|login|search|comment(?!ar)\w*|replies|respond|disqus|toolbar|pagination|pager|copyright|contentinfo|complementary|navigation|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 # of these, what stays furniture beside other text even if it is longer than that
 ASIDES = re.compile(
     r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])"
-    r"(?:ads?|adverts?|advert\w*|promo\w*|sponsor\w*|related|newsletter|subscribe|comments?|replies|respond|disqus|cookies?|consent|copyright)(?:$|[\s_-])",
+    r"(?:ads?(?:box|bygoogle|ense|lots?|units?)?|adverts?|advert\w*|promo\w*|sponsor\w*|related|newsletter|subscribe|comment(?!ar)\w*|replies|respond|disqus|cookies?|consent|copyright)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 BLOCKS = frozenset(
@@ -53,6 +59,9 @@ RAW = {tag: re.compile(f"</{tag}(?![a-z0-9-])", re.IGNORECASE) for tag in ("scri
 # a closing tag of these also ends what was left open inside
 LANDMARKS = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# what lines stand in together: containers of blocks, and lists of items
+CONTAINERS = frozenset("article blockquote body center details div fieldset figure html main section td th".split())
+LISTS = frozenset("dir dl menu ol table ul".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -61,8 +70,10 @@ class Line:
     text: str
     weight: int
     furniture: bool
-    landmark: bool
+    landmark: int  # the outermost article or main around it, numbered from 1, or 0
     heading: bool
+    container: int = 0
+    list: int = 0  # the innermost list around it within its container, or 0
     box: int = -1  # the innermost box around it
 
 
@@ -108,7 +119,7 @@ def lines_of(html: str) -> list[Line]:
         # the marked text is in small boxes: they are text beside the rest
         closed = shut(lambda box: not box.aside and (box.marks or 2 * box.weight > total))
         for line in found:
-            line.landmark = False
+            line.landmark = 0
     if not left(closed, False):
         closed = shut(lambda box: True)
     for line in found:
@@ -124,24 +135,25 @@ def _blocks(html: str) -> tuple[list[Line], list[Box]]:
     parts: list[str] = []
     unlinked: list[str] = []
     has_links = False
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, furniture, box around it
+    # tag, silent, furniture, and box, container, list and landmark around it
+    stack: list[tuple[str, bool, bool, int, int, int, int]] = []
     inside = -1
-    silent = furniture = links = landmarks = headings = 0
+    silent = furniture = links = landmarks = headings = container = listed = landmark = opened = 0
 
     def flush() -> None:
         nonlocal has_links
         text = _plain(parts)
         if text:
             own = len(_plain(unlinked) if has_links else text)
-            found.append(Line(text, 0 if furniture else own, bool(furniture), bool(landmarks), bool(headings), inside))
+            found.append(Line(text, 0 if furniture else own, bool(furniture), landmark, bool(headings), container, listed, inside))
         parts.clear()
         unlinked.clear()
         has_links = False
 
     def close(depth: int) -> None:
-        nonlocal silent, furniture, links, landmarks, headings, inside
+        nonlocal silent, furniture, links, landmarks, headings, inside, container, listed, landmark
         while len(stack) > depth:
-            tag, was_silent, was_furniture, inside = stack.pop()
+            tag, was_silent, was_furniture, inside, container, listed, landmark = stack.pop()
             silent, furniture = silent - was_silent, furniture - was_furniture
             links, landmarks, headings = links - (tag == "a"), landmarks - (tag in LANDMARKS), headings - (tag in HEADINGS)
 
@@ -188,7 +200,14 @@ def _blocks(html: str) -> tuple[list[Line], list[Box]]:
         is_silent = tag in SILENT
         named = " ".join("".join(x) for x in NAMED.findall(m.group(3))) if m.group(3) else ""
         is_furniture = tag in FURNITURE and not (tag == "header" and landmarks)
-        stack.append((tag, is_silent, is_furniture, inside))
+        stack.append((tag, is_silent, is_furniture, inside, container, listed, landmark))
+        opened += 1
+        if tag in CONTAINERS:
+            container, listed = opened, 0
+        elif tag in LISTS:
+            listed = opened
+        if tag in LANDMARKS and not landmark:
+            landmark = opened
         if tag == "main":
             inside = -1
         elif tag == "article":
@@ -208,15 +227,11 @@ def _blocks(html: str) -> tuple[list[Line], list[Box]]:
     return found, boxes
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    """The text between surge and dive; empty for null, empty and textless pages."""
-    # furniture takes no line of its own, so that a box in the middle of a text is no dive
-    kept = [line for line in lines_of(html or "") if not line.furniture]
-    marked = [line for line in kept if line.landmark]
-    if any(line.weight for line in marked) or not any(line.weight for line in kept):
-        return "\n".join(line.text for line in marked)
-    sums = [sum(line.weight for line in kept[i : i + window]) for i in range(len(kept))]
-    least, begin, end, stretch = surge * max(sums), None, 0, None
+def stretch_of(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
+    """Where the text begins and ends: from the first to the last stretch of windows with weight whose
+    heaviest window has a share `surge` of the page's heaviest; (0, 0) without any weight."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    least, begin, end, stretch = surge * max(sums, default=0), None, 0, None
     for i, total in enumerate([*sums, 0]):
         if total and stretch is None:
             stretch = i
@@ -224,11 +239,39 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
             if max(sums[stretch:i]) >= least:
                 begin, end = stretch if begin is None else begin, i
             stretch = None
-    # windows look ahead: the text begins at the first line that weighs, or the headings above it
-    first = next(i for i in range(begin, end) if kept[i].weight)
-    while first and kept[first - 1].heading:
-        first -= 1
-    return "\n".join(line.text for line in kept[first:end])
+    if begin is None:
+        return 0, 0
+    # windows look ahead: the text begins at the first line that weighs
+    return next(i for i in range(begin, end) if weights[i]), end
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    """The text between surge and dive; empty for null, empty and textless pages. A page that has links
+    alone gives those that it marks as its text."""
+    # furniture takes no line of its own, so that a box in the middle of a text is no dive
+    kept = [line for line in lines_of(html or "") if not line.furniture]
+    total, marked = sum(line.weight for line in kept), sum(line.weight for line in kept if line.landmark)
+    if not total:
+        return "\n".join(line.text for line in kept if line.landmark)
+    by_mark = marked >= MARKED * total
+    begin, end = stretch_of([0 if by_mark and not line.landmark else line.weight for line in kept], window, surge)
+    if by_mark:
+        touched = {line.landmark for line in kept[begin:end]} - {0}
+        return "\n".join(line.text for line in kept if line.landmark in touched)
+    weighty = [line for line in kept[begin:end] if line.weight]
+    lists, containers = {line.list for line in weighty} - {0}, {line.container for line in weighty}
+
+    def belongs(line: Line) -> bool:
+        return line.list in lists if line.list else line.container in containers
+
+    while begin and (kept[begin - 1].heading or not kept[begin - 1].weight and belongs(kept[begin - 1])):
+        begin -= 1
+    for i in range(end, len(kept)):
+        if belongs(kept[i]):
+            end = i + 1
+        elif kept[i].weight:
+            break
+    return "\n".join(line.text for line in kept[begin:end])
 
 
 def main_text_column(html: Column) -> Column:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm import bpe, warc
+from quire.llm import bpe, line_blocks, warc
 from quire.llm.anchors import find_spans, luhn, mask, masked, personal_data
 from quire.llm.bpe import DEFAULT_TOKENIZER, Transducer, decoded_column, encoded_column, round_trip, transducer
 from quire.llm.line_blocks import extract_text, main_text
@@ -446,3 +446,63 @@ def test_more_spans(docs, no_docs):
     got = {r["doc_id"]: r["text"] for r in masked(docs).collect()}
     assert got[3] is None and got[17] == "mail [EMAIL] and [PHONE] or [CARD] at [IP]" and got[8] == dict(docs.select("doc_id", "text").collect())[8]
     assert personal_data(no_docs).count() == 0 and masked(no_docs).columns == no_docs.columns
+
+
+# --- surge and dive
+
+LONG = "This paragraph is long enough to weigh something and goes on about rivers, mills and stones."
+
+
+def plain_stretch(weights, window, surge):
+    """Line by line: which lines a heavy stretch of windows covers, then all from first to last."""
+    n = len(weights)
+    sums = [sum(weights[i:i + window]) for i in range(n)]
+    groups, own = [], []
+    for i in range(n):
+        if sums[i]:
+            own.append(i)
+        elif own:
+            groups.append(own)
+            own = []
+    groups += [own] if own else []
+    heavy = [i for g in groups if max(sums[j] for j in g) >= surge * max(sums) for i in g]
+    inside = [i for i in range(min(heavy), max(heavy) + 1)] if heavy else []
+    while inside and not weights[inside[0]]:
+        inside.pop(0)
+    return inside
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 1, 5, 30, 200]), max_size=30), st.integers(1, 5), st.sampled_from([0.0, 0.2, 0.9]))
+def test_stretches(weights, window, surge):
+    begin, end = line_blocks.stretch_of(weights, window, surge)
+    assert list(range(begin, end)) == (plain_stretch(weights, window, surge) if any(weights) else [])
+
+
+def test_surge_and_dive_run_on_every_page(monkeypatch):
+    seen, plain = [], line_blocks.stretch_of
+    monkeypatch.setattr(line_blocks, "stretch_of", lambda *a: seen.append(a) or plain(*a))
+    assert main_text(f"<article><h1>T</h1><p>{LONG}</p></article>") == f"T\n{LONG}"
+    assert main_text(f"<p>{LONG}</p>") == LONG and len(seen) == 2
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    # a landmark that holds little is a teaser, and the unmarked text is not lost
+    (f"<article><p>Teaser.</p></article><div><p>{LONG}</p><p>{LONG} Again.</p></div>", f"Teaser.\n{LONG}\n{LONG} Again."),
+    (f"<article><p>One.</p></article><article><p>Two.</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"One.\nTwo.\n{LONG}\n{LONG}"),
+    # closing lines that are wholly a link, in a paragraph and in a list of the text
+    (f"<div><p>{LONG}</p><p><a href=x>Read on</a></p></div>", f"{LONG}\nRead on"),
+    (f"<div><p>{LONG}</p><ul><li>{LONG}</li><li><a href=x>Last</a></li></ul></div>", f"{LONG}\n{LONG}\nLast"),
+    # a short closing paragraph after a list of links
+    (f"<div><p>{LONG}</p><p>{LONG}</p><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li><li><a>d</a></li></ul><p>The end.</p></div>", f"{LONG}\n{LONG}\na\nb\nc\nd\nThe end."),
+    # a list of links beside the text, before and after, is none of it
+    (f"<div><ul><li><a>a</a></li><li><a>b</a></li></ul></div><div><p>{LONG}</p></div><div><ul><li><a>c</a></li><li><a>d</a></li><li><a>e</a></li><li><a>f</a></li></ul><p>Imprint.</p></div>", LONG),
+    # comments and adverts with names of their own inside the article
+    (f"<article><p>{LONG}</p><ol class=commentlist><li>Nice one!</li></ol><div class=adsbox>Buy now</div></article>", LONG),
+    (f"<article><p>{LONG}</p><div class=commentary><p>{LONG}</p></div></article>", f"{LONG}\n{LONG}"),
+    # inside a landmark all stays, wherever it stands
+    (f"<main><h2><a href=#m>Methods</a></h2><p>{LONG}</p><p><a>x</a></p><p><a>y</a></p><p><a>z</a></p><p>End.</p></main><p>{LONG[:40]}</p>", f"Methods\n{LONG}\nx\ny\nz\nEnd."),
+    ("<p><a href=x>only</a></p>", ""), ("<article><a href=x>only</a></article>", "only"), ("", ""), (None, ""), ("<p> </p>", ""),
+])
+def test_main_text_shapes(html, text):
+    assert main_text(html) == text
