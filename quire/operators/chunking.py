@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import estimate_tokens, is_blank, words
 from quire.operators.common import let, running_sum
-from quire.operators.folds import ordered_fold
+from quire.operators.scans import SCAN_ROWS, Budget, openings
 
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 50
+# Texts and estimated tokens of an embedding request.
+MAX_TEXTS, MAX_TOKENS = 100, 250_000
 CHUNK_TYPE = "array<struct<position:int,text:string,token_count:int>>"
 
 
@@ -53,16 +57,15 @@ def filter_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~is_blank(F.col(text)))
 
 
-def group_starts(lengths: Column, limit: int, joint: int, ahead: int = 0, first: int = 0, alone: Column | None = None) -> Column:
+def group_starts(lengths: Column, limit: int, joint: int, ahead: int = 0, first: int = 0, alone: Callable[[Column], Column] | None = None) -> Column:
     """Where greedy groups begin, as indices into an array of piece lengths.
 
     A piece opens a group if, with what the open one holds and `ahead`, it would pass `limit`;
     otherwise it joins and adds its length and `joint`. A group that no overflow opened starts
-    `first` longer. Pieces marked in `alone` (an array of booleans) are groups of their own. One
-    pass over integers; no text is touched.
+    `first` longer. Pieces whose length is `alone` are groups of their own. One pass over integers; no
+    text is touched. The result is computed anew wherever it is named: bind it with `let`.
     """
-    free = F.transform(lengths, lambda _: F.lit(False)) if alone is None else alone
-    pieces = F.transform(F.arrays_zip(lengths.alias("length"), free.alias("alone")), lambda p, i: F.struct(i.alias("i"), p["length"].alias("length"), p["alone"].alias("alone")))
+    pieces = F.transform(lengths, lambda n, i: F.struct(i.alias("i"), n.alias("length"), (F.lit(False) if alone is None else alone(n)).alias("alone")))
     none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"), F.lit(True).alias("closed"))
 
     def add(held, piece):
@@ -77,14 +80,14 @@ def group_starts(lengths: Column, limit: int, joint: int, ahead: int = 0, first:
     return F.aggregate(pieces, none, add, lambda held: held["starts"])
 
 
-def joined_groups(pieces: Column, starts: Column, glue: str) -> Column:
-    """The texts of the groups: slices between neighbouring starts, joined."""
+def slices(starts: Column, total: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """`body` of the start and the number of pieces of every group; `starts` is bound."""
+    return F.transform(starts, lambda start, i: body(start, F.coalesce(F.get(starts, i + 1), total) - start))
 
-    def group(start, i):
-        stop = F.coalesce(F.get(starts, i + 1), F.size(pieces))
-        return F.array_join(F.slice(pieces, start + 1, stop - start), glue)
 
-    return F.transform(starts, group)
+def joined_groups(pieces: Column, starts: Column, glue: str) -> Column:
+    """The texts of the groups: slices between neighbouring starts, joined."""
+    return let(starts, lambda held: slices(held, F.size(pieces), lambda start, n: F.array_join(F.slice(pieces, start + 1, n), glue)))
 
 
 def _stripped(parts: Column) -> Column:
@@ -96,16 +99,18 @@ def paragraph_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     """Chunks that keep paragraphs together; a paragraph above `size` is windowed on its own."""
 
     def packed(paragraphs):
-        sizes = F.transform(paragraphs, lambda p: F.size(tokenize(p)))
-        starts = group_starts(sizes, size, separator_tokens, ahead=separator_tokens, alone=F.transform(sizes, lambda n: n > size))
-
-        def chunks(group):
-            count = F.size(tokenize(group))
-            whole = F.array(F.struct(F.lit(0).alias("position"), group.alias("text"), count.alias("token_count")))
-            # only a paragraph that stands alone can be longer than a chunk
-            return F.when(count > size, token_windows(group, size, overlap, tokenize)).otherwise(whole)
-
-        return F.flatten(F.transform(joined_groups(paragraphs, starts, "\n\n"), chunks))
+        return let(F.transform(paragraphs, lambda p: F.size(tokenize(p))), lambda sizes: let(
+            group_starts(sizes, size, separator_tokens, ahead=separator_tokens, alone=lambda n: n > size),
+            lambda starts: F.flatten(slices(starts, F.size(sizes), lambda start, n: chunks(paragraphs, sizes, start, n))),
+        ))
+
+    def chunks(paragraphs, sizes, start, n):
+        group = F.array_join(F.slice(paragraphs, start + 1, n), "\n\n")
+        # words of joined paragraphs are those of each; other tokens may join or part at the seams
+        count = F.aggregate(F.slice(sizes, start + 1, n), F.lit(0), lambda a, x: a + x) if tokenize is words else F.size(tokenize(group))
+        whole = F.array(F.struct(F.lit(0).alias("position"), group.alias("text"), count.alias("token_count")))
+        # only a paragraph that stands alone can be longer than a chunk
+        return F.when(F.get(sizes, start) > size, token_windows(group, size, overlap, tokenize)).otherwise(whole)
 
     def numbered(found):
         return F.transform(found, lambda c, i: F.struct(i.alias("position"), c["text"].alias("text"), c["token_count"].alias("token_count")))
@@ -141,16 +146,20 @@ def sentence_chunks(text: Column, max_chars: int = 500) -> Column:
         return let(F.split(F.regexp_replace(sentence, r"([,;:])\s+", "\uffff$1\uffff"), "\uffff"), packed)
 
     def all_pieces(sentences):
-        sizes = F.transform(sentences, F.char_length)
-        starts = group_starts(sizes, max_chars, 1, first=1, alone=F.transform(sizes, lambda n: n > max_chars))
-        groups = joined_groups(sentences, starts, " ")
-        return F.flatten(F.zip_with(groups, starts, lambda group, at: F.when(F.get(sizes, at) > max_chars, cut(group)).otherwise(F.array(group))))
+        def piece(sizes, start, n):
+            group = F.array_join(F.slice(sentences, start + 1, n), " ")
+            return F.when(F.get(sizes, start) > max_chars, cut(group)).otherwise(F.array(group))
+
+        return let(F.transform(sentences, F.char_length), lambda sizes: let(
+            group_starts(sizes, max_chars, 1, first=1, alone=lambda n: n > max_chars),
+            lambda starts: F.flatten(slices(starts, F.size(sizes), lambda start, n: piece(sizes, start, n))),
+        ))
 
     return let(_stripped(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")), all_pieces)
 
 
 def embedding_batches(
-    texts: DataFrame, keys: list[str], order: list[str], text: str = "text", max_texts: int = 100, max_tokens: int = 250_000
+    texts: DataFrame, keys: list[str], order: list[str], text: str = "text", max_texts: int = MAX_TEXTS, max_tokens: int = MAX_TOKENS, rows: int = SCAN_ROWS
 ) -> DataFrame:
     """Add `batch_no`: greedy request batches in order, at most `max_texts` and `max_tokens` each.
 
@@ -158,13 +167,7 @@ def embedding_batches(
     """
     checked = F.when(is_blank(F.col(text)), F.raise_error(F.lit("cannot embed an empty text")).cast("int"))
     sized = texts.withColumn("est_tokens", F.coalesce(checked, estimate_tokens(F.col(text))))
-
-    def step(state, est):
-        count, used = state
-        full = bool(count) and (count >= max_texts or used + est > max_tokens)
-        return ((1, est) if full else (count + 1, used + est)), int(full)
-
-    # the fold only says where batches open; a running sum numbers them
-    opened = ordered_fold(sized, keys, order, ["est_tokens"], step, (0, 0), "_opens", "int")
+    # the scan only says where batches open; a running sum numbers them
+    opened = openings(sized, keys, order, "est_tokens", Budget(max_texts, max_tokens), "_opens", rows)
     numbered = running_sum(opened, keys, order, {"_before": F.col("_opens")})
     return numbered.withColumn("batch_no", (F.col("_before") + F.col("_opens")).cast("int")).drop("_before", "_opens")

@@ -51,6 +51,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def same_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null is a key like any other; the key columns of `left` stay."""
+    renamed = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    conditions = [left[k].eqNullSafe(renamed[f"_same_{k}"]) for k in keys]
+    return left.join(renamed, reduce(Column.__and__, conditions), how).drop(*[f"_same_{k}" for k in keys])
+
+
 def hottest_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
     return row["n"] or 0
@@ -97,16 +104,17 @@ def running_sum(
     offsets = totals.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    joined = local.join(offsets, [*keys, "_block"])
+    joined = same_join(local, offsets, [*keys, "_block"])
     return joined.select(
         *[(F.col(c) + F.col(f"_o_{c}")).alias(c) if c in sums else F.col(c) for c in local.columns if c != "_block"]
     )
 
 
 def neighbour_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, ahead: bool = False, block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column, out: str, ahead: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """`value` of the row before (or after, when `ahead`) within each key; hot keys in blocks."""
+    value = F.col(value) if isinstance(value, str) else value
     blocked, split = ordered_blocks(df, keys, order, block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     shift = F.lead if ahead else F.lag
@@ -114,12 +122,12 @@ def neighbour_value(
     if not split:
         return local.drop("_block")
     edge = F.min_by if ahead else F.max_by
-    ends = blocked.groupBy(*keys, "_block").agg(edge(F.col(value), F.struct(*order)).alias("_end"))
+    ends = blocked.groupBy(*keys, "_block").agg(edge(value, F.struct(*order)).alias("_end"))
     carried = ends.select(*keys, "_block", shift("_end").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry"))
     # the row at the border of a block takes the value from the neighbouring block
     border = shift(F.lit(1)).over(inside).isNull()
     return (
-        local.withColumn("_border", border).join(carried, [*keys, "_block"])
+        same_join(local.withColumn("_border", border), carried, [*keys, "_block"])
         .withColumn(out, F.when(F.col("_border"), F.col("_carry")).otherwise(F.col(out)))
         .drop("_block", "_border", "_carry")
     )
@@ -144,8 +152,8 @@ def as_of(
     local = blocked.withColumn(value, F.last("_mark", ignorenulls=True).over(upto))
     if split:
         lasts = blocked.where("_side = 0").groupBy(*keys, "_block").agg(F.max_by("_mark", F.struct(*order)).alias("_last"))
-        blocks = blocked.select(*keys, "_block").distinct().join(lasts, [*keys, "_block"], "left")
+        blocks = same_join(blocked.select(*keys, "_block").distinct(), lasts, [*keys, "_block"], "left")
         before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         carried = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-        local = local.join(carried, [*keys, "_block"]).withColumn(value, F.coalesce(value, "_carry"))
+        local = same_join(local, carried, [*keys, "_block"]).withColumn(value, F.coalesce(value, "_carry"))
     return local.where("_side = 1").select("_point.*", value)

@@ -1,16 +1,20 @@
 """Time-ordered media tables: segments, chapters, frames and detections.
 
 Joins of times with spans use time buckets as an equality, so a long recording is never paired
-with itself; sequential rules run as ordered folds.
+with itself; sequential rules are scans over blocks (`scans.py`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.common import neighbour_value, running_sum, top_k
-from quire.operators.folds import ordered_fold
+from quire.operators.scans import SCAN_ROWS, MinimumRun, Spacing, openings
+from quire.session import stored
 
 # Chapter markers at the start of a segment.
 CHAPTER_MARKER = (
@@ -26,21 +30,16 @@ def intro_text(segments: DataFrame, recording: str, order: str, k: int = 20) ->
     return first.groupBy(recording).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("intro"))
 
 
-def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int = 10) -> DataFrame:
+def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int = 10, rows: int = SCAN_ROWS) -> DataFrame:
     """Chapters (recording, chapter, title, start, end) of segments(recording, seq, start, end, text).
 
     Once a chapter has enough segments, a marker phrase or a long pause opens the next one.
     """
-
-    def step(state, start, end, marker):
-        count, last_end = state
-        opens = count >= min_segments and (marker or (last_end is not None and start - last_end > min_gap))
-        # beyond the minimum the exact count does not matter, so states of different pasts meet
-        return (1 if opens else min(count + 1, min_segments), float(end)), int(opens)
-
     marked = segments.withColumn("_marker", F.ltrim("text").rlike(CHAPTER_MARKER))
-    numbered = ordered_fold(marked, ["recording"], ["start", "seq"], ["start", "end", "_marker"], step, (0, None), "_opens", "int")
-    # the fold only says where chapters open; a running sum numbers them
+    paused = neighbour_value(marked, ["recording"], ["start", "seq"], "end", "_last_end", block_rows=rows)
+    may = F.coalesce(F.col("_marker") | (F.col("start") - F.col("_last_end") > min_gap), F.col("_marker"), F.lit(False))
+    numbered = openings(paused.withColumn("_may", may.cast("int")), ["recording"], ["start", "seq"], "_may", MinimumRun(min_segments), "_opens", rows)
+    # the scan only says where chapters open; a running sum numbers them
     numbered = running_sum(numbered, ["recording"], ["start", "seq"], {"_before": F.col("_opens")})
     numbered = numbered.withColumn("chapter", (F.col("_before") + F.col("_opens") + 1).cast("int"))
     order = F.struct("start", "seq")
@@ -87,16 +86,11 @@ def nearby_transcript(frames: DataFrame, segments: DataFrame, window: float = 15
     return frames.join(texts, ["recording", "frame"], "left").withColumn("nearby", F.coalesce("nearby", F.lit("")))
 
 
-def frame_schedule(scenes: DataFrame, videos: DataFrame, gap: float = 10.0, interval: float = 60.0) -> DataFrame:
+def frame_schedule(scenes: DataFrame, videos: DataFrame, gap: float = 10.0, interval: float = 60.0, rows: int = SCAN_ROWS) -> DataFrame:
     """Times (video, t) to capture: scene changes at least `gap` apart, and every `interval` where
     no captured scene is near. `scenes` has video, seq, t; `videos` has video, duration."""
-
-    def step(last, t):
-        if last is None or t - last >= gap:
-            return float(t), True
-        return last, False
-
-    chosen = ordered_fold(scenes, ["video"], ["t", "seq"], ["t"], step, None, "keep", "boolean").where("keep").select("video", "t")
+    timed = scenes.select("video", "seq", F.col("t").cast("double").alias("t"))
+    chosen = openings(timed, ["video"], ["t", "seq"], "t", Spacing(gap), "keep", rows).where("keep = 1").select("video", "t")
     last_slot = F.ceil(F.col("duration") / interval) - 1
     grid = videos.where("duration > 0").select("video", F.explode(F.sequence(F.lit(0).cast("long"), last_slot)).alias("slot"))
     near = chosen.select(
@@ -123,25 +117,47 @@ def hash_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).otherwise(1.0 - differing / 64.0)
 
 
-def frame_dedupe(frames: DataFrame, high: float = 0.9, low: float = 0.7, decide=None, recent: int = 5) -> DataFrame:
+def frame_dedupe(frames: DataFrame, high: float = 0.9, low: float = 0.7, decide=None, recent: int = 5, rows: int = SCAN_ROWS) -> DataFrame:
     """Add `duplicate`: a frame much like one of the last kept content frames of its video.
 
     `frames` has video, seq, hash, has_content. Between `low` and `high` the caller's `decide`
     (two hashes → bool) is asked; without one the frame is kept.
-    """
 
-    def step(kept, hashed, content):
-        duplicate = False
-        for other in kept if hashed else ():
-            similarity = 1.0 - (int(hashed, 16) ^ int(other, 16)).bit_count() / 64.0 if other else 0.0
-            if similarity >= high or (similarity >= low and decide is not None and decide(hashed, other)):
-                duplicate = True
-                break
-        if content and not duplicate:
-            kept = (*kept, hashed or "")[-recent:]
-        return kept, duplicate
-
-    return ordered_fold(frames, ["video"], ["seq"], ["hash", "has_content"], step, (), "duplicate", "boolean")
+    What a stretch of frames does to the last kept ones has no small table, so the frames of a video
+    are walked in order; they stream by, and only `recent` hashes are held. A frame that repeats the
+    content frame before it is a duplicate whatever was kept, and changes nothing: such frames, nearly
+    all of a still picture, are told in parallel and never walked.
+    """
+    base = neighbour_value(frames, ["video"], ["seq"], F.struct("hash", "has_content"), "_before", block_rows=rows)
+    repeats = F.coalesce((F.col("hash") != "") & (F.col("hash") == F.col("_before.hash")) & F.col("_before.has_content"), F.lit(False)) & F.lit(high <= 1)
+    base = stored(base.withColumn("_repeats", repeats).drop("_before"), "frames")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, kept, begun = None, (), False
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("video", "hash", "has_content")]
+            labels = []
+            for own, hashed, content in zip(*columns):
+                if not begun or own != video:
+                    video, kept, begun = own, (), True
+                number = int(hashed, 16) if hashed else None
+                duplicate = False
+                for other, text in kept if hashed else ():
+                    similarity = 1.0 - (number ^ other).bit_count() / 64.0 if text else 0.0
+                    if similarity >= high or (similarity >= low and decide is not None and decide(hashed, text)):
+                        duplicate = True
+                        break
+                if content and not duplicate:
+                    kept = (*kept, (number, hashed or ""))[-recent:]
+                labels.append(duplicate)
+            yield pa.record_batch([batch.column("video"), batch.column("seq"), pa.array(labels, pa.bool_())], names=["video", "seq", "duplicate"])
+
+    walked = base.where("not _repeats").select("video", "seq", "hash", "has_content").repartition("video").sortWithinPartitions("video", "seq")
+    types = {f.name: f.dataType.simpleString() for f in base.schema}
+    labels = walked.mapInArrow(walk, f"video {types['video']}, seq {types['seq']}, duplicate boolean")
+    told = labels.select(F.col("video").alias("_video"), F.col("seq").alias("_seq"), "duplicate")
+    joined = base.join(told, base["video"].eqNullSafe(told["_video"]) & base["seq"].eqNullSafe(told["_seq"]), "left")
+    return joined.select(*frames.columns, F.when(F.col("_repeats"), True).otherwise(F.col("duplicate")).alias("duplicate"))
 
 
 def merge_visuals(chapters: DataFrame, segments: DataFrame, visuals: DataFrame, width: float = 3600.0) -> tuple[DataFrame, DataFrame]:
