@@ -8,13 +8,28 @@ from quire import model
 from quire.model import SQL_DOCUMENTS, SQL_MENTIONS, SQL_QUERIES, sql_bm25, sql_chunks
 from quire.operators import retrieval as rt
 from quire.operators.fulltext import best_hits, bm25
+from quire.operators.textindex import TextIndex
 from quire.plans.registry import query
-from quire.session import stored
+from quire.session import scratch_folder, stored
 
 CHUNKS = sql_chunks(128, 16)
 D2 = "round(pow(list_distance({0}::double[], {1}::double[]), 2), 6)"
 
 
+INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def chunk_index(t) -> TextIndex:
+    """The text index of the chunks: written by the first query that asks for it, then read."""
+    name = (t.spark.sparkContext.applicationId, t.folder)
+    if name not in INDEXES:
+        index = TextIndex(t.spark, scratch_folder(t.spark, "text-index"), ["chunk_id", "kb_id", "document_id", "source"])
+        sources = t.documents.select(F.col("doc_id").alias("document_id"), "source")
+        index.add(model.document_chunks(t, 128, 16).join(sources, "document_id"))
+        INDEXES[name] = index
+    return INDEXES[name]
+
+
 # Every chunk asks for its neighbours inside its own KB.
 @query("vector_search", f"""
 with pairs as (
@@ -55,7 +70,7 @@ per_kb as (select *, row_number() over (partition by query_id, kb_id order by sc
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from per_kb where r <= 10)
 select query_id, chunk_id, h.kb_id, document_id, score, rank, title, author from ranked h left join docs using (document_id) where rank <= 10""")
 def keyword_search(t):
-    hits = rt.keyword_search(model.document_chunks(t, 128, 16), model.queries(t), 10, model.documents(t))
+    hits = rt.indexed_search(chunk_index(t), model.queries(t), 10, model.documents(t))
     return hits.select("query_id", "chunk_id", "kb_id", "document_id", "score", "rank", "title", "author")
 
 
@@ -64,7 +79,7 @@ with {CHUNKS}, {SQL_QUERIES}, {sql_bm25('hits', 'chunks', 'chunk_id, document_id
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from hits)
 select query_id, chunk_id, document_id, score, rank from ranked where rank <= 20""")
 def fulltext_api(t):
-    hits = rt.keyword_search(model.document_chunks(t, 128, 16), model.queries(t), 20)
+    hits = rt.indexed_search(chunk_index(t), model.queries(t), 20)
     return hits.select("query_id", "chunk_id", "document_id", "score", "rank")
 
 
@@ -263,17 +278,22 @@ def context_window(t):
     return rt.context_window(chunks, chunks, 2, ["document_id"])
 
 
+# A question is asked about the documents of one source; the source follows from the question's number.
+SCOPED = 20
+
+
 def rag_hits(t, k=5):
-    """Keyword answers with their texts, limited afterwards to documents of even id."""
-    chunks = chunk_table(t)
-    hits = rt.keyword_search(chunks, model.queries(t), k)
-    return hits.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.col("document_id") % 2 == 0)
+    """Keyword answers with their texts, among the documents of the asked source."""
+    asked = model.queries(t).withColumn("source", F.concat(F.lit("src"), (F.col("query_id") % SCOPED).cast("string")))
+    hits = rt.indexed_search(chunk_index(t), asked, k, scope="source")
+    return hits.join(chunk_table(t).select("chunk_id", "text"), "chunk_id")
 
 
 SQL_RAG = f"""{CHUNKS}, {SQL_QUERIES}, {sql_bm25('hits', 'chunks', 'chunk_id, document_id', 'text', 'queries')},
-ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from hits qualify rank <= 5),
-kept as (select query_id, chunk_id, r.document_id, score, text, row_number() over (partition by query_id order by rank) as ref
-  from ranked r join chunks using (chunk_id) where r.document_id % 2 = 0)"""
+ranked as (
+  select h.*, row_number() over (partition by query_id order by score desc, chunk_id) as ref
+  from hits h join documents d on d.doc_id = h.document_id and d.source = 'src' || (query_id % {SCOPED}) qualify ref <= 5),
+kept as (select query_id, chunk_id, r.document_id, score, text, ref from ranked r join chunks using (chunk_id))"""
 
 
 @query("rag_context", f"""
@@ -306,6 +326,6 @@ def chat_messages(t):
     last = turns.where("role = 'user'").groupBy("session_id").agg(F.max_by("text", "turn").alias("text"))
     asked = last.select(F.col("session_id").alias("query_id"), F.col("text").alias("query"))
     chunks = chunk_table(t)
-    hits = rt.keyword_search(chunks, asked, 3).join(chunks.select("chunk_id", "text"), "chunk_id")
+    hits = rt.indexed_search(chunk_index(t), asked, 3).join(chunks.select("chunk_id", "text"), "chunk_id")
     contexts = rt.rag_context(hits).select(F.col("query_id").alias("session_id"), F.lit("all").alias("kb_name"), "context")
     return rt.chat_messages(turns, contexts)
