@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quire import model
 from quire.model import SQL_MENTIONS, sql_chunks
-from quire.operators.common import upsert
 from quire.operators.files import classify_files, extension, list_downloads
 from quire.plans.hierarchy import _sql_cleaned
 from quire.plans.registry import query
@@ -162,7 +161,7 @@ def scan_document_text(t):
 
 EXPORT_SCHEMAS = {
     "documents": "kb_id string, id long, title string, author string",
-    "chunks": "kb_id string, id string, document_id long, text string, position int",
+    "chunks": "kb_id string, id string, document_id long, text string, position int, embedding array<float>",
     "entities": "kb_id string, id string, name string, type string",
     "relationships": "kb_id string, source_id long, relationship_type string, target_id long",
 }
@@ -172,19 +171,26 @@ def export_parts(t):
     mentions = model.document_mentions(t)
     docs = t.documents.select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("source").alias("author"))
     cites = docs.select("kb_id", F.col("id").alias("source_id")).join(docs.select("kb_id", (F.col("id") - 4).alias("source_id"), F.col("id").alias("target_id")), ["kb_id", "source_id"])
-    chunks = model.document_chunks(t, 128, 16).select("kb_id", F.col("chunk_id").alias("id"), "document_id", "text", "position", F.array(F.lit(0.5)).alias("embedding"))
+    # the first chunk of a document has the vector of its number, if there is one
+    vectors = t.embeddings.select(F.col("vec_id").alias("document_id"), F.lit(0).alias("position"), "embedding")
+    chunks = model.document_chunks(t, 128, 16).join(vectors, ["document_id", "position"], "left").select("kb_id", F.col("chunk_id").alias("id"), "document_id", "text", "position", "embedding")
     return {
         "documents": docs, "chunks": chunks, "entities": mentions.select("kb_id", F.col("entity_id").alias("id"), "name", "type").distinct(),
         "relationships": cites.withColumn("relationship_type", F.lit("CITES")).select("kb_id", "source_id", "relationship_type", "target_id"),
     }
 
 
-def exported(t, kb_id="en"):
+def exported(t, kb_id="en", embeddings=False):
     path = scratch_folder(t.spark, "export")
-    co.write_export(kb_id, export_parts(t), path)
+    co.write_export(kb_id, export_parts(t), path, embeddings)
     return path
 
 
+def letters_embedder():
+    """An embedder without a model: how many of some letters a text has."""
+    return lambda texts: [[float(text.count(letter)) for letter in "aeiou"] for text in texts]
+
+
 SQL_EXPORT = f"""{sql_chunks(128, 16)}, {SQL_MENTIONS},
 rels as (select a.lang as kb_id, a.doc_id as source_id, b.doc_id as target_id from documents a join documents b on b.doc_id = a.doc_id + 4 and a.lang = b.lang)"""
 
@@ -192,33 +198,42 @@ rels as (select a.lang as kb_id, a.doc_id as source_id, b.doc_id as target_id fr
 @query("sink_export", f"""
 with {SQL_EXPORT}
 select 'documents' as kind, count(*) as n from documents where lang = 'en' union all select 'chunks', count(*) from chunks where kb_id = 'en'
-union all select 'entities', count(distinct entity_id) from mentions where kb_id = 'en' union all select 'relationships', count(*) from rels where kb_id = 'en'""")
+union all select 'entities', count(distinct entity_id) from mentions where kb_id = 'en' union all select 'relationships', count(*) from rels where kb_id = 'en'
+union all select 'vector components', sum(len(embedding)) from chunks join embeddings on vec_id = document_id where kb_id = 'en' and position = 0""")
 def sink_export(t):
-    return co.export_summary(t.spark, exported(t), EXPORT_SCHEMAS)
+    path = exported(t, embeddings=True)
+    chunks = co.read_export(t.spark, path, "chunks", EXPORT_SCHEMAS["chunks"])
+    width = chunks.where("embedding is not null").agg(F.sum(F.size("embedding")).alias("n"))
+    return co.export_summary(t.spark, path, EXPORT_SCHEMAS).unionByName(width.select(F.lit("vector components").alias("kind"), "n"))
 
 
+# English is exported and imported into a KB that already has its entities with even names, under old ids; the vectors
+# are made anew.
 @query("src_import", f"""
-with {SQL_EXPORT}
+with {SQL_EXPORT},
+letters as (select *, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: length(text) - length(replace(text, c, ''))) as v from chunks where kb_id = 'en')
 select 'document' as kind, 'copy' as kb_id, sha256('copy' || chr(1) || doc_id)[:12] as id, text as value from documents where lang = 'en'
 union all select 'chunk', 'copy', sha256('copy' || chr(1) || document_id)[:12] || ':' || position, text from chunks where kb_id = 'en'
+union all select 'vector', 'copy', sha256('copy' || chr(1) || document_id)[:12] || ':' || position, array_to_string(v, ',') from letters
 union all select distinct 'entity', 'copy', sha256('copy' || chr(1) || entity_id)[:12], name from mentions where kb_id = 'en'
-union all select 'relationship', 'copy', sha256('copy' || chr(1) || source_id)[:12], sha256('copy' || chr(1) || target_id)[:12] from rels where kb_id = 'en'""")
+union all select 'entity', 'copy', 'old', 'kept' union all
+select 'relationship', 'copy', sha256('copy' || chr(1) || source_id)[:12], sha256('copy' || chr(1) || target_id)[:12] from rels where kb_id = 'en'""")
 def src_import(t):
     path = exported(t)
-    docs = co.rename_import(co.read_export(t.spark, path, "documents", EXPORT_SCHEMAS["documents"]), "copy", ["id"])
-    chunks = co.rename_import(co.read_export(t.spark, path, "chunks", EXPORT_SCHEMAS["chunks"]), "copy", ["document_id"])
-    ents = co.rename_import(co.read_export(t.spark, path, "entities", EXPORT_SCHEMAS["entities"]), "copy", ["id"])
-    rels = co.rename_import(co.read_export(t.spark, path, "relationships", EXPORT_SCHEMAS["relationships"]), "copy", ["source_id", "target_id"])
-    merged = upsert(ents.where("length(name) % 2 = 0"), ents, ["kb_id", "name", "type"])
+    entities = co.read_export(t.spark, path, "entities", EXPORT_SCHEMAS["entities"])
+    before = entities.where("length(name) % 2 = 0").select(F.lit("copy").alias("kb_id"), F.lit("old").alias("id"), "name", "type")
+    own = t.region.limit(1).select(F.lit("copy").alias("kb_id"), F.lit("old").alias("id"), F.lit("kept").alias("name"), F.lit("TERM").alias("type"))
+    tables = co.import_kb(t.spark, path, EXPORT_SCHEMAS, "copy", {"entities": before.unionByName(own)}, letters_embedder, "letters")
 
     def rows(df, kind, ident, value):
         return df.select(F.lit(kind).alias("kind"), "kb_id", ident.alias("id"), value.alias("value"))
 
+    place = F.concat_ws(":", "document_id", "position")
+    vector = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
     return (
-        rows(docs, "document", F.col("id"), F.col("title"))
-        .unionByName(rows(chunks, "chunk", F.concat_ws(":", "document_id", "position"), F.col("text")))
-        .unionByName(rows(merged, "entity", F.col("id"), F.col("name")))
-        .unionByName(rows(rels, "relationship", F.col("source_id"), F.col("target_id")))
+        rows(tables["documents"], "document", F.col("id"), F.col("title")).unionByName(rows(tables["chunks"], "chunk", place, F.col("text")))
+        .unionByName(rows(tables["chunks"], "vector", place, vector)).unionByName(rows(tables["entities"], "entity", F.col("id"), F.col("name")))
+        .unionByName(rows(tables["relationships"], "relationship", F.col("source_id"), F.col("target_id")))
     )
 
 
@@ -248,22 +263,30 @@ def utc_text(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
-# Final windows only: those the watermark (last event minus a day) has passed.
+# Final windows only: those the watermark (last event minus a day) has passed. Searches are counted by
+# query (event type), KB (the user's number) and search type.
 @query("stream_search_analytics", """
-with hits as (select ts, event_type as query, floor(value) as results from events),
-daily as (select date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as fin, query, count(*) as searches, avg(results) as avg_results from hits group by all),
+with hits as (
+  select ts, floor(value) as results, unnest([
+    {'dimension': 'query', 'value': event_type}, {'dimension': 'kb_id', 'value': (user_id % 7)::varchar},
+    {'dimension': 'type', 'value': case event_id % 3 when 0 then 'semantic' when 1 then 'keyword' else 'hybrid' end}]) as d from events),
+daily as (
+  select date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as fin, d.dimension, d.value, count(*) as searches, avg(results) as avg_results from hits group by all),
 weekly as (
-  select start, start + interval 7 day as fin, query, count(*) as searches, avg(results) as avg_results
+  select start, start + interval 7 day as fin, d.dimension, d.value, count(*) as searches, avg(results) as avg_results
   from (select *, unnest(list_transform(range(7), lambda i: date_trunc('day', ts) - to_days(i::int))) as start from hits) group by all),
 both_windows as (select 'day' as size, * from daily union all select 'week', * from weekly)
-select size, strftime(start, '%Y-%m-%d %H:%M:%S') as start, query, searches, round(avg_results, 6) as avg_results from both_windows
+select size, strftime(start, '%Y-%m-%d %H:%M:%S') as start, dimension, value, searches, round(avg_results, 6) as avg_results from both_windows
 where fin <= (select max(ts) from events) - interval 1 day""")
 def stream_search_analytics(t):
     def windows(size, slide):
         events = jobs.read_table(t.spark, t.folder, "events")
-        hits = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("query"), F.floor("value").alias("results_count"))
-        table = jobs.run_to_table(jobs.search_windows(hits, "1 day", size, slide), "search_windows")
-        return table.select(utc_text("start").alias("start"), "query", "searches", F.round("avg_results", 6).alias("avg_results"))
+        kind = F.element_at(F.array(F.lit("semantic"), F.lit("keyword"), F.lit("hybrid")), (F.col("event_id") % 3 + 1).cast("int"))
+        hits = events.select(
+            "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("query"), (F.col("user_id") % 7).alias("kb_id"), kind.alias("type"), F.floor("value").alias("results_count")
+        )
+        table = jobs.run_to_table(jobs.search_windows(hits, "1 day", size, slide, ("query", "kb_id", "type")), "search_windows")
+        return table.select(utc_text("start").alias("start"), "dimension", "value", "searches", F.round("avg_results", 6).alias("avg_results"))
 
     return windows("1 day", None).withColumn("size", F.lit("day")).unionByName(windows("7 days", "1 day").withColumn("size", F.lit("week")))
 
@@ -276,8 +299,8 @@ select doc_id, i::int as position, case when len(w) <= 128 then text else array_
   least(128, len(w) - i * 112)::int as token_count from cut""")
 def stream_ingest_chunks(t):
     path = scratch_folder(t.spark, "ingest")
-    jobs.ingest_chunks(jobs.read_table(t.spark, t.folder, "documents").select("doc_id", "text"), path, 128, 16)
-    return t.spark.read.parquet(f"{path}/chunks").select("doc_id", "position", "text", "token_count")
+    jobs.ingest_chunks(jobs.read_table(t.spark, t.folder, "documents").select(F.col("lang").alias("kb_id"), "doc_id", "text"), path, 128, 16)
+    return jobs.ingested(t.spark, path).select("doc_id", "position", "text", "token_count")
 
 
 @query("stream_action_state", """
@@ -294,7 +317,9 @@ walk as (
 select action_id, event_id as seq, outcome from walk""")
 def stream_action_state(t):
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "view", "approve").when(F.col("event_type") == "click", "reject").otherwise("execute")
-    asked = jobs.read_table(t.spark, t.folder, "events").select(F.col("user_id").alias("action_id"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("value") < 60).alias("ok"))
+    asked = jobs.read_table(t.spark, t.folder, "events").select(
+        F.col("user_id").alias("action_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("value") < 60).alias("ok")
+    )
     store = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(store, None)
     t.spark.conf.set(store, jobs.ROCKSDB)

@@ -76,6 +76,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 

@@ -129,9 +129,37 @@ def rename_import(rows: DataFrame, new_kb: str, columns: list[str]) -> DataFrame
 
 
 def merge_import(existing: DataFrame, imported: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `existing` with those of an import put in their place or added."""
     return upsert(existing, imported, keys)
 
 
+# what tells the rows of each kind of an export apart inside a KB
+IMPORT_KEYS = {"documents": ["kb_id", "id"], "chunks": ["kb_id", "document_id", "position"], "entities": ["kb_id", "name", "type"], "relationships": ["kb_id", "source_id", "relationship_type", "target_id"]}
+# columns of each kind that hold ids which an import gives anew
+IMPORT_IDS = {"documents": ["id"], "chunks": ["document_id"], "entities": ["id"], "relationships": ["source_id", "target_id"]}
+
+
+def import_kb(
+    spark: SparkSession, path: str, schemas: dict[str, str], new_kb: str, existing: dict[str, DataFrame] | None = None, make_embedder=None, embedder_name: str = "import",
+) -> dict[str, DataFrame]:
+    """The tables of an export as KB `new_kb`, with new ids.
+
+    `existing` has tables of a KB to import into: rows with the same key give way, others stay. With
+    `make_embedder` the chunks' vectors are made anew (`operators/embedding.py`), whether the export has
+    any or not; without one they are as exported.
+    """
+    from quire.operators.embedding import embedded
+
+    tables = {}
+    for kind, schema in schemas.items():
+        rows = rename_import(read_export(spark, path, kind, schema), new_kb, IMPORT_IDS[kind])
+        if kind == "chunks" and make_embedder:
+            rows = embedded(rows, make_embedder, embedder_name)
+        before = (existing or {}).get(kind)
+        tables[kind] = rows if before is None else merge_import(before, rows, IMPORT_KEYS[kind])
+    return tables
+
+
 def keep_newest(events: DataFrame, kinds: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """Retention of an event log: the newest k rows of each kind, or all."""
     if k is None:
