@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,10 +155,30 @@ def drop_repeated_lines(text: Column) -> Column:
     return F.array_join(F.transform(back, lambda e: e["line"]), "\n")
 
 
+# What a text must hold for the watermark pattern of the same place to match, in lower case.
+WATERMARK_HINTS = ["personal", "reproduce", "@", "@", "\u00a9", "confidential", "proprietary", "draft", "sample"]
+# letters beyond ASCII that count as s, k or i without regard to case
+CASE_VARIANTS = "\u017f\u212a\u0130\u0131"
+# The same for the speech patterns; none where a search would cost as much as the pattern.
+SPEECH_HINTS = [["http"], ["@"], ["("], ["("], ["(", "["], [], ["(p"], ["\u00a9", "\u00ae", "\u2122"], ["["], [], [".."], [",,"], ["---"], [], ["  "]]
+# \w of a text that holds only ASCII and the letters from C0 to FF
+LATIN_WORD = r"[\w\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+
+
+def _holds(text: Column, parts) -> Column:
+    found = [text.contains(part) for part in parts]
+    return reduce(Column.__or__, found[1:], found[0])
+
+
+def _replaced(text: Column, pattern: str, put: str, needed) -> Column:
+    """The pattern replaced where the text passes a quick test; `text` is computed once."""
+    return let(text, lambda t: F.when(needed(t), F.regexp_replace(t, pattern, put)).otherwise(t))
+
+
 def remove_watermarks(text: Column) -> Column:
-    for pattern in WATERMARK_PATTERNS:
-        text = F.regexp_replace(text, f"(?iU){pattern}", "")
-    return drop_repeated_lines(text)
+    for pattern, hint in zip(WATERMARK_PATTERNS, WATERMARK_HINTS):
+        text = _replaced(text, f"(?iU){pattern}", "", lambda t, h=hint: F.lower(t).contains(h) | _holds(t, CASE_VARIANTS))
+    return let(text, lambda t: F.when(F.size(F.split(t, "\n")) > 3, drop_repeated_lines(t)).otherwise(t))
 
 
 def clean_text(text: Column) -> Column:
@@ -164,10 +186,11 @@ def clean_text(text: Column) -> Column:
     text = remove_watermarks(text)
     text = F.regexp_replace(text, r"(?mdU)^\d+\s*$", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
+    text = _replaced(text, r"(?U)(\w)-\n(\w)", "$1$2", lambda t: t.contains("-\n"))
     lines = F.filter(F.split(text, "\n"), lambda line: ~strip(line).rlike(r"^\d{1,3}$"))
-    text = F.regexp_replace(F.array_join(lines, "\n"), r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, r" +\n", "\n"))
+    # a lone blank stays as it is
+    text = F.regexp_replace(F.array_join(lines, "\n"), r"[ \t]{2,}|\t", " ")
+    return strip(_replaced(text, r" +\n", "\n", lambda t: t.contains(" \n")))
 
 
 def normalize_text(text: Column) -> Column:
@@ -180,11 +203,19 @@ def normalize_text(text: Column) -> Column:
             text = F.replace(text, F.lit(char), F.lit(spelled))
     text = F.regexp_replace(text, r"[^\x00-\x7f\xc0-\xff]", " ")
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    text = F.regexp_replace(text, r"(?U)\s+", " ")
+    # only these are left as white space, and the text is Latin from here on
+    text = F.regexp_replace(text, r"[\t\n\r ]{2,}|[\t\n\r]", " ")
     for short, spelled in ABBREVIATIONS.items():
         text = F.replace(text, F.lit(short), F.lit(spelled))
-    for pattern, put in SPEECH_PATTERNS:
-        text = F.regexp_replace(text, f"(?U){pattern}", put)
+    for pattern, put, hints in zip(*zip(*SPEECH_PATTERNS), SPEECH_HINTS):
+        pattern = pattern.replace(r"\w", LATIN_WORD)
+        if hints:
+            text = _replaced(text, pattern, put, lambda t, h=hints: _holds(t, h))
+        elif "^" in pattern and "m" in pattern[:6]:
+            # there is one line, so the start of a line is the start of the text
+            text = _replaced(text, pattern, put, lambda t: F.lower(F.substring(t, 1, 3)).isin("fig", "tab"))
+        else:
+            text = F.regexp_replace(text, pattern, put)
     return strip(text)
 
 

@@ -165,6 +165,10 @@ def breadcrumb_path(t):
     return links.join(paths, "section_id").select("chunk_id", F.array_join("path", " > ").alias("path"))
 
 
+# Fixed value: names shown with a hit.
+SHOWN_CONCEPTS = 20
+
+
 # Hits of the benchmark terms on page chunks; a section's names are the gazetteer words of its chunks.
 @query("enrich_results", rf"""
 with {SQL_PAGE_SECTIONS}, {SQL_LINKS}, {SQL_MENTIONS.split(',' + chr(10) + 'doc_words')[0]},
@@ -183,7 +187,7 @@ def enrich_results(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = best_hits(bm25(chunks, ["chunk_id"], "text", asked), ["query_id"], ["chunk_id"], 5)
     named = gazetteer_hits(chunks.join(links, "chunk_id"), ["section_id"], model.gazetteer(t)).select("section_id", "name")
-    concepts = chunk_related_concepts(named, links)
+    concepts = chunk_related_concepts(named, links, k=SHOWN_CONCEPTS)
     rows = hi.enrich_results(hits, links, hi.breadcrumbs(sections, 3), concepts)
     return rows.select("query_id", "rank", "chunk_id", F.array_join("path", " > ").alias("path"), F.array_join("related", "|").alias("related"))
 

@@ -1,11 +1,12 @@
-"""The ways taken beyond a size: blocks of hot keys, split folds, document groups, vector blocks."""
+"""The ways taken beyond a size: blocks of hot keys, scans, document groups, vector blocks."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import folds, graph, media, retrieval
+from quire.operators import graph, media, neighbours, retrieval, scans, similarity, textindex
 from quire.operators.common import as_of, neighbour_value, running_sum
 
 
@@ -60,31 +61,77 @@ def test_as_of_in_blocks(spark):
     assert got == want
 
 
-def test_fold_across_partitions(hot):
-    rows, df = hot
-
-    def step(state, v):
-        state = 0 if state + v > 3000 else state + v
-        return state, state
-
-    got = folds.ordered_fold(df, ["key"], ["id"], ["v"], step, 0, "label", "long", partitions=9)
-    want, states = [], {}
-    for key, v, i in sorted(rows, key=lambda r: r[2]):
-        states[key], label = step(states.get(key, 0), v)
-        want.append((key, i, label))
-    assert rows_of(got, "key", "id", "label") == sorted(want)
-
-
-def test_chapters_across_partitions(spark, monkeypatch):
+def plain_openings(rule, values):
+    """The rules as loops over all rows of a key."""
+    opens, since, held, last = [], 0, 0, None
+    for value in values:
+        if isinstance(rule, scans.MinimumRun):
+            opens.append(since >= rule.least and value == 1)
+            since = 1 if opens[-1] else since + 1
+        elif isinstance(rule, scans.Budget):
+            opens.append(since > 0 and (since >= rule.most_rows or held + value > rule.most))
+            since, held = (1, value) if opens[-1] else (since + 1, held + value)
+        else:
+            opens.append(last is None or value - last >= rule.gap)
+            last = value if opens[-1] else last
+    return [int(x) for x in opens]
+
+
+RULES = {
+    "run": (scans.MinimumRun(10), lambda rnd: int(rnd.random() < 0.2)),
+    "sparse": (scans.MinimumRun(3), lambda rnd: int(rnd.random() < 0.004)),
+    "batch": (scans.Budget(7, 900), lambda rnd: rnd.choice((1, 40, 200, 700, 1200))),
+    "small": (scans.Budget(100, 10**9), lambda rnd: 5),
+    "gap": (scans.Spacing(10.0), lambda rnd: rnd.choice((0.0, 0.1, 1.7, 3.3, 30.0))),
+    "wide": (scans.Spacing(700.0), lambda rnd: 0.1),
+}
+
+
+@pytest.mark.parametrize("name", RULES)
+@pytest.mark.parametrize("rows", [20, 10_000])
+def test_openings_in_blocks(spark, name, rows):
+    """One key in some 64 blocks and more, a null key, a few small ones, against a plain loop."""
+    rule, draw = RULES[name]
+    rnd, data = random.Random(name), []
+    for key, n in (("hot", 700), (None, 90), ("a", 1), ("b", 45)):
+        total = 0.0
+        for i in range(n):
+            value = draw(rnd)
+            total = total + value if isinstance(rule, scans.Spacing) else value
+            data.append((key, i, total, 9007199254740993 + i))
+    kind = "double" if isinstance(rule, scans.Spacing) else "long"
+    rows_in = [(k, i, float(v) if kind == "double" else int(v), big) for k, i, v, big in data]
+    df = spark.createDataFrame(random.Random(2).sample(rows_in, len(rows_in)), f"key string, i int, v {kind}, big long")
+    got = sorted(map(tuple, scans.openings(df, ["key"], ["i"], "v", rule, "opens", rows).collect()), key=repr)
+    want = []
+    for key in ("hot", None, "a", "b"):
+        own = [r for r in rows_in if r[0] == key]
+        want += [(*r, o) for r, o in zip(own, plain_openings(rule, [r[2] for r in own]))]
+    assert got == sorted(want, key=repr)
+    assert scans.openings(df.limit(0), ["key"], ["i"], "v", rule, "opens", rows).count() == 0
+
+
+def test_openings_need_no_more_jobs_for_more_blocks(spark):
+    """The jobs are the same whether a key has few blocks or many."""
+    df = spark.range(3000).select(F.lit("k").alias("key"), "id", (F.col("id") % 7).alias("v"))
+    jobs = []
+    for rows in (600, 30):
+        spark.sparkContext.setJobGroup(f"scan{rows}", "scan")
+        scans.openings(df, ["key"], ["id"], "v", scans.Budget(5, 20), "opens", rows).count()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"scan{rows}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 2
+
+
+def test_chapters_across_blocks(spark):
     rnd = random.Random(3)
     rows, at = [], 0.0
     for i in range(400):
         at += rnd.choice([0.5, 1.0, 9.0])
         rows.append((1, i, at, at + 0.4, "Chapter two" if rnd.random() < 0.05 else "text"))
     df = spark.createDataFrame(rows, "recording long, seq long, start double, end double, text string")
-    plain = rows_of(media.detect_chapters(df.coalesce(1), 3.0, 10), "chapter", "title", "start", "end")
-    monkeypatch.setattr(media, "ordered_fold", lambda *a: folds.ordered_fold(*a, partitions=7))
-    assert rows_of(media.detect_chapters(df, 3.0, 10), "chapter", "title", "start", "end") == plain
+    plain = rows_of(media.detect_chapters(df, 3.0, 10), "chapter", "title", "start", "end")
+    assert rows_of(media.detect_chapters(df, 3.0, 10, rows=13), "chapter", "title", "start", "end") == plain
     # the rule by hand
     want, count, last = [], 0, None
     for _, _, start, end, text in rows:
@@ -96,6 +143,28 @@ def test_chapters_across_partitions(spark, monkeypatch):
     assert plain == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("rows", [9, 10_000])
+def test_frames_against_a_loop(spark, rows):
+    rnd, data = random.Random(8), []
+    looks = [f"{rnd.getrandbits(64):016x}" for _ in range(9)]
+    for video in (1, None, 2):
+        for i in range(150):
+            look = rnd.choice([*looks, None, ""]) if rnd.random() < 0.4 or not i else data[-1][2]
+            if look and rnd.random() < 0.2:
+                look = f"{int(look, 16) ^ (1 << rnd.randrange(64)):016x}"
+            data.append((video, i, look, rnd.random() < 0.8))
+    df = spark.createDataFrame(random.Random(1).sample(data, len(data)), "video long, seq long, hash string, has_content boolean")
+    got = {(r["video"], r["seq"]): r["duplicate"] for r in media.frame_dedupe(df, decide=lambda a, b: a < b, rows=rows).collect()}
+    want, kept = {}, {}
+    for video, i, look, content in data:
+        last = kept.setdefault(video, [])
+        alike = [(1 - (int(look, 16) ^ int(k, 16)).bit_count() / 64 if k else 0.0, k) for k in last[-5:]] if look else []
+        want[(video, i)] = any(s >= 0.9 or s >= 0.7 and look < k for s, k in alike)
+        if content and not want[(video, i)]:
+            last.append(look or "")
+    assert got == want
+
+
 def mentions(spark, seed, docs=60, entities=25):
     rnd = random.Random(seed)
     rows = {("kb", d, e) for d in range(docs) for e in rnd.sample(range(entities), 3)}
@@ -154,6 +223,74 @@ def test_vector_blocks(spark):
         assert got == [(round(d, 4), c) for d, c in near]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("pivots", [1, 4, 30])
+def test_pruned_search_is_exact(spark, metric, pivots):
+    """Clustered and scattered vectors, copies, a KB with fewer chunks than asked for."""
+    rng = np.random.default_rng(pivots)
+    centres = rng.normal(size=(6, 5)) * 8
+    points = np.round(np.concatenate([c + rng.normal(size=(30, 5)) for c in centres] + [rng.normal(size=(20, 5)) * 9, np.repeat(centres[:1], 12, axis=0)]), 3)
+    rows = [(i, 7 if i % 40 == 0 else i % 2, [float(x) for x in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "id long, kb_id int, vector array<double>")
+    queries, chunks = df.select(F.col("id").alias("query_id"), "kb_id", "vector"), df.select(F.col("id").cast("string").alias("chunk_id"), "kb_id", "vector")
+    got = vector_hits(queries, chunks, 9, ["kb_id"], metric=metric, pivots=pivots, block_bytes=800)
+    want = []
+    for q, kb, _ in rows:
+        own = [(i, str(i)) for i, other, _ in rows if other == kb]
+        near = neighbours.distances(points[[q]], points[[i for i, _ in own]], metric)[0]
+        best = sorted(zip(near, [name for _, name in own]))[:9]
+        want += [(q, rank, name, d) for rank, (d, name) in enumerate(best, 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-6)
+
+
+def test_search_skips_far_clusters(spark, monkeypatch):
+    """Of all pairs of a query and a cluster, only some are looked at where vectors form clusters."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([c + rng.normal(size=(60, 8)) for c in rng.normal(size=(10, 8)) * 10])
+    around = neighbours.Pivots(points[::20], "l2")
+    away = around.away(points)
+    home = away.argmin(axis=1)
+    cells = [{"cell": int(c), "n": int((home == c).sum()), "radius": float(away[home == c, c].max()), "blocks": 1} for c in np.unique(home)]
+    visited = 0
+    for i, p in enumerate(points):
+        near = around.near(away[i], cells, 5)
+        inside = np.isin(home, [c["cell"] for c in near])
+        bound = np.sort(((points[inside] - p) ** 2).sum(axis=1))[4]
+        more = around.closer(away[i], cells, 5, bound)
+        visited += len(near) + len(more)
+        best = np.argsort(((points - p) ** 2).sum(axis=1))[:5]
+        assert set(home[best]) <= {c["cell"] for c in [*near, *more]}
+    assert visited < 0.4 * len(points) * len(cells)
+
+
+@pytest.mark.parametrize("pivots", [1, 3, 25])
+def test_similar_documents_are_all_found(spark, pivots):
+    """A document with thirty near chunks of its own, one with many partners, copies, another KB."""
+    rng = np.random.default_rng(pivots)
+    rows = []
+    for doc in range(40):
+        for i in range(30 if doc == 3 else 4):
+            base = np.eye(6)[doc % 6] * 2 if doc else np.eye(6)[3] * 2
+            rows.append((f"c{doc}:{i}", doc % 2, doc, i, [float(x) for x in np.round(base + rng.normal(size=6) * 0.35, 3)]))
+    rows += [("z1", 1, 90, 0, rows[0][4]), ("z2", 1, 91, 0, None), ("z3", 1, 92, 0, [])]
+    df = spark.createDataFrame(rows, "chunk_id string, kb_id int, document_id long, position int, vector array<double>")
+    got = rows_of(similarity.similar_documents(df, None, 0.5, block_bytes=500, pivots=pivots), "kb_id", "document_id", "target_kb", "target_id", "similarity_score", "matching_chunks")
+    scores = {}
+    for _, kb, doc, _, v in rows:
+        for _, other_kb, target, _, w in rows:
+            if v and w and kb == other_kb and doc != target:
+                s = 1 / (1 + round(sum((a - b) ** 2 for a, b in zip(v, w)), 6))
+                if s >= 0.5:
+                    scores.setdefault((kb, doc, kb, target), []).append(s)
+    want = {key: (sum(sorted(s)[-3:]) / min(3, len(s)), len(s)) for key, s in scores.items()}
+    assert {g[:4]: g[5] for g in got} == {key: n for key, (_, n) in want.items()} and max(n for _, n in want.values()) > 20
+    assert all(abs(g[4] - want[g[:4]][0]) < 2e-6 for g in got)
+    both = spark.createDataFrame([(0, 1)], "kb_id int, target_kb int")
+    across = similarity.similar_documents(df, 5, 0.5, both, pivots=pivots)
+    assert {(r["kb_id"], r["target_kb"]) for r in across.collect()} <= {(0, 1)} and similarity.similar_documents(df.limit(0)).count() == 0
+
+
 def test_vector_filters(spark):
     """A query without chunks has no hits; null equals nothing; integers stay integers beside nulls."""
     queries = spark.createDataFrame([("a", 3, [1.0]), ("b", None, [1.0]), ("c", 9, [1.0]), ("d", 3, [])], "query_id string, kb_id int, vector array<double>")
@@ -171,16 +308,55 @@ def test_wide_vectors(spark):
     assert [h[2] for h in got] == [h[0] for h in got] and len(got) == 40
 
 
-def test_folds_keep_values(spark):
-    """Big and null integers beside the folded columns come back as they were; null is a key."""
-    from quire.operators.folds import ordered_fold
-
-    big = 9007199254740993
-    rows = [(1, 1, big, None), (1, 2, None, 5), (None, 1, big, 1), (None, 2, None, big)]
-    df = spark.createDataFrame(rows, "k long, i int, big long, other long")
-    got = ordered_fold(df, ["k"], ["i"], ["i"], lambda n, _: (n + 1, n), 0, "n", "int").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1, big, None, 0), (1, 2, None, 5, 1), (None, 1, big, 1, 0), (None, 2, None, big, 1)], key=repr)
-
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Chunks of a Zipf vocabulary with copies and blanks, and queries of frequent, rare and unknown words."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def text(n):
+        return " ".join(vocabulary[min(399, int(rnd.paretovariate(0.7)) - 1)] for _ in range(n))
+
+    rows = [(f"c{i:03d}", i % 3, i // 4, text(rnd.randint(1, 60))) for i in range(300)]
+    rows += [(f"d{i}", 1, 80, rows[7][3]) for i in range(12)] + [("e1", 0, 81, None), ("e2", 0, 81, " .,; "), ("e3", 2, 82, "Ünïcode w0 w0 w0")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, kb_id int, document_id int, text string")
+    asked = [(i, text(rnd.randint(1, 25)), i % 3) for i in range(25)] + [(90, "unknown words", 0), (91, "", 0), (92, None, 1), (93, "w0", 1), (94, "ünïcode", 2), (95, "w399 w398 w0 w1", 0)]
+    return chunks, spark.createDataFrame(asked, "query_id long, query string, kb_id int")
+
+
+@pytest.mark.parametrize("ranges", [20, 100_000])
+@pytest.mark.parametrize("k", [1, 10, 1000])
+def test_index_equals_plain_relevance(spark, tmp_path, worded, ranges, k):
+    chunks, queries = worded
+    index = textindex.TextIndex(spark, f"file://{tmp_path}/index", ["chunk_id", "kb_id", "document_id"])
+    # grown by a second segment; one that was never finished does not count
+    index.add(chunks.where("document_id < 50"), range_rows=ranges)
+    index.add(chunks.where("document_id >= 50"), range_rows=ranges)
+    chunks.limit(5).write.parquet(f"file://{tmp_path}/index/forward/segment=torn")
+    for scope in (None, "kb_id"):
+        got = index.top(queries, k, scope=scope)
+        want = retrieval.keyword_search(chunks, queries, k, scope=scope)
+        columns = ("query_id", "rank", "chunk_id", "score", "document_id")
+        assert rows_of(got, *columns) == rows_of(want, *columns)
+    assert index.top(queries.limit(0), k).count() == 0
+
+
+def test_index_reads_few_candidates(spark, tmp_path, worded, monkeypatch):
+    """Frequent words alone make no candidate."""
+    chunks, queries = worded
+    index = textindex.TextIndex(spark, f"file://{tmp_path}/index", ["chunk_id", "kb_id", "document_id"])
+    index.add(chunks)
+    held = {}
+    plain = textindex.stored
+
+    def watched(df, name):
+        held[name] = plain(df, name)
+        return held[name]
+
+    monkeypatch.setattr(textindex, "stored", watched)
+    index.top(queries, 2).count()
+    all_hits = retrieval.keyword_search(chunks, queries, 10_000).count()
+    assert held["candidates"].count() < 0.5 * all_hits
 
 
 def test_closure_with_a_cycle(spark):
@@ -190,6 +366,63 @@ def test_closure_with_a_cycle(spark):
     assert rows_of(graph.closure(starts, edges), "request", "node") == sorted(want)
 
 
+def test_closure_of_a_long_chain(spark, monkeypatch):
+    """A thousand nodes in a row take about ten rounds, not a thousand."""
+    rounds, plain = [], graph.cut_lineage
+
+    def watched(df):
+        rounds.append(1)
+        return plain(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", watched)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(999)] + [(5000, 3), (999, 998)], "src long, dst long")
+    starts = spark.createDataFrame([("a", 0), ("b", 990), ("c", 5000), ("d", 77777)], "request string, node long")
+    want = [("a", i) for i in range(1000)] + [("b", i) for i in range(990, 1000)] + [("c", i) for i in range(3, 1000)] + [("c", 5000), ("d", 77777)]
+    assert rows_of(graph.closure(starts, edges), "request", "node") == sorted(want)
+    assert len(rounds) <= 3 * 15
+
+
+def test_closure_against_a_walk(spark):
+    rnd = random.Random(6)
+    links = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)}
+    starts = [(r, rnd.randrange(60)) for r in range(12)]
+    want = set()
+    for r, node in starts:
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            if (r, node) not in want:
+                want.add((r, node))
+                todo += [d for s, d in links if s == node]
+    got = graph.closure(spark.createDataFrame(starts, "request int, node int"), spark.createDataFrame(sorted(links), "src int, dst int"), plain_steps=1)
+    assert rows_of(got, "request", "node") == sorted(want)
+
+
+def test_paths_meet_in_the_middle(spark):
+    """Against a breadth-first search that keeps every shortest path."""
+    rnd = random.Random(9)
+    links = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    asked = [(r, rnd.randrange(42), rnd.randrange(42)) for r in range(40) for _ in range(1 + r % 2)]
+    for limit in (10, 3):
+        want = []
+        for r in {a[0] for a in asked}:
+            starts, ends = ({a[i] for a in asked if a[0] == r} for i in (1, 2))
+            paths, seen = [[s] for s in starts], set(starts)
+            for _ in range(limit + 1):
+                hits = [p for p in paths if p[-1] in ends]
+                if hits:
+                    want += [(r, i, n) for i, n in enumerate(min(hits))]
+                    break
+                paths = [[*p, n] for p in paths for n in near.get(p[-1], ()) if n not in seen]
+                seen |= {p[-1] for p in paths}
+        got = graph.shortest_paths(spark.createDataFrame(asked, "request int, start int, end int"), spark.createDataFrame(sorted(links), "src int, dst int"), limit)
+        assert rows_of(got, "request", "hop", "node") == sorted(want)
+
+
 def test_shortest_path_ties_and_limit(spark):
     edges = spark.createDataFrame([("a", "x"), ("a", "b"), ("b", "z"), ("x", "z"), ("z", "t")], "src string, dst string")
     asked = spark.createDataFrame([(1, "a", "z"), (2, "a", "a"), (3, "a", "q")], "request int, start string, end string")
