@@ -5,10 +5,11 @@ of a term in a range of chunks can add to a score at most (`impacts`), and its s
 last: a segment without one does not count. Postings are sorted by term and range of chunks, so frequent
 terms lie in many files and pruning by term works.
 
-Search reads the index and no text. The rarest terms of a query give partial scores, whose k-th is a
-lower bound. In each range the terms that together stay below the bound cannot carry a chunk into the
+Search reads the index and no text. The rarest terms of a query rank some chunks, whose full scores give a
+lower bound of the k-th. In each range the terms that together stay below the bound cannot carry a chunk into the
 result: only chunks with another term are candidates, and of these only ones that could still
-pass are scored in full. Frequent terms are thus hardly read, and the result is the same.
+pass are scored in full. Frequent terms are thus hardly read, and the result is the same. Queries of many
+words that are all alike in frequency leave many candidates; then all postings of their terms are summed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from quire.session import stored
 # chunks of a range, about
 RANGE_ROWS = 1 << 15
 # partial scores come from the rarest terms of a query that occur in this many times k chunks together
-SEED_FACTOR = 8
+SEED_FACTOR = 64
+# chunks that these scores rank first and that are scored in full for the bound, for each of k
+SEED_ROWS = 8
 # what rounding to six decimals may hide
 SLACK = 2e-6
 
@@ -48,7 +51,7 @@ class TextIndex:
         gathered = counted.groupBy(*self.key, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
         gathered.write.parquet(f"{self.path}/forward/{segment}")
         forward = self.spark.read.parquet(f"{self.path}/forward/{segment}")
-        size = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+        size = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings"))
         ranges = max(1, -(-size.first()["n"] // range_rows))
         in_range = F.pmod(F.xxhash64(self.key[0]), F.lit(ranges)).cast("int").alias("range")
         rows = forward.select(*self.key, "dl", in_range, F.inline("terms"))
@@ -85,12 +88,19 @@ class TextIndex:
         def part(tf: Column, dl: Column) -> Column:
             return F.col("weight") * (tf / (tf + K1 * (1 - B + B * dl / size["avgdl"])))
 
-        # a lower bound of the k-th score: the rarest terms alone
+        def in_full(candidates: DataFrame) -> DataFrame:
+            """Scores of pairs of query and chunk, from the chunks' own terms."""
+            rows = self._read("forward").join(candidates, self.key[0]).select("query_id", *self.key, "dl", F.inline("terms"))
+            own = rows.join(weighted.select("query_id", "term", "weight"), ["query_id", "term"])
+            return own.groupBy("query_id", *self.key).agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("score"))
+
+        # a lower bound of the k-th score: the chunks that the rarest terms rank first, scored in full
         rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
         seeds = weighted.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < SEED_FACTOR * k)
         partial = postings.join(seeds.drop("before", "df"), ["term", scope] if scope else "term")
         partial = partial.groupBy("query_id", *self.key).agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("score"))
-        best = top_k(partial, ["query_id"], [F.desc("score")], k)
+        first = top_k(partial, ["query_id"], [F.desc("score")], SEED_ROWS * k).select("query_id", self.key[0])
+        best = top_k(in_full(stored(first, "first")), ["query_id"], [F.desc("score")], k)
         least = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("least"))
         # in each range, terms from the weakest on that stay below the bound together
         bounds = weighted.join(impacts.drop("df"), "term").select(*per, "term", "weight", "range", "segment", part(F.col("tf"), F.col("dl")).alias("most"))
@@ -103,7 +113,13 @@ class TextIndex:
         held = postings.join(carrying, on).groupBy("query_id", *self.key, "range", "segment").agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("score"))
         passing = held.join(rest, ["query_id", "range", "segment"]).where(F.col("score") + F.col("rest") >= F.coalesce("least", F.lit(0.0)) - SLACK)
         candidates = stored(passing.select("query_id", self.key[0]), "candidates")
-        # in full
-        rows = self._read("forward").join(candidates, self.key[0]).select("query_id", *self.key, "dl", F.inline("terms"))
-        scored = rows.join(weighted.select("query_id", "term", "weight"), ["query_id", "term"]).groupBy("query_id", *self.key).agg(round6(F.sum(part(F.col("tf"), F.col("dl")))).alias("score"))
-        return best_hits(scored, ["query_id"], [self.key[0]], k)
+        # a candidate costs the reading of its terms; where so many pass that the postings are fewer, they serve
+        asking = candidates.agg(F.count("*").alias("n")).first()["n"]
+        mean = self._read("sizes").agg((F.sum("postings") / F.sum("n")).alias("m")).first()["m"] or 0
+        hits = weighted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+        if asking * mean > hits:
+            met = postings.join(weighted.drop("df"), ["term", scope] if scope else "term")
+            scored = met.groupBy("query_id", *self.key).agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("score"))
+        else:
+            scored = in_full(candidates)
+        return best_hits(scored.withColumn("score", round6(F.col("score"))), ["query_id"], [self.key[0]], k)

@@ -70,7 +70,8 @@ per_kb as (select *, row_number() over (partition by query_id, kb_id order by sc
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from per_kb where r <= 10)
 select query_id, chunk_id, h.kb_id, document_id, score, rank, title, author from ranked h left join docs using (document_id) where rank <= 10""")
 def keyword_search(t):
-    hits = rt.indexed_search(chunk_index(t), model.queries(t), 10, model.documents(t))
+    # one search over chunks as they come: an index pays from the second on
+    hits = rt.keyword_search(model.document_chunks(t, 128, 16), model.queries(t), 10, model.documents(t))
     return hits.select("query_id", "chunk_id", "kb_id", "document_id", "score", "rank", "title", "author")
 
 
