@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank, strip
+from quire.operators.common import running_max, running_sum
 
 # Bulk operations, and the statuses an action passes through.
 BULK_OPERATIONS = ["delete", "reindex", "retag"]
@@ -38,11 +39,19 @@ def session_actions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
     return kept.orderBy("session_id", F.desc("updated_at"), F.desc("id"))
 
 
-def kb_scope(mode: Column, kb_ids: Column) -> Column:
-    """none and all carry no ids; everything else is a selection of the non-blank ids."""
+def kb_scope(mode: Column, kb_ids: Column, every: Column | None = None) -> Column:
+    """none carries no ids, all carries `every` (the ids of the KB table), everything else is a selection
+    of the non-blank ids."""
     known = F.when(mode.isin("none", "all"), mode).otherwise("selected")
     ids = F.filter(F.coalesce(kb_ids, F.array().cast("array<string>")), lambda i: ~is_blank(i))
-    return F.struct(known.alias("mode"), F.when(known == "selected", ids).otherwise(F.array().cast("array<string>")).alias("kb_ids"))
+    none = F.array().cast("array<string>")
+    chosen = F.when(known == "selected", ids).when(known == "all", none if every is None else every).otherwise(none)
+    return F.struct(known.alias("mode"), chosen.alias("kb_ids"))
+
+
+def every_kb(kbs: DataFrame) -> Column:
+    """The ids of a KB table in order, for `kb_scope`."""
+    return kbs.agg(F.sort_array(F.collect_set(F.col("kb_id").cast("string"))).alias("ids")).scalar()
 
 
 def transitions(requests: DataFrame) -> DataFrame:
@@ -173,9 +182,29 @@ def bulk_outcomes(targets: DataFrame, items: DataFrame, kbs: DataFrame) -> DataF
 
 
 def bulk_summary(outcomes: DataFrame) -> DataFrame:
+    """One row a request: counts and the details of its targets in order."""
+    details = F.array_sort(F.collect_list(F.struct("place", "item_id", "operation", "ok", "error")))
     return outcomes.groupBy("request").agg(
-        F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed")
+        F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), details.alias("details")
+    )
+
+
+def bulk_effects(items: DataFrame, targets: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The items after all bulk requests that went well: deleted ones are gone, of several new tags or
+    KBs the last one (by request and place) counts. `items` has id, tags and kb_id, `targets` also tags."""
+    done = outcomes.where("ok").select("request", "place", "item_id").join(targets, ["request", "place", "item_id"])
+    last = F.struct("request", "place")
+
+    def newest(operation: str, column: str) -> Column:
+        return F.max_by(column, F.when(F.col("operation") == operation, last))
+
+    changes = done.groupBy(F.col("item_id").alias("id")).agg(
+        F.bool_or(F.col("operation") == "delete").alias("_gone"), F.bool_or(F.col("operation") == "retag").alias("_retagged"), newest("retag", "tags").alias("_tags"),
+        newest("reindex", "kb_id").alias("_kb"),
     )
+    rows = items.join(changes, "id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    tags = F.when(F.col("_retagged"), F.col("_tags")).otherwise(F.col("tags"))
+    return rows.withColumns({"tags": tags, "kb_id": F.coalesce("_kb", "kb_id")}).select(*items.columns)
 
 
 def staged_files(stages: DataFrame) -> DataFrame:
@@ -184,13 +213,12 @@ def staged_files(stages: DataFrame) -> DataFrame:
     `stages` has area, seq, name, order (null = next free number), size. The next number is one
     past the highest so far and starts at 1.
     """
-
     # a call without a number adds one to the next number, a call with number x lifts it to x + 1:
     # the next number is the calls without one so far, plus a running maximum
-    before = Window.partitionBy("area").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     given = F.when(~F.isnan(F.col("order").cast("double")), F.col("order").cast("long"))
-    counted = stages.withColumn("_given", given).withColumn("_free", F.coalesce(F.count_if(F.col("_given").isNull()).over(before), F.lit(0)))
-    lifted = F.greatest(F.lit(1), F.max(F.col("_given") + 1 - F.col("_free")).over(before))
-    numbered = counted.withColumn("place", F.coalesce("_given", F.col("_free") + lifted))
+    asked = stages.withColumn("_given", given)
+    counted = running_sum(asked, ["area"], ["seq"], {"_free": F.col("_given").isNull().cast("long")})
+    lifted = running_max(counted, ["area"], ["seq"], {"_lifted": F.col("_given") + 1 - F.col("_free")})
+    numbered = lifted.withColumn("place", F.coalesce("_given", F.col("_free") + F.greatest(F.lit(1), F.col("_lifted"))))
     kept = numbered.groupBy("area", "place").agg(F.max_by(F.struct("name", "size"), "seq").alias("f"))
     return kept.select("area", "place", "f.name", "f.size")

@@ -87,26 +87,34 @@ def running_sum(
     sums: dict[str, Column],
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exclusive running sums within each key: `sums` maps an output name to the summed value.
+    """Exclusive running sums within each key: `sums` maps an output name to the summed value."""
+    return _running(df, keys, order, sums, block_rows, F.sum, lambda a, b: a + b, F.lit(0))
 
-    Two levels for hot keys: a window inside each block plus the totals of the earlier blocks.
-    """
-    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], maxima: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exclusive running maxima within each key, null before the first value."""
+    return _running(df, keys, order, maxima, block_rows, F.max, F.greatest, F.lit(None))
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], block_rows: int, fold, merge, nothing: Column) -> DataFrame:
+    """Two levels for hot keys: a window inside each block, merged with the totals of the earlier
+    blocks."""
+    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
     blocked, split = ordered_blocks(valued, keys, order, block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.select(
-        "*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(n) for n in sums]
-    ).drop(*[f"_v_{n}" for n in sums])
+        "*", *[F.coalesce(fold(f"_v_{n}").over(inside), nothing).alias(n) for n in values]
+    ).drop(*[f"_v_{n}" for n in values])
     if not split:
         return local.drop("_block")
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    totals = blocked.groupBy(*keys, "_block").agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n in values])
     offsets = totals.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *keys, "_block", *[F.coalesce(fold(f"_t_{n}").over(before), nothing).alias(f"_o_{n}") for n in values]
     )
     joined = same_join(local, offsets, [*keys, "_block"])
     return joined.select(
-        *[(F.col(c) + F.col(f"_o_{c}")).alias(c) if c in sums else F.col(c) for c in local.columns if c != "_block"]
+        *[merge(F.col(c), F.col(f"_o_{c}")).alias(c) if c in values else F.col(c) for c in local.columns if c != "_block"]
     )
 
 

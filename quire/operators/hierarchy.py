@@ -181,11 +181,11 @@ def browse_structure(tree: DataFrame, chapters: DataFrame) -> DataFrame:
     """The section tree of a document, else its chapters as a flat list, with a source flag."""
     flat = chapters.join(tree.select("document_id").distinct(), "document_id", "left_anti")
     return tree.select(
-        "document_id", "section_id", "tree_parent", "level", "title", "start_page", F.lit("graph").alias("source")
+        "document_id", "section_id", "tree_parent", "level", "title", "start_page", "chunk_count", F.lit("graph").alias("source")
     ).unionByName(
         flat.select(
             "document_id", F.col("chapter_id").alias("section_id"), F.lit(None).cast("string").alias("tree_parent"), F.lit(0).alias("level"),
-            "title", "start_page", F.lit("registry").alias("source"),
+            "title", "start_page", F.lit(0).cast("long").alias("chunk_count"), F.lit("registry").alias("source"),
         )
     )
 

@@ -208,13 +208,14 @@ def filter_session(t):
 
 @query("normalize_kb_scope", """
 select event_id, case event_type when 'view' then 'none' when 'click' then 'all' else 'selected' end as mode,
-  case when event_type in ('view', 'click') then '' when k % 2 = 0 then k || '|b' else k::varchar end as kb_ids
+  case event_type when 'view' then '' when 'click' then (select string_agg(distinct lang, '|' order by lang) from documents) else case when k % 2 = 0 then k || '|b' else k::varchar end end as kb_ids
 from (select *, json_extract_string(props, '$.k')::bigint as k from events)""")
 def normalize_kb_scope(t):
-    from quire.operators.actions import kb_scope
+    from quire.operators.actions import every_kb, kb_scope
 
     k = F.get_json_object("props", "$.k").cast("long")
     mode = F.when(F.col("event_type") == "view", "none").when(F.col("event_type") == "click", "all").when(F.col("event_type") == "error", "odd")
     ids = F.array(k.cast("string"), F.lit("  "), F.when(k % 2 == 0, "b"), F.lit(""))
-    rows = t.events.select("event_id", kb_scope(mode, ids).alias("s"))
+    kbs = every_kb(t.documents.select(F.col("lang").alias("kb_id")))
+    rows = t.events.select("event_id", kb_scope(mode, ids, kbs).alias("s"))
     return rows.select("event_id", "s.mode", F.array_join("s.kb_ids", "|").alias("kb_ids"))

@@ -212,9 +212,11 @@ def tree_size_depth(t):
 
 # Only hosts with several languages have a stored tree; the others fall back to their chapters.
 @query("browse_structure", f"""
-with {SQL_PAGE_SECTIONS}, {SQL_CHAPTERS}, treed as (select document_id from chapters group by all having count(*) > 1)
-select document_id, section_id, parent_id as tree_parent, level, title, start_page, 'graph' as source from sections where document_id in (select * from treed)
-union all select document_id, chapter_id, null, 0, chapter_id, start_page, 'registry' from chapters where document_id not in (select * from treed)""")
+with {SQL_PAGE_SECTIONS}, {SQL_LINKS}, {SQL_CHAPTERS}, treed as materialized (select document_id from chapters group by all having count(*) > 1),
+shown as materialized (select s.* from sections s semi join treed using (document_id)),
+linked as materialized (select section_id, count(*) as chunk_count from links group by all)
+select document_id, section_id, parent_id as tree_parent, level, title, start_page, coalesce(chunk_count, 0) as chunk_count, 'graph' as source from shown left join linked using (section_id)
+union all select document_id, chapter_id, null, 0, chapter_id, start_page, 0, 'registry' from chapters anti join treed using (document_id)""")
 def browse_structure(t):
     chapters, _ = page_chapters(t)
     treed = chapters.groupBy("document_id").count().where("count > 1").select("document_id")

@@ -248,7 +248,7 @@ targets as (
     case when l_suppkey % 4 <> 0 then 'kb' || l_suppkey % 9 end as kb_id from lineitem),
 placed as (select *, min((l_linenumber, l_partkey, l_suppkey)) filter (operation = 'delete') over (partition by request, item_id) as gone_at from targets),
 outcomes as (
-  select t.request, t.l_linenumber, t.item_id, t.operation, case when operation = 'rename' then 'unknown operation: rename'
+  select t.request, t.l_linenumber, t.l_partkey, t.l_suppkey, t.item_id, t.operation, t.kb_id, case when operation = 'rename' then 'unknown operation: rename'
     when operation = 'reindex' and t.kb_id is null then 'kb_id required'
     when i.id is null or coalesce((t.l_linenumber, t.l_partkey, t.l_suppkey) > gone_at, false) then 'not found'
     when operation = 'reindex' and not i.pdf then 'no PDF available'
@@ -268,9 +268,30 @@ def library_bulk(t):
 
 
 @query("bulk_result_summary", f"""
-with {SQL_BULK} select request, count(*) as total, count(*) filter (error is null) as succeeded, count(*) filter (error is not null) as failed from outcomes group by request""")
+with {SQL_BULK}
+select request, count(*) as total, count(*) filter (error is null) as succeeded, count(*) filter (error is not null) as failed,
+  string_agg(item_id || ' ' || operation || ' ' || coalesce(error, 'ok'), '|' order by l_linenumber, l_partkey, l_suppkey) as details from outcomes group by request""")
 def bulk_result_summary(t):
-    return ac.bulk_summary(bulk_outcomes(t))
+    rows = ac.bulk_summary(bulk_outcomes(t))
+    told = F.transform("details", lambda d: F.concat_ws(" ", d["item_id"], d["operation"], F.coalesce(d["error"], F.lit("ok"))))
+    return rows.select("request", "total", "succeeded", "failed", F.array_join(told, "|").alias("details"))
+
+
+# The library after all bulk requests: tags are the line's ship mode, the KB of an item is its type's number at first.
+@query("library_bulk_effects", f"""
+with {SQL_BULK},
+done as (
+  select o.request, o.l_linenumber, o.l_partkey, o.l_suppkey, o.item_id, o.operation, o.kb_id, (o.l_partkey % 5)::varchar as tags
+  from outcomes o where error is null),
+last as (
+  select item_id as id, bool_or(operation = 'delete') as gone, bool_or(operation = 'retag') as retagged,
+    arg_max(tags, (request, l_linenumber, l_partkey, l_suppkey)) filter (operation = 'retag') as tags,
+    arg_max(kb_id, (request, l_linenumber, l_partkey, l_suppkey)) filter (operation = 'reindex') as kb_id from done group by item_id)
+select i.id, case when coalesce(retagged, false) then l.tags else 'none' end as tags, coalesce(l.kb_id, 'kb0') as kb_id from items i left join last l on l.id = i.id where not coalesce(gone, false)""")
+def library_bulk_effects(t):
+    targets = bulk_targets(t).withColumn("tags", (F.col("place.l_partkey") % 5).cast("string"))
+    shelf = items(t).select("id", F.lit("none").alias("tags"), F.lit("kb0").alias("kb_id"))
+    return ac.bulk_effects(shelf, targets, bulk_outcomes(t))
 
 
 # Requests on one action per user; the event type says what is asked.

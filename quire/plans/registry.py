@@ -14,6 +14,17 @@ _SQL: dict[str, str] = {}
 MODULES = ["text", "retrieval", "graph", "hierarchy", "similarity", "analytics", "library", "media", "sources"]
 
 
+# tables whose rows are long texts: work on them is per row and by far dearer than moving them
+TEXTS = {"documents", "pages"}
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Share out the rows of a scan that has fewer splits than the cluster has cores, as a small file of
+    one row group cannot be split. A large table has many splits and is never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class Tables:
     """The parquet tables of one folder as DataFrames, e.g. `t.documents`."""
@@ -24,7 +35,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return dealt_out(rows) if name in TEXTS else rows
 
 
 def query(name: str, sql: str | None = None):

@@ -232,8 +232,9 @@ def sql_rrf(signals: dict[str, float], k: int, out: str = "fused") -> str:
 @query("rrf_fusion", f"""
 with {CHUNKS}, {SQL_HYBRID_QUERIES}, {SQL_KEYS}, {SQL_MENTIONS}, {sql_semantic('queries', 30)}, {sql_keyword('queries', 30)},
 {SQL_GRAPH.replace('graph as (select', 'graph_all as (select')}, graph as (select * from graph_all where rank <= 30),
-{sql_rrf({'semantic': 0.5, 'keyword': 0.3, 'graph': 0.2}, 10)}
-select query_id, key, score, rank from fused""")
+{sql_rrf({'semantic': 0.5, 'keyword': 0.3, 'graph': 0.2}, 10)}, {SQL_DOCUMENTS}
+select query_id, f.key, score, rank, c.document_id, c.position, d.title, d.author, c.text
+from fused f join keys using (key) join chunks c on c.chunk_id = keys.chunk_id left join docs d on d.document_id = c.document_id""")
 def rrf_fusion(t):
     asked, chunks = hybrid_queries(t), chunk_table(t)
     signals = {
@@ -241,7 +242,8 @@ def rrf_fusion(t):
         "keyword": with_key(chunks, keyword_hits(chunks, asked, 30)),
         "graph": with_key(chunks, graph_hits(t, chunks, asked.select("query_id", "query"), 30)),
     }
-    return rt.rrf_fusion(signals, 10, rt.WEIGHTS_GRAPH).select("query_id", "key", "score", "rank")
+    hits = rt.described(rt.rrf_fusion(signals, 10, rt.WEIGHTS_GRAPH, ["chunk_id"]), chunks, model.documents(t))
+    return hits.select("query_id", "key", "score", "rank", "document_id", "position", "title", "author", "text")
 
 
 SEARCH_TYPE = "case query_id % 5 when 0 then 'semantic' when 1 then 'keyword' when 2 then 'hybrid' when 3 then 'other' else 'hybrid' end"
@@ -251,23 +253,26 @@ def search_answers(t, k):
     chunks = chunk_table(t)
     asked = hybrid_queries(t).withColumn("search_type", F.expr(SEARCH_TYPE))
     blank = asked.withColumn("query", F.when(F.col("query_id") % 7 == 0, "  ").otherwise(F.col("query")))
-    return rt.search(
+    hits = rt.search(
         blank, lambda q, n: with_key(chunks, semantic_hits(t, chunks, q, n)), lambda q, n: with_key(chunks, keyword_hits(chunks, q, n)), k
     )
+    return rt.described(hits, chunks, model.documents(t))
 
 
 @query("search_dispatch", f"""
-with {CHUNKS}, {SQL_HYBRID_QUERIES.replace('queries as', 'everyone as')}, {SQL_KEYS},
+with {CHUNKS}, {SQL_HYBRID_QUERIES.replace('queries as', 'everyone as')}, {SQL_KEYS}, {SQL_DOCUMENTS},
 queries as (select *, {SEARCH_TYPE} as search_type from everyone where query_id % 7 <> 0),
 hybrids as (select * from queries where search_type in ('hybrid', 'other')),
 sem as (select * from queries where search_type = 'semantic'), kw as (select * from queries where search_type = 'keyword'),
 {sql_semantic('sem', 5, 's')}, {sql_keyword('kw', 5, 'w')}, {sql_semantic('hybrids', 15)}, {sql_keyword('hybrids', 15)},
-{sql_rrf({'semantic': 0.6, 'keyword': 0.4}, 5)}
-select query_id, key, round(score, 6) as score, rank from fused
-union all select query_id, key, round(score, 6), rank from s join keys using (chunk_id)
-union all select query_id, key, round(score, 6), rank from w join keys using (chunk_id)""")
+{sql_rrf({'semantic': 0.6, 'keyword': 0.4}, 5)},
+answers as (
+  select query_id, key, chunk_id, round(score, 6) as score, rank from fused join keys using (key)
+  union all select query_id, key, chunk_id, round(score, 6), rank from s join keys using (chunk_id)
+  union all select query_id, key, chunk_id, round(score, 6), rank from w join keys using (chunk_id))
+select query_id, key, score, rank, c.document_id, d.title, c.text from answers a join chunks c on c.chunk_id = a.chunk_id left join docs d on d.document_id = c.document_id""")
 def search_dispatch(t):
-    return search_answers(t, 5).select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+    return search_answers(t, 5).select("query_id", "key", F.round("score", 6).alias("score"), "rank", "document_id", "title", "text")
 
 
 @query("context_window", f"""

@@ -114,6 +114,40 @@ def test_single_signal_keeps_raw_scores(spark):
     assert got[(4, "g")] == round(0.2 / 61, 9)
 
 
+def test_hits_carry_their_content_and_filters_come_first(spark):
+    chunks = spark.createDataFrame([("c1", 1, 0, "x", "one"), ("c2", 1, 1, "y", "two"), ("c3", 2, 0, "x", "three"), ("c4", 3, 0, "x", "four")], "chunk_id string, document_id long, position int, chapter_id string, text string")
+    docs = spark.createDataFrame([(1, "First", "Ann"), (2, "Second", None)], "document_id long, title string, author string")
+    some = retrieval.in_scope(chunks, spark.createDataFrame([(1,), (2,)], "document_id long"), spark.createDataFrame([("x",)], "chapter_id string"))
+    assert sorted(r.chunk_id for r in some.collect()) == ["c1", "c3"]
+    # the best hit is out of scope, and the scope still gives its own two
+    queries = spark.createDataFrame([(1, "two three one")], "query_id long, query string")
+    found = retrieval.keyword_search(some.withColumn("kb_id", F.lit(0)), queries, 2)
+    assert {r.chunk_id for r in found.collect()} == {"c1", "c3"}
+    lists = "query_id long, key string, score double, rank int, chunk_id string"
+    sem, key = spark.createDataFrame([(1, "a", 0.9, 1, "c1")], lists), spark.createDataFrame([(1, "b", 5.0, 1, "c4"), (1, "a", 4.0, 2, "c9")], lists)
+    fused = retrieval.rrf_fusion({"semantic": sem, "keyword": key}, 5, carried=["chunk_id"])
+    rows = {r.key: (r.chunk_id, r.document_id, r.title, r.author, r.text) for r in retrieval.described(fused, chunks, docs).collect()}
+    assert rows == {"a": ("c1", 1, "First", "Ann", "one"), "b": ("c4", 3, None, None, "four")}
+
+
+def test_bulk_effects_and_details(spark):
+    items = spark.createDataFrame([("a", "old", "k"), ("b", "old", "k"), ("c", "old", "k")], "id string, tags string, kb_id string")
+    targets = spark.createDataFrame([
+        (1, 0, "a", "retag", None, "t1"), (1, 1, "b", "delete", None, None), (1, 2, "b", "retag", None, "t2"), (2, 0, "a", "retag", None, "t3"), (2, 1, "a", "reindex", "k9", None), (2, 2, "c", "reindex", "none", None),
+    ], "request int, place int, item_id string, operation string, kb_id string, tags string")
+    outcomes = actions.bulk_outcomes(targets, spark.createDataFrame([("a", True), ("b", True), ("c", True)], "id string, has_pdf boolean"), spark.createDataFrame([("k9",)], "kb_id string"))
+    assert sorted(map(tuple, actions.bulk_effects(items, targets, outcomes).collect())) == [("a", "t3", "k9"), ("c", "old", "k")]
+    summary = {r.request: [(d.item_id, d.operation, d.error) for d in r.details] for r in actions.bulk_summary(outcomes).collect()}
+    assert summary == {1: [("a", "retag", None), ("b", "delete", None), ("b", "retag", "not found")], 2: [("a", "retag", None), ("a", "reindex", None), ("c", "reindex", "KB not found: none")]}
+
+
+def test_scope_of_all_is_the_kb_table(spark):
+    kbs = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "kb_id string")
+    rows = spark.createDataFrame([("all",), ("none",), ("some",)], "mode string")
+    got = rows.select("mode", actions.kb_scope(F.col("mode"), F.array(F.lit("x"), F.lit(" ")), actions.every_kb(kbs)).alias("s")).collect()
+    assert {r.mode: (r.s.mode, r.s.kb_ids) for r in got} == {"all": ("all", ["a", "b"]), "none": ("none", []), "some": ("selected", ["x"])}
+
+
 def test_citation_points(spark):
     texts = spark.createDataFrame([("kb", 1, "As Smith (1999) and Ann Lee and Bo Roy (2001) say, The Long Road is open [3].")], "kb_id string, document_id long, text string")
     docs = spark.createDataFrame(

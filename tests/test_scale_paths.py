@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import graph, media, neighbours, retrieval, scans, similarity, textindex
-from quire.operators.common import as_of, neighbour_value, running_sum
+from quire.operators.common import as_of, neighbour_value, running_max, running_sum
 
 
 def rows_of(df, *columns):
@@ -32,6 +32,16 @@ def test_running_sum_in_blocks(hot):
     assert rows_of(got, "key", "id", "total") == sorted(want)
 
 
+def test_running_max_in_blocks(hot):
+    rows, df = hot
+    got = running_max(df, ["key"], ["id"], {"most": F.col("v")}, block_rows=50)
+    want, most = [], {}
+    for key, v, i in sorted(rows, key=lambda r: r[2]):
+        want.append((key, i, most.get(key)))
+        most[key] = max(v, most.get(key, v))
+    assert sorted(rows_of(got, "key", "id", "most"), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("ahead", [False, True])
 def test_neighbour_value_in_blocks(hot, ahead):
     rows, df = hot
