@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ class Scratch:
     def drop(self, name: str) -> None:
         drop_folder(self.spark, f"{self.folder}/{name}")
 
+    def release(self) -> None:
+        """Let go of the shuffles behind tables that are stored by now. Executors delete them once the
+        driver has collected its garbage, which left alone may be long after the next large shuffle."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
     """Left join of `rows` with `found`, which has one row a key. A hot key's rows go to `salts`

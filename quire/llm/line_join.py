@@ -83,7 +83,7 @@ class _Similarity:
 
 def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc, line) of the lines that stay: first of their equals, and not similar to an earlier
-    line of another text."""
+    line, of the same text or another."""
     like = _Similarity(*threshold)
     lines = _lines(docs, key, text)
     same = lines.groupBy(F.unhex(F.sha2("content", 256)).alias("sha")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max(F.xxhash64("content")).alias("hash"))
@@ -109,6 +109,7 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     firsts = same.where(repeated.has(F.col("hash"))).select("doc", "line").hint("merge")
     sure = scratch.put(passed.where("unsure").drop("unsure").join(firsts, ["doc", "line"], "left_semi"), "firsts")
     sets = passed.where("not unsure").drop("unsure").unionByName(sure)
+    scratch.release()
 
     # first comparison: among the lines whose first words have the same smallest or largest hash,
     # with the earliest and with some before
@@ -147,6 +148,7 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     pairs = scratch.put(pairs.distinct(), "join-pairs")
     scratch.drop("passed")
     scratch.drop("firsts")
+    scratch.release()
     more = _verified(pairs, docs, key, text, like, scratch, "join")
     return same.select("doc", "line").join(gone.unionByName(more).distinct().hint("merge"), ["doc", "line"], "left_anti")
 
@@ -171,7 +173,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, like: _Sim
     met = pairs.join(read, ["doc", "line"]).join(other, ["doc2", "line2"])
     enough = like.shared(common_words(F.col("content"), F.col("content2")), F.col("n"), F.col("n2"))
     later = F.greatest(F.struct("doc", "line"), F.struct(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
-    return scratch.put(met.where(enough).select(later.alias("x")).select("x.doc", "x.line").distinct(), f"{name}-gone")
+    gone = scratch.put(met.where(enough).select(later.alias("x")).select("x.doc", "x.line").distinct(), f"{name}-gone")
+    # the last readers of the pairs and of the lines' texts have run
+    scratch.drop(f"{name}-pairs")
+    scratch.drop(f"{name}-lines")
+    scratch.release()
+    return gone
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
