@@ -73,31 +73,38 @@ def flatten_tree(docs: DataFrame, tree: str, depth: int) -> DataFrame:
     )
 
 
-def _grams(text: Column, sizes=(1, 2, 3)) -> Column:
-    length = F.length(text)
+# sizes of the pieces that texts are joined on
+PIECES = (1, 2, 4, 8, 16, 32)
 
-    def grams(n):
-        cut = F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(length >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in sizes]))
+def _pieces(text: Column, size: Column) -> Column:
+    """The different pieces of a text, each of `size` characters; the text is no shorter."""
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
 
 
 def containment_matches(left: DataFrame, right: DataFrame, keys: list[str], inner: str, outer: str) -> DataFrame:
     """Pairs of the same keys where `outer` (right) contains `inner` (left).
 
-    Every three-character piece of the inner text occurs in the outer one, so the join has an
-    equality on one of them: the piece the fewest outer texts have. Groups are never paired whole.
+    Every piece of the inner text occurs in the outer one, so the join has an equality on one of them: of
+    the longest pieces of a fixed size that fit, the one the fewest outer texts have. A piece is more than
+    half of its text, up to 63 characters, so few texts meet in vain. Groups are never paired whole.
     """
-    size = F.least(F.lit(3), F.length(inner))
-    own = left.select(*keys, inner).distinct().select(*keys, inner, F.explode(_grams(F.col(inner))).alias("_g"))
-    own = own.where(F.length("_g") == size)
-    grams = right.withColumn("_g", F.explode(_grams(F.col(outer))))
-    grams = grams.join(own.select(*keys, "_g").distinct(), [*keys, "_g"], "left_semi")
-    counts = grams.groupBy(*keys, "_g").agg(F.count("*").alias("_n"))
+    size = F.lit(0)
+    for n in PIECES:
+        size = F.when(F.length(inner) >= n, n).otherwise(size)
+    asked = left.select(*keys, inner).distinct().withColumn("_size", size).where("_size > 0")
+    used = sorted(r["_size"] for r in asked.select("_size").distinct().collect())  # at most all PIECES
+    # the planner takes exploded rows for no more than their source, and would send them all to the driver
+    own = asked.select(*keys, inner, F.explode(_pieces(F.col(inner), F.col("_size"))).alias("_g")).hint("merge")
+    fitting = F.explode(F.filter(F.array(*map(F.lit, used)).cast("array<int>"), lambda n: n <= F.length(outer)))
+    sized = right.select(*keys, outer).distinct().select(*keys, outer, fitting.alias("_size"))
+    held = sized.select(*keys, outer, F.explode(_pieces(F.col(outer), F.col("_size"))).alias("_g"))
+    held = held.join(own.select(*keys, "_g").distinct().hint("merge"), [*keys, "_g"], "left_semi")
+    counts = held.groupBy(*keys, "_g").agg(F.count("*").alias("_n")).hint("merge")
     rarest = own.join(counts, [*keys, "_g"]).groupBy(*keys, inner).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
-    chosen = left.join(rarest, [*keys, inner])
-    return chosen.join(grams, [*keys, "_g"]).where(F.col(outer).contains(F.col(inner))).drop("_g")
+    pairs = rarest.hint("merge").join(held, [*keys, "_g"]).where(F.col(outer).contains(F.col(inner))).select(*keys, inner, outer).hint("merge")
+    return left.join(pairs, [*keys, inner]).join(right.hint("merge"), [*keys, outer])
 
 
 def reorder_files(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import graph, media, neighbours, retrieval, scans, similarity, textindex
+from quire.operators import files, graph, media, neighbours, retrieval, scans, similarity, textindex
 from quire.operators.common import as_of, neighbour_value, running_max, running_sum
 
 
@@ -438,3 +438,17 @@ def test_shortest_path_ties_and_limit(spark):
     got = rows_of(graph.shortest_paths(asked, edges), "request", "hop", "node")
     assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, "z"), (2, 0, "a")]
     assert graph.shortest_paths(asked.where("request = 1"), edges, max_hops=1).count() == 0
+
+
+def test_containment_by_long_pieces_and_never_through_the_driver(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab1.") for _ in range(rnd.randrange(0, 40))) for _ in range(150)]
+    inner = texts[:50] + [t[2:11] for t in texts[50:100]] + [t[:3] for t in texts[100:]] + ["", "b"]
+    left = spark.createDataFrame([(i % 3, t) for i, t in enumerate(inner)], "key int, small string")
+    right = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts)], "key int, id int, large string")
+    got = files.containment_matches(left, right, ["key"], "small", "large")
+    # an empty text is in no other here
+    want = [(i % 3, s, j, t) for i, s in enumerate(inner) for j, t in enumerate(texts) if i % 3 == j % 3 and s and s in t]
+    assert rows_of(got, "key", "small", "id", "large") == sorted(want)
+    # exploded pieces look small to the planner: none may be sent to the driver as a broadcast
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
