@@ -9,7 +9,7 @@ from quire.model import SQL_COURSES, SQL_LINKS, SQL_MENTIONS, SQL_ORDER_MENTIONS
 from quire.operators import hierarchy as hi
 from quire.operators.common import upsert
 from quire.operators.entities import chunk_related_concepts, gazetteer_hits
-from quire.operators.fulltext import best_hits, bm25
+from quire.operators.scoring import best_relevant
 from quire.plans.registry import query
 from quire.session import stored
 from quire.plans.text import TRIM, sql_replace_all
@@ -185,7 +185,7 @@ def enrich_results(t):
     chunks, sections = stored(model.page_chunks(t), "chunks"), model.page_sections(t)
     links = stored(hi.link_chunks_to_sections(chunks, sections), "links")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = best_hits(bm25(chunks, ["chunk_id"], "text", asked), ["query_id"], ["chunk_id"], 5)
+    hits = best_relevant(chunks, ["chunk_id"], "text", asked, 5)
     named = gazetteer_hits(chunks.join(links, "chunk_id"), ["section_id"], model.gazetteer(t)).select("section_id", "name")
     concepts = chunk_related_concepts(named, links, k=SHOWN_CONCEPTS)
     rows = hi.enrich_results(hits, links, hi.breadcrumbs(sections, 3), concepts)

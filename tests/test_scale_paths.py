@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import files, graph, media, neighbours, retrieval, scans, similarity, textindex
+from quire.operators import files, fulltext, graph, media, neighbours, retrieval, scans, scoring, similarity, textindex
 from quire.operators.common import as_of, neighbour_value, running_max, running_sum
 
 
@@ -452,3 +452,33 @@ def test_containment_by_long_pieces_and_never_through_the_driver(spark):
     assert rows_of(got, "key", "small", "id", "large") == sorted(want)
     # exploded pieces look small to the planner: none may be sent to the driver as a broadcast
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("k", "scope", "blocks"), [(3, None, (40, 7)), (1000, "kb_id", (8192, 4096)), (10, "kb_id", (25, 5))])
+def test_relevance_in_blocks_equals_all_pairs(spark, worded, monkeypatch, k, scope, blocks):
+    chunks, queries = worded
+    key = ["chunk_id", "document_id", "kb_id"]
+    pairs = fulltext.bm25(chunks, key, "text", queries)
+    pairs = pairs.join(queries.select("query_id", "kb_id"), ["query_id", "kb_id"]) if scope else pairs
+    want = fulltext.best_hits(pairs, ["query_id"], ["chunk_id"], k)
+    monkeypatch.setattr(scoring, "TILE", 3)
+    got = scoring.best_relevant(chunks, key, "text", queries, k, scope=scope, chunk_rows=blocks[0], query_rows=blocks[1])
+    columns = ("query_id", "rank", "chunk_id", "score", "document_id")
+    assert rows_of(got, *columns) == rows_of(want, *columns)
+    assert scoring.best_relevant(chunks.limit(0), key, "text", queries, k).count() == 0
+
+
+def test_index_moves_no_posting_for_each_of_many_queries(spark, tmp_path, worded, monkeypatch):
+    """Queries that share their terms meet the chunks in blocks, without a table of candidates."""
+    chunks, queries = worded
+    many = queries.where("query_id < 25").withColumn("query_id", F.explode(F.sequence(F.col("query_id") * 8, F.col("query_id") * 8 + 7)))
+    index = textindex.TextIndex(spark, f"file://{tmp_path}/index", ["chunk_id", "kb_id", "document_id"])
+    index.add(chunks.where("document_id < 50"))
+    index.add(chunks.where("document_id >= 50"))
+    written, plain = [], textindex.stored
+    monkeypatch.setattr(textindex, "stored", lambda df, name: written.append(name) or plain(df, name))
+    got = index.top(many, 4, scope="kb_id")
+    assert "candidates" not in written
+    pairs = fulltext.bm25(chunks, ["chunk_id", "kb_id"], "text", many).join(many.select("query_id", "kb_id"), ["query_id", "kb_id"])
+    columns = ("query_id", "rank", "chunk_id", "score")
+    assert rows_of(got, *columns) == rows_of(fulltext.best_hits(pairs, ["query_id"], ["chunk_id"], 4), *columns)
