@@ -18,7 +18,7 @@ from quire.functions.text import clean_text, is_blank
 from quire.operators.actions import next_status
 from quire.operators.chunking import chunk_tokens
 from quire.operators.common import first_per_key
-from quire.session import drop_folder, folder_exists, scratch_folder
+from quire.session import drop_folder, folder_exists, is_folder, scratch_folder
 
 # folders of the chunk table; a batch writes those anew that hold one of its documents
 BUCKETS = 64
@@ -26,12 +26,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A table file of a folder as a stream with the schema of the batch table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    """A table of a folder as a stream with the schema of the batch table. The table is a file, and so are
+    those that follow it, or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if is_folder(spark, path):
+        return stream.option("pathGlobFilter", "*.parquet").parquet(path)
+    return stream.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", late: list[int] | None = None) -> DataFrame:

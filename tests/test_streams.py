@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,12 @@ def test_import_into_a_kb_with_new_vectors(spark, tmp_path):
     assert set(names) == {"Ann", "Bo", "Cy"} and names["Cy"] == "own" and names["Ann"] not in ("old", "e1")
     document = made["documents"].collect()
     assert len(document) == 1 and {r["document_id"] for r in made["chunks"].collect()} == {document[0]["id"]} == {r["source_id"] for r in made["relationships"].collect()}
+
+
+def test_a_table_that_is_a_folder_is_streamed(spark, tmp_path):
+    """A table may be one file or a folder of files; both come through with the same rows."""
+    spark.range(6).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    pd.DataFrame({"id": range(4)}).to_parquet(tmp_path / "one.parquet")
+    for name, rows in (("many", 6), ("one", 4)):
+        got = jobs.run_to_table(jobs.read_table(spark, str(tmp_path), name), name)
+        assert sorted(r["id"] for r in got.collect()) == list(range(rows))
