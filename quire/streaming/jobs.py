@@ -149,32 +149,38 @@ class ActionProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ts long, seq long, op string, ok boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # each call of the handle is a round trip: the rows of a batch go in at once, with one timer for its first
         for batch in rows:
             times = batch["ts"].astype("datetime64[us]").astype("int64") // 1000
-            for ts, seq, op, ok in zip(times.tolist(), batch["seq"].tolist(), batch["op"], batch["ok"]):
-                self.waiting.appendValue((ts, seq, op, bool(ok)))
-                self.handle.registerTimer(ts)
+            came = list(zip(times.tolist(), batch["seq"].tolist(), batch["op"].tolist(), batch["ok"].astype(bool).tolist()))
+            if came:
+                self.waiting.appendList(came)
+                self.handle.registerTimer(min(times))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the first timer to expire takes all requests that the watermark has passed
+        # the first timer to expire takes all requests that the watermark has passed; there is a timer no later
+        # than the first request that waits
         passed = timerValues.getCurrentWatermarkInMs()
         held = list(self.waiting.get())
         due = sorted((r for r in held if r[0] <= passed), key=lambda r: r[1])
-        if due:
+        if not due:
+            return
+        later = [tuple(r) for r in held if r[0] > passed]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later))
+        else:
             self.waiting.clear()
-            later = [tuple(r) for r in held if r[0] > passed]
-            if later:
-                self.waiting.put(later)
-        status, outcomes = self.status.get()[0] if self.status.exists() else None, []
+        known = self.status.get()
+        status, outcomes = known[0] if known else None, []
         for _, seq, op, ok in due:
             moved = next_status(status, op, ok)
             outcomes.append((key[0], seq, moved or ("404" if status is None else "409")))
             status = moved or status
-        if due and status is not None:
+        if status is not None:
             self.status.update((status,))
-        if outcomes:
-            yield pd.DataFrame(outcomes, columns=["action_id", "seq", "outcome"])
+        yield pd.DataFrame(outcomes, columns=["action_id", "seq", "outcome"])
 
     def close(self) -> None:
         pass

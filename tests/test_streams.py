@@ -111,6 +111,31 @@ def test_requests_in_any_order_give_the_batch_result(spark, tmp_path, rocks):
     assert got == [w for w in want if w[1] <= 119 - 60]
 
 
+class CountedState:
+    """A list and timers that count the round trips to the store."""
+
+    def __init__(self):
+        self.rows, self.timers, self.trips = [], [], 0
+
+    def appendValue(self, row):
+        self.rows, self.trips = [*self.rows, row], self.trips + 1
+
+    def appendList(self, rows):
+        self.rows, self.trips = [*self.rows, *rows], self.trips + 1
+
+    def registerTimer(self, at):
+        self.timers, self.trips = [*self.timers, at], self.trips + 1
+
+
+def test_action_requests_reach_the_state_in_few_round_trips():
+    rows = pd.DataFrame({"ts": [NOON + dt.timedelta(seconds=i) for i in range(500)][::-1], "seq": range(500), "op": "create", "ok": True})
+    state, processor = CountedState(), jobs.ActionProcessor()
+    processor.handle = processor.waiting = state
+    list(processor.handleInputRows((1,), iter([rows]), None))
+    first = int(pd.Series([NOON]).astype("datetime64[us]").astype("int64")[0] // 1000)
+    assert len(state.rows) == 500 and min(state.timers) == first and state.trips <= 2
+
+
 def test_windows_count_once_and_tell_late_rows(spark, tmp_path):
     schema = "event_id long, ts timestamp, query string, kb_id long, type string, results_count long"
 
