@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,23 @@ def test_similar_documents_are_all_found(spark, pivots):
     assert {(r["kb_id"], r["target_kb"]) for r in across.collect()} <= {(0, 1)} and similarity.similar_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [1, 5])
+def test_first_similar_documents_are_cut_in_the_task(spark, pivots):
+    """The first k are those of all, ties by id, also of documents too large to be dealt whole; a task
+    that sees documents whole lets out no more than k of each."""
+    rng = np.random.default_rng(pivots)
+    points = [[float(x) for x in np.round(np.eye(4)[doc % 2] + rng.normal(size=4) * 0.1, 1)] for doc in range(60)]
+    rows = [(f"c{doc}:{i}", 0, doc, point) for doc, point in enumerate(points) for i in range(1 + (doc % 9 == 0))]
+    rows += [(f"big:{i}", 0, 99, points[0]) for i in range(similarity.WHOLE_CHUNKS + 1)]
+    df = spark.createDataFrame(rows, "chunk_id string, kb_id int, document_id long, vector array<double>")
+    every = similarity.similar_documents(df, None, 0.5, pivots=pivots).collect()
+    first = similarity.similar_documents(df, 3, 0.5, pivots=pivots, block_rows=40).collect()
+    assert sorted(first) == sorted(r for r in every if r["rank"] <= 3) and len(every) > 1000
+    asked = pd.DataFrame({"_asked": points, "kb_id": 0, "document_id": range(60), "_n": 1})
+    held = pd.DataFrame({"_held": points, "_f0": 0, "target_id": range(60), "_n": 1})
+    assert similarity._similar_pairs(asked, held, 0.5, 3).groupby("document_id").size().max() == 3
+
+
 def test_vector_filters(spark):
     """A query without chunks has no hits; null equals nothing; integers stay integers beside nulls."""
     queries = spark.createDataFrame([("a", 3, [1.0]), ("b", None, [1.0]), ("c", 9, [1.0]), ("d", 3, [])], "query_id string, kb_id int, vector array<double>")
