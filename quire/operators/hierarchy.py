@@ -13,6 +13,9 @@ from quire.functions import text as fx
 from quire.operators.common import as_of, first_per_key, neighbour_value, running_sum, union_all
 from quire.operators.files import containment_matches
 
+# tasks among which the rows of a deleted key are dealt
+SALTS = 64
+
 
 def headings(entries: DataFrame) -> DataFrame:
     """Chapter-like entries of a contents list with their number; pages become zero-based."""
@@ -263,10 +266,21 @@ def delete_documents(tables: dict[str, DataFrame], mentions: DataFrame, doomed:
 
 
 def delete_rows(tables: dict[str, DataFrame], key: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables without the rows of the doomed keys and the deleted counts per key and table."""
+    """Tables without the rows of the doomed keys and the deleted counts per key and table.
+
+    Rows are counted by key before they meet the doomed keys, so they do not move for that. For what is
+    left, the rows of a key are dealt to `SALTS` tasks and each doomed key goes to all of them.
+    """
     gone = doomed.select(key).distinct()
-    left = {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
-    counted = [df.join(gone, key, "left_semi").groupBy(key).agg(F.count("*").alias("deleted")).withColumn("kind", F.lit(name)) for name, df in tables.items()]
+    spread = gone.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def kept(df: DataFrame) -> DataFrame:
+        # any salt gives the same rows
+        return df.withColumn("_salt", F.floor(F.rand() * SALTS).cast("int")).join(spread, [key, "_salt"], "left_anti").select(*df.columns)
+
+    left = {name: kept(df) for name, df in tables.items()}
+    # `gone` has each key once, so an inner join; a semi join would be pushed below the counting
+    counted = [df.groupBy(key).agg(F.count("*").alias("deleted")).join(gone, key).withColumn("kind", F.lit(name)) for name, df in tables.items()]
     return left, union_all(counted).select(key, "kind", "deleted")
 
 

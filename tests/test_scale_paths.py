@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import files, fulltext, graph, media, neighbours, retrieval, scans, scoring, similarity, textindex
+from quire.operators import files, fulltext, graph, hierarchy, media, neighbours, retrieval, scans, scoring, similarity, textindex
 from quire.operators.common import as_of, neighbour_value, running_max, running_sum
 
 
@@ -584,3 +584,14 @@ def test_partners_are_counted_in_their_task(spark):
                 if d2 not in (d1, m):
                     met.setdefault(d1, {}).setdefault(d2, set()).add(e)
         assert got == sorted((d1, d2, len(es)) for d1, of in met.items() for d2, es in sorted(of.items(), key=lambda x: (-len(x[1]), x[0]))[:3])
+
+
+def test_deleted_keys_meet_counts_not_rows(spark):
+    """The counts of a delete move one row a key and task, not the rows of the key."""
+    rows = spark.range(5000).select((F.col("id") % 2).alias("kb"), F.col("id").alias("line"))
+    gone = rows.where("id < 1").select("kb")
+    left, counts = hierarchy.delete_rows({"lines": rows}, "kb", gone)
+    assert [tuple(r) for r in counts.collect()] == [(0, "lines", 2500)] and left["lines"].columns == ["kb", "line"]
+    assert {r["kb"] for r in left["lines"].collect()} == {1} and left["lines"].count() == 2500
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("count(1)")
