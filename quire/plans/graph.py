@@ -103,7 +103,7 @@ ranked as (select *, row_number() over (partition by kb_id, name, type order by
 select kb_id, name, type, max(id) filter (seq = 1) as id, max(description) filter (seq = 1) as description, max(first_seen_in) filter (seq = 1) as first_seen_in,
   max(array_to_string(aliases, '|')) filter (longest = 1) as aliases from ranked group by kb_id, name, type""")
 def upsert_entities(t):
-    named = model.order_mentions(t).join(t.part, F.col("entity_id") == F.col("p_partkey"))
+    named = model.with_parts(t, model.order_mentions(t), t.part.withColumnRenamed("p_partkey", "entity_id"))
     aliases = F.slice(F.split(F.concat_ws(" ", "p_name", "p_brand"), " "), F.lit(1), F.col("l_linenumber") % 4)
     # a total order: document, line, entity
     seq = F.col("document_id").cast("decimal(38,0)") * 10**12 + F.col("l_linenumber") * 10**10 + F.col("entity_id")
@@ -119,7 +119,7 @@ with {SQL_ORDER_MENTIONS}
 select kb_id, entity_id, 'document' as src_kind, document_id::varchar as src from edges
 union all select distinct kb_id, entity_id, 'chapter', chapter_id from lines""")
 def mention_edges(t):
-    return en.mention_edges(model.order_mentions(t))
+    return en.mention_edges(model.order_mentions(t), model.line_tasks(t))
 
 
 @query("document_entities", f"""
@@ -243,7 +243,7 @@ def entity_cross_references(t):
     ents = edges.select("kb_id", "entity_id").distinct().join(model.part_entities(t), "entity_id")
     docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kb_id"), F.col("o_orderstatus").alias("document_title"))
     names = t.part.select(F.upper("p_name").alias("name"))
-    refs = en.cross_references(edges, ents, docs, order_sections(t), names)
+    refs = en.cross_references(edges, ents, docs, order_sections(t), names, model.line_tasks(t))
     return refs.select("kb_id", "document_id", "entity_name", "document_title", "title", "chunk_count", "start_page")
 
 
@@ -254,9 +254,9 @@ best as (select *, row_number() over (partition by chapter_id order by name) as
 select document_id || ':' || l_linenumber || ':' || entity_id as chunk_id, name, place from lines join best using (chapter_id)""")
 def chunk_related_concepts(t):
     rows = model.order_mentions(t).withColumnRenamed("chapter_id", "section_id")
-    named = rows.join(model.part_entities(t), "entity_id").select("section_id", "name")
+    named = model.with_parts(t, rows.select("entity_id", "section_id"), model.part_entities(t)).select("section_id", "name")
     chunks = rows.select(F.concat_ws(":", "document_id", "l_linenumber", "entity_id").alias("chunk_id"), "section_id")
-    return en.chunk_related_concepts(named, chunks)
+    return en.chunk_related_concepts(named, chunks, tasks=model.line_tasks(t))
 
 
 @query("infer_related_concepts", f"""
@@ -444,6 +444,6 @@ def explore_concepts(t):
     once = first_per_key(hits, ["query_id", "name"], [F.col("kb_id"), F.col("rank")]).drop("rank")
     best = best_hits(once, ["query_id"], ["kb_id", "entity_id"], 5).join(asked, "query_id").drop("entity_id")
     docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kb_id"))
-    refs = en.cross_references(edges, ents, docs, order_sections(t), best.select("name"))
+    refs = en.cross_references(edges, ents, docs, order_sections(t), best.select("name"), model.line_tasks(t))
     refs = refs.select("kb_id", F.col("entity_name").alias("name"), "document_id", "title", "chunk_count")
     return best.join(refs, ["kb_id", "name"], "left").select("query", "name", "kb_id", "score", "rank", "document_id", "title", "chunk_count")

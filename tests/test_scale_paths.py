@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quire import model
 from quire.operators import files, fulltext, graph, hierarchy, media, neighbours, retrieval, scans, scoring, similarity, textindex
 from quire.operators.common import as_of, neighbour_value, running_max, running_sum
+from quire.plans import registered
 
 
 def rows_of(df, *columns):
@@ -586,6 +588,17 @@ def test_partners_are_counted_in_their_task(spark):
         assert got == sorted((d1, d2, len(es)) for d1, of in met.items() for d2, es in sorted(of.items(), key=lambda x: (-len(x[1]), x[0]))[:3])
 
 
+@pytest.mark.parametrize("name", ["document_entities", "mention_edges", "upsert_entities", "chunk_related_concepts", "entity_cross_references"])
+def test_order_lines_are_dealt_to_bounded_tasks(spark, monkeypatch, name):
+    """Larger tables of lines are joined and grouped in as many tasks as their rows ask for; same results."""
+    whole = [tuple(r) for r in registered()[name](spark, "/root/testdata/sf0.001").collect()]
+    monkeypatch.setattr(model, "TASK_LINES", 100)
+    dealt = registered()[name](spark, "/root/testdata/sf0.001")
+    got = [tuple(r) for r in dealt.collect()]
+    assert sorted(got, key=str) == sorted(whole, key=str) and got
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
 def test_deleted_keys_meet_counts_not_rows(spark):
     """The counts of a delete move one row a key and task, not the rows of the key."""
     rows = spark.range(5000).select((F.col("id") % 2).alias("kb"), F.col("id").alias("line"))
