@@ -94,11 +94,11 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     first = Bitmap(same.where(repeated.has(F.col("hash"))).select(_at().alias("at")), "at", scratch, "first")
     fresh = lines.where(~repeated.has(F.xxhash64("content")) | first.has(_at())).withColumn("unsure", repeated.has(F.xxhash64("content")))
 
-    # the order of rarity: how often words occur, over all texts
-    every = docs.select(F.explode_outer(_cut(F.col(text), "\n" + OTHER_SPACES)).alias("w")).select(F.xxhash64("w").alias("h"))
-    usual = Frequencies(every, "h", scratch, "usual")
+    # of each line the hashes of its words, cut once: they are counted, then put in order
+    hashed = scratch.put(fresh.select("doc", "line", "unsure", hashes_of(F.col("content")).alias("hashes")), "hashed")
+    # the order of rarity: how many lines hold a word; without a second one, no line has it for a partner
+    usual = Frequencies(hashed.select(F.explode("hashes").alias("h")), "h", scratch, "usual")
     # of each line: size, parity sketch, smallest and largest word hash, and its first words in order
-    hashed = fresh.select("doc", "line", "unsure", _once(hashes_of(F.col("content"))).alias("hashes"))
     low = (1 << HASH_BITS) - 1
     parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(_bit(h)))
     ranked = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(Frequencies.of("usual", h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))))
@@ -106,6 +106,7 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     # a word met once has no partner, but keeps its place in the order
     first_words = F.slice("ranked", F.lit(1), like.prefix(F.col("n")))
     passed = scratch.put(ordered.select("doc", "line", "n", "parity", first_words.alias("prefix"), "unsure"), "passed")
+    scratch.drop("hashed")
     firsts = same.where(repeated.has(F.col("hash"))).select("doc", "line").hint("merge")
     sure = scratch.put(passed.where("unsure").drop("unsure").join(firsts, ["doc", "line"], "left_semi"), "firsts")
     sets = passed.where("not unsure").drop("unsure").unionByName(sure)
@@ -130,21 +131,22 @@ def lasting_lines(docs: DataFrame, key: str, text: str, scratch: Scratch, thresh
     asked = Bitmap(gone.select(_at().alias("at")), "at", scratch, "asked")
     # only lines that may be gone are looked up; a side of its own, as a cluster of removed lines
     # would make all pairs if the join itself had to tell them
-    seeming = sets.where(asked.has(_at())).join(gone.hint("merge"), ["doc", "line"], "left_anti")
-    asking = sets.where(~asked.has(_at())).unionByName(seeming)
-
-    def by_word(lines: DataFrame) -> DataFrame:
-        words = lines.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
-        return words.where(F.shiftright("word", HASH_BITS) > ONCE)
-
-    a, b = by_word(sets).alias("a"), by_word(asking).alias("b")
+    known = asked.has(_at())
+    seeming = sets.where(known).join(gone.hint("merge").withColumn("removed", F.lit(True)), ["doc", "line"], "left")
+    # both sides are the same rows, so that one shuffle serves them: a line that no longer asks has a
+    # negative size, which fits no other as the later one
+    marked = sets.where(~known).unionByName(seeming.withColumn("n", F.when(F.col("removed"), -F.col("n")).otherwise(F.col("n"))).drop("removed"))
+    words = marked.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word")).where(F.shiftright("word", HASH_BITS) > ONCE)
+
+    a, b = words.alias("a"), words.alias("b")
     earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
-    reach = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    n = F.abs("a.n")
+    reach = F.least(n - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     pairs = a.join(
         b,
-        (F.col("a.word") == F.col("b.word")) & earlier & like.sizes(F.col("a.n"), F.col("b.n")) & like.shared(reach, F.col("a.n"), F.col("b.n"))
-        & like.parity(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n")),
-    ).select(F.col("b.doc").alias("doc"), F.col("b.line").alias("line"), F.col("b.n").alias("n"), F.col("a.doc").alias("doc2"), F.col("a.line").alias("line2"), F.col("a.n").alias("n2"))
+        (F.col("a.word") == F.col("b.word")) & earlier & like.sizes(n, F.col("b.n")) & like.shared(reach, n, F.col("b.n"))
+        & like.parity(F.col("a.parity"), F.col("b.parity"), n, F.col("b.n")),
+    ).select(F.col("b.doc").alias("doc"), F.col("b.line").alias("line"), F.col("b.n").alias("n"), F.col("a.doc").alias("doc2"), F.col("a.line").alias("line2"), n.alias("n2"))
     pairs = scratch.put(pairs.distinct(), "join-pairs")
     scratch.drop("passed")
     scratch.drop("firsts")

@@ -241,6 +241,27 @@ def test_lines_with_full_sketches(spark, monkeypatch):
     assert len(places) == len({line for _, t in rows for line in t.split("\n")})
 
 
+def test_lines_meet_in_one_shuffle(spark, monkeypatch):
+    """Both sides of the join are one exchange, and words are hashed into one table that goes after use."""
+    rows, plans, dropped, put, drop = line_rows(), [], [], Scratch.put, Scratch.drop
+
+    def spy(self, df, name):
+        if name == "join-pairs":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", spy)
+    monkeypatch.setattr(Scratch, "drop", lambda self, name: (dropped.append(name), drop(self, name)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["removed"] for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == plain_removed(rows)
+    assert "ReusedExchange" in plans[0] and "hashed" in dropped
+
+
 def test_lines(docs, docs_rows, no_docs, spark):
     report = {r["doc_id"]: r for r in line_report(docs).collect()}
     assert {i: r["removed"] for i, r in report.items()} == plain_removed(docs_rows)
