@@ -35,7 +35,9 @@ def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int
 
     Once a chapter has enough segments, a marker phrase or a long pause opens the next one.
     """
-    marked = segments.withColumn("_marker", F.ltrim("text").rlike(CHAPTER_MARKER))
+    marker = F.ltrim("text").rlike(CHAPTER_MARKER)
+    # of the texts only the titles of markers go through the scan
+    marked = segments.select("recording", "seq", "start", "end", marker.alias("_marker"), F.when(marker, F.substring(F.trim("text"), 1, 80)).alias("_given"))
     paused = neighbour_value(marked, ["recording"], ["start", "seq"], "end", "_last_end", block_rows=rows)
     may = F.coalesce(F.col("_marker") | (F.col("start") - F.col("_last_end") > min_gap), F.col("_marker"), F.lit(False))
     numbered = openings(paused.withColumn("_may", may.cast("int")), ["recording"], ["start", "seq"], "_may", MinimumRun(min_segments), "_opens", rows)
@@ -44,10 +46,9 @@ def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int
     numbered = numbered.withColumn("chapter", (F.col("_before") + F.col("_opens") + 1).cast("int"))
     order = F.struct("start", "seq")
     grouped = numbered.groupBy("recording", "chapter").agg(
-        F.min("start").alias("start"), F.max_by("end", order).alias("end"), F.min_by(F.struct("text", "_marker"), order).alias("_first")
+        F.min("start").alias("start"), F.max_by("end", order).alias("end"), F.min_by(F.struct("_given"), order).alias("_first")
     )
-    given = F.substring(F.trim("_first.text"), 1, 80)
-    title = F.when((F.col("chapter") > 1) & F.col("_first._marker"), given).otherwise(F.concat(F.lit("Chapter "), F.col("chapter").cast("string")))
+    title = F.when((F.col("chapter") > 1) & F.col("_first._given").isNotNull(), F.col("_first._given")).otherwise(F.concat(F.lit("Chapter "), F.col("chapter").cast("string")))
     return grouped.select("recording", "chapter", title.alias("title"), "start", "end")
 
 
@@ -165,11 +166,16 @@ def merge_visuals(chapters: DataFrame, segments: DataFrame, visuals: DataFrame,
 
     A recording without chapters is one chapter from 0 to its end. Visuals need a description.
     """
+    chapters = stored(chapters, "own-chapters")
     ends = segments.groupBy("recording").agg(F.max("end").alias("end"))
     whole = ends.join(chapters.select("recording").distinct(), "recording", "left_anti").select(
         "recording", F.lit(1).alias("chapter"), F.lit("Full Video").alias("title"), F.lit(0.0).alias("start"), "end"
     )
-    every = chapters.select("recording", "chapter", "title", "start", "end").unionByName(whole)
+    # several joins read the chapters, and finding them is the dear part
+    every = stored(chapters.select("recording", "chapter", "title", "start", "end").unionByName(whole), "chapters")
+    # a span is listed under every bucket it touches: some two, where buckets are as long as the mean span
+    mean = every.where(F.col("end") >= F.col("start")).agg(F.avg(F.col("end") - F.col("start")).alias("mean")).first()["mean"]
+    width = max(width, mean or 0.0)
     shown = visuals.where("has_content and description <> ''").select("recording", "t", "description", "kind")
     spans = every.select("recording", "chapter", "start", "end")
     inside = span_join(shown, spans, "recording", "t", F.col("start"), F.col("end"), width)
