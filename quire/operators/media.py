@@ -42,7 +42,7 @@ def detect_chapters(segments: DataFrame, min_gap: float = 3.0, min_segments: int
     may = F.coalesce(F.col("_marker") | (F.col("start") - F.col("_last_end") > min_gap), F.col("_marker"), F.lit(False))
     numbered = openings(paused.withColumn("_may", may.cast("int")), ["recording"], ["start", "seq"], "_may", MinimumRun(min_segments), "_opens", rows)
     # the scan only says where chapters open; a running sum numbers them
-    numbered = running_sum(numbered, ["recording"], ["start", "seq"], {"_before": F.col("_opens")})
+    numbered = running_sum(numbered, ["recording"], ["start", "seq"], {"_before": F.col("_opens")}, counted=segments)
     numbered = numbered.withColumn("chapter", (F.col("_before") + F.col("_opens") + 1).cast("int"))
     order = F.struct("start", "seq")
     grouped = numbered.groupBy("recording", "chapter").agg(
