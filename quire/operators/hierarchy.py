@@ -166,7 +166,7 @@ def breadcrumbs(sections: DataFrame, levels: int) -> DataFrame:
 def enrich_results(hits: DataFrame, chunk_links: DataFrame, paths: DataFrame, concepts: DataFrame) -> DataFrame:
     """Hits with the breadcrumb of their section and the related entity names of their chunk."""
     trail = chunk_links.join(paths, "section_id").select("chunk_id", "path")
-    names = concepts.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("related"))  # as many per chunk as the caller ranked
+    names = concepts.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("related"))
     return hits.join(trail, "chunk_id", "left").join(names, "chunk_id", "left")
 
 

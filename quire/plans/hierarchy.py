@@ -165,11 +165,7 @@ def breadcrumb_path(t):
     return links.join(paths, "section_id").select("chunk_id", F.array_join("path", " > ").alias("path"))
 
 
-# Fixed value: names shown with a hit.
-SHOWN_CONCEPTS = 20
-
-
-# Hits of the benchmark terms on page chunks; a section's names are the gazetteer words of its chunks.
+# Hits of the benchmark terms on page chunks; a section's names are all gazetteer words of its chunks.
 @query("enrich_results", rf"""
 with {SQL_PAGE_SECTIONS}, {SQL_LINKS}, {SQL_MENTIONS.split(',' + chr(10) + 'doc_words')[0]},
 queries as (select item_id as query_id, text as query from benchmark), {sql_bm25('hits', 'page_chunks', 'chunk_id', 'text', 'queries')},
@@ -177,17 +173,17 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 names as (select distinct section_id, word as name from (
   select section_id, regexp_replace(lower(unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') as word
   from links join page_chunks using (chunk_id)) join gaz using (word)),
-best as (select * from names qualify row_number() over (partition by section_id order by name) <= 20),
-related as (select section_id, string_agg(name, '|' order by name) as related from best group by all)
+related as (select section_id, string_agg(name, '|' order by name) as related from names group by all)
 select query_id, rank, chunk_id, concat_ws(' > ', c.title, b.title, a.title) as path, related from ranked left join links using (chunk_id) left join sections a using (section_id)
 left join sections b on b.section_id = a.parent_id left join sections c on c.section_id = b.parent_id left join related using (section_id)""")
 def enrich_results(t):
     chunks, sections = stored(model.page_chunks(t), "chunks"), model.page_sections(t)
     links = stored(hi.link_chunks_to_sections(chunks, sections), "links")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = best_relevant(chunks, ["chunk_id"], "text", asked, 5)
+    hits = stored(best_relevant(chunks, ["chunk_id"], "text", asked, 5), "hits")
     named = gazetteer_hits(chunks.join(links, "chunk_id"), ["section_id"], model.gazetteer(t)).select("section_id", "name")
-    concepts = chunk_related_concepts(named, links, k=SHOWN_CONCEPTS)
+    # names are listed for the chunks that were hit, not for each chunk of a section
+    concepts = chunk_related_concepts(named, links.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     rows = hi.enrich_results(hits, links, hi.breadcrumbs(sections, 3), concepts)
     return rows.select("query_id", "rank", "chunk_id", F.array_join("path", " > ").alias("path"), F.array_join("related", "|").alias("related"))
 
