@@ -209,7 +209,7 @@ def related_documents(t):
     neighbours = stored(gr.edge_neighbours(doc_edges(t)), "neighbours")
     one = gr.shared_entity_documents(mentions).select("kb_id", "d1", "d2", "shared")
     # a linked document that also shares entities counts as shared, wherever it ranks
-    one = one.unionByName(gr.shared_counts(neighbours, mentions)).distinct()
+    one = one.unionByName(gr.shared_counts(neighbours, mentions))
     return gr.related_documents(one, gr.two_hop_documents(mentions), neighbours)
 
 
